@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardloom.plans.collections import CollectionStore
-from shardloom.session import scratch_path
+from shardloom.session import scratch_path, spread_if_narrow
 
 HASH_DIM = 32
 
@@ -90,7 +90,7 @@ def label_centroids(spark: SparkSession, sf_dir: str) -> list[list[float]]:
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as text records of the tenant of their source."""
-    return table(spark, sf_dir, "documents").select(
+    return spread_if_narrow(table(spark, sf_dir, "documents")).select(
         F.col("doc_id").cast("string").alias("uid"), F.col("source").alias("org_id"), "lang", "text", "doc_id"
     )
 

@@ -158,11 +158,11 @@ def embed_upsert(spark, sf_dir):
     rows = with_ordinal(csv_of(spark, _records_csv(spark, sf_dir)))
     tenants = given.tenant_names(rows.select(F.col("org_id").alias("tenant")))
     store.ensure("texts", tenants, vector_size=HASH_DIM, buckets=2)
-    kept = embed.embed_by_hash(prepare.drop_blank_text(rows), HASH_DIM)
+    kept = embed.embed_by_hash(prepare.drop_blank_text(rows), HASH_DIM, drop_missing=True)
     points = prepare.assign_point_ids(kept).select(
         F.col("org_id").alias("tenant"), "point_id", F.col("embedding").alias("vector"),
         prepare.payload_object(kept, ("embedding", "text", "row_pos")).alias("payload"), F.col("row_pos").alias("seq"),
-    ).where(F.col("vector").isNotNull())
+    )
     store.upsert("texts", points)
     return _vectors(
         store.points("texts").withColumn("lang", F.try_variant_get("payload", "$.lang", "string")),
@@ -619,7 +619,7 @@ def text_search(spark, sf_dir):
     store = given.new_store(spark, "text-search")
     docs = given.records(spark, sf_dir)
     store.ensure("texts", given.tenant_names(docs.select(F.col("org_id").alias("tenant"))), vector_size=HASH_DIM, buckets=2)
-    points = _hash_step(docs).where(F.col("embedding").isNotNull()).select(
+    points = embed.embed_by_hash(docs, HASH_DIM, drop_missing=True).select(
         F.col("org_id").alias("tenant"), F.col("uid").alias("point_id"), F.col("embedding").alias("vector"),
         F.to_variant_object(F.struct("lang")).alias("payload"), F.col("doc_id").alias("seq"),
     )

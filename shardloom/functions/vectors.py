@@ -45,6 +45,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def only_if(value: Column, keep: Callable[[Column], Column]) -> Column:
+    """A generator that yields ``value`` where ``keep`` holds and drops the row elsewhere.
+
+    A filter on a computed column is pushed below it and computes it twice; a generator computes once.
+    """
+    return F.explode(F.filter(F.array(value), keep))
+
+
 def normalize(v: Column) -> Column:
     """Unit-length copy as ARRAY<DOUBLE>; null for null, empty or all-zero vectors."""
     return let(

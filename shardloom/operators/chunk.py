@@ -42,7 +42,8 @@ def markdown_windows(text: Column, size: int, overlap: int, min_words: int) -> C
 
 def _explode(df: DataFrame, windows: Column, text: str, uid: str) -> DataFrame:
     others = [F.col(f"`{c}`") for c in df.columns if c not in (text, uid, "parent_uid", "chunk_index", "chunk_count")]
-    carried = df.select(*others, F.col(uid), windows.alias("_windows")).where(F.size("_windows") > 0)
+    # Exploding drops documents without windows; a filter here would split every text a second time.
+    carried = df.select(*others, F.col(uid), windows.alias("_windows"))
     exploded = carried.select(
         *others, F.col(uid), F.size("_windows").alias("chunk_count"), F.posexplode("_windows").alias("_pos", text)
     )

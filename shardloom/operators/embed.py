@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardloom.functions.text import embeddable_text, prefix_text
-from shardloom.functions.vectors import hash_embed
+from shardloom.functions.vectors import hash_embed, only_if
 
 Embedder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 
@@ -42,6 +42,10 @@ def embed_text(df: DataFrame, load_model: Callable[[], Embedder], text: str = "t
 
 
 def embed_by_hash(df: DataFrame, dim: int, text: str = "text", vector: str = "embedding",
-                  input_type: str = "") -> DataFrame:
-    """Add a deterministic feature-hash vector; it needs no model and stays in the JVM."""
-    return df.withColumn(vector, hash_embed(prefix_text(embeddable_text(F.col(text)), input_type), dim))
+                  input_type: str = "", drop_missing: bool = False) -> DataFrame:
+    """Add a deterministic feature-hash vector; it needs no model and stays in the JVM.
+
+    ``drop_missing`` drops the rows whose text has no vector.
+    """
+    embedded = hash_embed(prefix_text(embeddable_text(F.col(text)), input_type), dim)
+    return df.withColumn(vector, only_if(embedded, lambda v: v.isNotNull()) if drop_missing else embedded)

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from shardloom.functions.json import finite, json_cell, text_from_doc
 from shardloom.functions.text import is_blank, point_id, trim_ws
-from shardloom.functions.vectors import parse_vector
+from shardloom.functions.vectors import only_if, parse_vector
 
 # Fixed value: how spreadsheet exports label a column without a header.
 JUNK_PREFIX = "Unnamed:"
@@ -24,8 +24,8 @@ def filter_tenant(df: DataFrame, tenant: str, field: str = "org_id", trim: bool
 
 def parse_vectors(df: DataFrame, column: str = "embedding", keep_failures: bool = False) -> DataFrame:
     """Parse vector text; rows whose vector is missing, malformed or empty are dropped."""
-    parsed = df.withColumn(column, parse_vector(F.col(column)))
-    return parsed if keep_failures else parsed.where(F.size(column) > 0)
+    parsed = parse_vector(F.col(column))
+    return df.withColumn(column, parsed if keep_failures else only_if(parsed, lambda v: F.size(v) > 0))
 
 
 def drop_blank_text(df: DataFrame, column: str = "text") -> DataFrame:

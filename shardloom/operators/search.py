@@ -8,7 +8,9 @@ size that meet in an equi-join on the block numbers.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardloom.functions.vectors import SCORE_DECIMALS, normalize
+from shardloom.session import local_if_small, local_table
 
 ID_COLUMNS = ("tenant", "point_id")
 HIT_SCHEMA = "query_index int, tenant string, point_id string, score double"
@@ -24,7 +27,6 @@ HIT_SCHEMA = "query_index int, tenant string, point_id string, score double"
 QUERY_BROADCAST_BYTES = 64 << 20
 HITS_BROADCAST_ROWS = 1_000_000
 BLOCK_BYTES = 16 << 20
-LOCAL_GROUPS = 100_000
 SCORE_CELLS = 4 << 20
 
 
@@ -43,23 +45,32 @@ class _TopK:
     def __init__(self, queries: np.ndarray, k: int):
         self.queries = queries
         self.k = k
+        # Entries are (-score, id), so the natural order is best first.
         self.best: list[list[tuple[float, tuple[str, ...]]]] = [[] for _ in range(len(queries))]
         self.floor = np.full(len(queries), -np.inf)
 
-    def add(self, ids: list[tuple[str, ...]], vectors: np.ndarray) -> None:
-        by_id = sorted(range(len(ids)), key=ids.__getitem__)
-        ids = [ids[i] for i in by_id]
-        scores = np.round(self.queries @ vectors[by_id].T, SCORE_DECIMALS)
-        for q in np.nonzero(scores.max(axis=1) >= self.floor)[0]:
-            candidates = np.nonzero(scores[q] >= self.floor[q])[0]
-            # Columns are in id order, so a stable sort breaks ties by id.
-            top = candidates[np.argsort(-scores[q, candidates], kind="stable")[: self.k]]
-            merged = self.best[q] + [(-scores[q, i], ids[i]) for i in top]
-            merged.sort()
-            self.best[q] = merged[: self.k]
+    def add(self, block: pa.RecordBatch | pa.Table) -> None:
+        vectors = _matrix(block.column("vector"), self.queries.shape[1])
+        scores = np.round(self.queries @ vectors.T, SCORE_DECIMALS)
+        chosen = {int(q): self._candidates(q, scores[q]) for q in np.nonzero(scores.max(axis=1) >= self.floor)[0]}
+        if not chosen:
+            return
+        rows = np.unique(np.concatenate(list(chosen.values())))
+        ids = dict(zip(rows.tolist(), zip(*(block.column(c).take(pa.array(rows)).to_pylist() for c in ID_COLUMNS))))
+        for q, columns in chosen.items():
+            found = ((-scores[q, i], ids[i]) for i in columns.tolist())
+            self.best[q] = heapq.nsmallest(self.k, chain(self.best[q], found))
             if len(self.best[q]) == self.k:
                 self.floor[q] = -self.best[q][-1][0]
 
+    def _candidates(self, q: int, scores: np.ndarray) -> np.ndarray:
+        """Columns that can still enter the top ``k``; equal scores all stay, their ids decide."""
+        columns = np.nonzero(scores >= self.floor[q])[0]
+        if len(columns) > self.k:
+            cut = len(columns) - self.k
+            columns = columns[scores[columns] >= np.partition(scores[columns], cut)[cut]]
+        return columns
+
     def hits(self, query_index: np.ndarray) -> pa.Table:
         rows = [(int(query_index[q]), *point, -neg) for q, found in enumerate(self.best) for neg, point in found]
         columns = list(zip(*rows)) if rows else [[], [], [], []]
@@ -68,10 +79,6 @@ class _TopK:
         return pa.table({n: pa.array(list(c), type=t) for n, c, t in zip(names, columns, types)})
 
 
-def _ids(table: pa.Table | pa.RecordBatch) -> list[tuple[str, ...]]:
-    return list(zip(*(table.column(name).to_pylist() for name in ID_COLUMNS)))
-
-
 def _searchable(df: DataFrame, vector: str, dim: int) -> Column:
     return (F.size(vector) == dim) & F.exists(vector, lambda x: x != 0)
 
@@ -107,7 +114,7 @@ def knn_exact(points: DataFrame, queries: DataFrame, k: int = 10,
     kept = queries.where(_searchable(queries, "qvec", dim)).select("query_index", "qvec").collect()
     spark = points.sparkSession
     if not kept:
-        return spark.createDataFrame([], HIT_SCHEMA + ", rank int")
+        return local_table(spark, [], HIT_SCHEMA + ", rank int")
     index = np.array([row["query_index"] for row in kept])
     matrix = np.array([row["qvec"] for row in kept], dtype=np.float64)
     matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
@@ -120,7 +127,7 @@ def knn_exact(points: DataFrame, queries: DataFrame, k: int = 10,
         for batch in batches:
             for start in range(0, batch.num_rows, rows_at_once):
                 block = batch.slice(start, rows_at_once)
-                best.add(_ids(block), _matrix(block.column("vector"), dim))
+                best.add(block)
         yield from best.hits(query_index).to_batches()
 
     found = (
@@ -129,12 +136,6 @@ def knn_exact(points: DataFrame, queries: DataFrame, k: int = 10,
     return rank_hits(found, k).select("query_index", "rank", *ID_COLUMNS, "score")
 
 
-def _local_if_small(df: DataFrame) -> DataFrame:
-    """A local copy of a table of group sizes, so that Spark knows to broadcast it; unchanged if it is large."""
-    rows = df.limit(LOCAL_GROUPS + 1).collect()
-    return df if len(rows) > LOCAL_GROUPS else df.sparkSession.createDataFrame(rows, df.schema)
-
-
 def knn_blocked(points: DataFrame, queries: DataFrame, k: int = 10, group: str | None = None,
                 block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Exact top-``k`` by blocks; with ``group``, each query sees only the points of its group.
@@ -145,29 +146,34 @@ def knn_blocked(points: DataFrame, queries: DataFrame, k: int = 10, group: str |
     """
     _, dim = _query_shape(queries)
     if dim == 0:
-        return points.sparkSession.createDataFrame([], HIT_SCHEMA + ", rank int")
+        return local_table(points.sparkSession, [], HIT_SCHEMA + ", rank int")
     block_rows = max(1, block_bytes // (dim * 8))
     points = points.where(_searchable(points, "vector", dim))
     queries = queries.where(_searchable(queries, "qvec", dim))
-    if group is None:
-        group = "_all"
-        points, queries = points.withColumn(group, F.lit(0)), queries.withColumn(group, F.lit(0))
-    points = points.select(F.col(group).alias("grp"), *ID_COLUMNS, "vector")
-    queries = queries.select(F.col(group).alias("grp"), "query_index", "qvec")
 
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        rows = df.groupBy("grp").agg(F.count("*").alias("rows"))
-        return rows.select("grp", F.ceil(F.col("rows") / block_rows).cast("int").alias(name))
+    def blocks(rows: Column) -> Column:
+        return F.ceil(rows / block_rows).cast("int")
 
-    sizes = _local_if_small(blocks(points, "p_blocks").join(blocks(queries, "q_blocks"), "grp"))
-    p = points.join(sizes, "grp").select(
+    if group is None:
+        sizes = points.agg(blocks(F.count("*"))).first()[0], queries.agg(blocks(F.count("*"))).first()[0]
+        p = points.withColumns({"grp": F.lit(0), "p_blocks": F.lit(sizes[0]), "q_blocks": F.lit(sizes[1])})
+        q = queries.withColumns({"grp": F.lit(0), "p_blocks": F.lit(sizes[0]), "q_blocks": F.lit(sizes[1])})
+    else:
+        sizes = local_if_small(
+            points.groupBy(F.col(group).alias("grp")).agg(blocks(F.count("*")).alias("p_blocks"))
+            .join(queries.groupBy(F.col(group).alias("grp")).agg(blocks(F.count("*")).alias("q_blocks")), "grp")
+        )
+        p = points.withColumn("grp", F.col(group)).join(sizes, "grp")
+        q = queries.withColumn("grp", F.col(group)).join(sizes, "grp")
+
+    p = p.select(
         "grp",
         F.pmod(F.xxhash64(*ID_COLUMNS), F.col("p_blocks")).cast("int").alias("p_block"),
         F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("q_block"),
         *ID_COLUMNS,
         "vector",
     )
-    q = queries.join(sizes, "grp").select(
+    q = q.select(
         "grp",
         F.explode(F.sequence(F.lit(0), F.col("p_blocks") - 1)).alias("p_block"),
         F.pmod(F.xxhash64("query_index"), F.col("q_blocks")).cast("int").alias("q_block"),
@@ -182,7 +188,7 @@ def knn_blocked(points: DataFrame, queries: DataFrame, k: int = 10, group: str |
             step = max(1, SCORE_CELLS // query_block.num_rows)
             for start in range(0, point_block.num_rows, step):
                 block = point_block.slice(start, step)
-                best.add(_ids(block), _matrix(block.column("vector"), dim))
+                best.add(block)
         return best.hits(query_block.column("query_index").to_numpy())
 
     keys = ["grp", "p_block", "q_block"]

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from shardloom.operators.joins import snapshot_restore, tenant_anti
 from shardloom.operators.reports import dedupe_last
+from shardloom.session import local_table
 from shardloom.sources import files
 from shardloom.sources.backup import DEFAULT_LABEL
 
@@ -94,7 +95,7 @@ class CollectionStore:
     def registry(self) -> DataFrame:
         """Rows ``(collection, tenant)`` of every registered tenant."""
         pairs = [(name, tenant) for name in self.names() for tenant in self.tenants(name)]
-        return self.spark.createDataFrame(pairs, "collection string, tenant string")
+        return local_table(self.spark, pairs, "collection string, tenant string")
 
     def _commit(self, name: str, version: Version) -> Version:
         version.number += 1
@@ -212,7 +213,7 @@ class CollectionStore:
                 f"{meta.name!r}, which expects {meta.vector_size}."
             )
         if meta.partitioned:
-            known = self.spark.createDataFrame([(t,) for t in tenants], "tenant string")
+            known = local_table(self.spark, [(t,) for t in tenants], "tenant string")
             unknown = tenant_anti(staged, known).select("tenant").distinct().limit(5).collect()
             if unknown:
                 names = sorted(str(row["tenant"]) for row in unknown)

@@ -12,6 +12,7 @@ from shardloom.operators import chunk, embed, prepare, search
 from shardloom.operators.joins import label_results, replace_tenant_slice, tenant_anti
 from shardloom.operators.validate import import_violations
 from shardloom.plans.collections import CollectionStore, EnsureResult
+from shardloom.session import local_table, materialize
 from shardloom.sinks import writers
 from shardloom.sources.backup import read_manifest, scan_backup
 from shardloom.sources.csv import row_ordinal, scan_csv
@@ -82,7 +83,7 @@ def embed_csv(spark, path: str, output: str, embedder: EmbedStep, tenant: str |
 def query_texts(spark, texts: Sequence[str]) -> DataFrame:
     """The non-blank texts of a request, stripped and numbered from 0."""
     kept = [text.strip() for text in texts if text and text.strip()]
-    return spark.createDataFrame(list(enumerate(kept)), "query_index int, query_text string")
+    return local_table(spark, list(enumerate(kept)), "query_index int, query_text string")
 
 
 def search_collection(store: CollectionStore, collection: str, queries: DataFrame, limit: int = 10,
@@ -96,6 +97,8 @@ def search_collection(store: CollectionStore, collection: str, queries: DataFram
     """
     if tenant is not None:
         _require_tenant(store, collection, tenant)
+    # Several steps read the queries: their vectors are computed once, which matters with a slow model.
+    queries = materialize(queries, "queries")
     search.check_queries(queries, store.describe(collection).vector_size)
     points = prepare.match_filter(store.points(collection, tenant), matches or {})
     if centroids is None:
@@ -149,7 +152,7 @@ def import_collection(store: CollectionStore, path: str, collection: str | None
 
     registry = None
     if meta.partitioned:
-        registry = spark.createDataFrame([(t,) for t in store.tenants(target)], "tenant string")
+        registry = local_table(spark, [(t,) for t in store.tenants(target)], "tenant string")
     if not import_violations(lines(False), meta.vector_size, registry, tenant_field).isEmpty():
         bad = import_violations(lines(True), meta.vector_size, registry, tenant_field)
         first = bad.orderBy("line_no").limit(10).collect()

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shardloom.session import LOCAL_ROWS, local_table
+
 
 def scan_csv(
     spark: SparkSession,
@@ -35,11 +37,11 @@ def scan_csv(
     return df
 
 
-def row_ordinal(df: DataFrame, name: str = "row_pos") -> DataFrame:
+def row_ordinal(df: DataFrame, name: str = "row_pos", local_rows: int = LOCAL_ROWS) -> DataFrame:
     """Add the position of each row in its source files (files by name, rows in file order, from 0).
 
-    Rows are numbered inside their file split while scanning; the only other data are one count for
-    each split and one for each file, so no row moves to another task to be numbered.
+    ``df`` is a scan. Rows are numbered inside their file split while scanning; the only other data are
+    one count for each split, so no row moves to another task to be numbered.
     """
     placed = df.select(
         "*",
@@ -48,22 +50,33 @@ def row_ordinal(df: DataFrame, name: str = "row_pos") -> DataFrame:
         F.monotonically_increasing_id().alias("_mid"),
     )
     splits = placed.groupBy("_file", "_start").agg(F.min("_mid").alias("_first"), F.count("*").alias("_rows"))
-    in_file = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.withColumn("_before", F.coalesce(F.sum("_rows").over(in_file), F.lit(0)))
+    return (
+        placed.join(_shifts(splits, local_rows), ["_file", "_start"])
+        .withColumn(name, F.col("_shift") + F.col("_mid"))
+        .drop("_file", "_start", "_mid", "_shift")
+    )
+
 
-    # One row per input file, the size of the file listing that planning the scan already holds.
-    files = splits.groupBy("_file").agg(F.sum("_rows").alias("_rows")).orderBy("_file").collect()
+def _shifts(splits: DataFrame, local_rows: int) -> DataFrame:
+    """``(_file, _start, _shift)``: what to add to the number inside a split."""
+    spark = splits.sparkSession
+    known = splits.limit(local_rows + 1).collect()
+    if len(known) <= local_rows:
+        shifts, seen = [], 0
+        for row in sorted(known, key=lambda r: (r["_file"], r["_start"])):
+            shifts.append((row["_file"], row["_start"], seen - row["_first"]))
+            seen += row["_rows"]
+        return F.broadcast(local_table(spark, shifts, "_file string, _start bigint, _shift bigint"))
+
+    # More splits than fit a local table: number them inside each file, and collect only one count for
+    # each file, which is less than the file listing that planning the scan already holds.
+    in_file = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    placed = splits.withColumn("_before", F.coalesce(F.sum("_rows").over(in_file), F.lit(0)))
     offsets, seen = [], 0
-    for row in files:
+    for row in splits.groupBy("_file").agg(F.sum("_rows").alias("_rows")).orderBy("_file").toLocalIterator():
         offsets.append((row["_file"], seen))
         seen += row["_rows"]
-    offsets_df = df.sparkSession.createDataFrame(offsets, "_file string, _offset bigint")
-
-    starts = splits.join(offsets_df, "_file").select(
+    files = local_table(spark, offsets, "_file string, _offset bigint")
+    return placed.join(files, "_file").select(
         "_file", "_start", (F.col("_offset") + F.col("_before") - F.col("_first")).alias("_shift")
     )
-    return (
-        placed.join(starts, ["_file", "_start"])
-        .withColumn(name, F.col("_shift") + F.col("_mid"))
-        .drop("_file", "_start", "_mid", "_shift")
-    )
