@@ -42,10 +42,11 @@ def markdown_windows(text: Column, size: int, overlap: int, min_words: int) -> C
 
 def _explode(df: DataFrame, windows: Column, text: str, uid: str) -> DataFrame:
     others = [F.col(f"`{c}`") for c in df.columns if c not in (text, uid, "parent_uid", "chunk_index", "chunk_count")]
-    # Exploding drops documents without windows; a filter here would split every text a second time.
-    carried = df.select(*others, F.col(uid), windows.alias("_windows"))
-    exploded = carried.select(
-        *others, F.col(uid), F.size("_windows").alias("chunk_count"), F.posexplode("_windows").alias("_pos", text)
+    # The windows are the generator's own argument: as a column, or behind a filter, they would be
+    # computed once more to drop documents without any.
+    counted = let(windows, lambda w: F.transform(w, lambda x: F.struct(F.size(w).alias("count"), x.alias("text"))))
+    exploded = df.select(*others, F.col(uid), F.posexplode(counted).alias("_pos", "_chunk")).select(
+        *others, F.col(uid), "_pos", F.col("_chunk.count").alias("chunk_count"), F.col("_chunk.text").alias(text)
     )
     index = F.col("_pos") + 1
     base = trim_ws(F.col(uid).cast("string"))

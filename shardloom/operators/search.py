@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from shardloom.functions.vectors import SCORE_DECIMALS, normalize
 from shardloom.session import local_if_small, local_table
 
-ID_COLUMNS = ("tenant", "point_id")
-HIT_SCHEMA = "query_index int, tenant string, point_id string, score double"
+# In the order that breaks ties.
+ID_COLUMNS = ("point_id", "tenant")
+HIT_SCHEMA = "query_index int, point_id string, tenant string, score double"
 
 # Sizes of what one task holds at a time.
 QUERY_BROADCAST_BYTES = 64 << 20
@@ -85,7 +86,7 @@ def _searchable(df: DataFrame, vector: str, dim: int) -> Column:
 
 def rank_hits(hits: DataFrame, k: int) -> DataFrame:
     """Global rank (from 1) of the hits of each query, best ``k`` kept."""
-    best_first = Window.partitionBy("query_index").orderBy(F.desc("score"), "point_id", "tenant")
+    best_first = Window.partitionBy("query_index").orderBy(F.desc("score"), *ID_COLUMNS)
     return hits.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k)
 
 
@@ -103,7 +104,7 @@ def check_queries(queries: DataFrame, dim: int) -> None:
 
 def knn_exact(points: DataFrame, queries: DataFrame, k: int = 10,
               broadcast_bytes: int = QUERY_BROADCAST_BYTES) -> DataFrame:
-    """Exact top-``k`` of every query over all points: ``(query_index, rank, tenant, point_id, score)``.
+    """Exact top-``k`` of every query over all points: ``(query_index, rank, point_id, tenant, score)``.
 
     ``points`` has ``tenant, point_id, vector`` and ``queries`` has ``query_index, qvec``. The query set
     is measured first; beyond ``broadcast_bytes`` the blocked plan takes over.
@@ -263,4 +264,4 @@ def attach_payload(hits: DataFrame, points: DataFrame, columns: list[str], most_
 def scroll_page(points: DataFrame, limit: int = 256, after: str | None = None) -> DataFrame:
     """The next ``limit`` points in id order after a point id."""
     rest = points if after is None else points.where(F.col("point_id") > after)
-    return rest.orderBy("point_id", "tenant").limit(limit)
+    return rest.orderBy(*ID_COLUMNS).limit(limit)

@@ -17,7 +17,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.operators.joins import snapshot_restore, tenant_anti
+from shardloom.operators.joins import snapshot_restore
 from shardloom.operators.reports import dedupe_last
 from shardloom.session import local_table
 from shardloom.sources import files
@@ -200,25 +200,34 @@ class CollectionStore:
             self._bucket(meta).alias("bucket"),
         )
 
-    def _check(self, meta: Collection, staged: DataFrame, tenants: list[str]) -> int:
-        """Count the staged points; wrong vector sizes and unknown tenants stop the load before any commit."""
+    def _check(self, meta: Collection, staged: DataFrame, tenants: list[str]) -> tuple[int, set[tuple[str, int]]]:
+        """Staged points and the partitions they touch; a bad load stops here, before any commit.
+
+        One pass. Only registered tenants may appear, so at most tenants times buckets rows come back.
+        """
         wrong_size = F.col("vector").isNull() | (F.size("vector") != meta.vector_size)
-        row = staged.agg(
-            F.count("*").alias("n"), F.count_if(wrong_size).alias("wrong"), F.any_value(
-                F.when(wrong_size, F.size("vector")), ignoreNulls=True).alias("size")
-        ).first()
-        if row["wrong"]:
+        known = set(tenants) if meta.partitioned else {DEFAULT_LABEL}
+        rows = (
+            staged.groupBy("tenant", "bucket")
+            .agg(
+                F.count("*").alias("n"),
+                F.count_if(wrong_size).alias("wrong"),
+                F.max(F.when(wrong_size, F.size("vector"))).alias("size"),
+            )
+            .limit(len(known) * meta.buckets + 1)
+            .collect()
+        )
+        unknown = sorted({str(row["tenant"]) for row in rows} - known)
+        if unknown:
+            raise ValueError(f"Tenant(s) not registered on collection {meta.name!r}: {unknown[:5]}")
+        wrong = sum(row["wrong"] for row in rows)
+        if wrong:
+            sizes = [row["size"] for row in rows if row["size"] is not None]
             raise ValueError(
-                f"{row['wrong']} point(s) have another vector size (for example {row['size']}) than collection "
+                f"{wrong} point(s) have another vector size (for example {sizes[:1]}) than collection "
                 f"{meta.name!r}, which expects {meta.vector_size}."
             )
-        if meta.partitioned:
-            known = local_table(self.spark, [(t,) for t in tenants], "tenant string")
-            unknown = tenant_anti(staged, known).select("tenant").distinct().limit(5).collect()
-            if unknown:
-                names = sorted(str(row["tenant"]) for row in unknown)
-                raise ValueError(f"Tenant(s) not registered on collection {meta.name!r}: {names}")
-        return row["n"]
+        return sum(row["n"] for row in rows), {(row["tenant"], row["bucket"]) for row in rows}
 
     def _write(self, meta: Collection, version: Version, rows: DataFrame, replaced: set[tuple[str, int]]) -> Version:
         """Write the new content of the ``replaced`` partitions and commit a version that points to it."""
@@ -253,12 +262,11 @@ class CollectionStore:
         staging = self._path(name, "_staging", uuid.uuid4().hex)
         self._conform(meta, points, list(order)).write.parquet(staging)
         staged = self.spark.read.parquet(staging)
-        n = self._check(meta, staged, version.tenants)
+        n, touched = self._check(meta, staged, version.tenants)
         if stream:
             version.streams[stream[0]] = stream[1]
         if n:
             incoming = dedupe_last(staged, KEYS, ["_order"]).drop("_order")
-            touched = {(r["tenant"], r["bucket"]) for r in staged.select("tenant", "bucket").distinct().collect()}
             existing = self._read(meta, [p for p in version.partitions if (p[0], p[1]) in touched])
             replaced = staged
             if newer_only:

@@ -68,7 +68,8 @@ def nest_results(hits: DataFrame, *columns: str) -> DataFrame:
     """One row per query: ``points`` holds its hits in rank order (at most k of them)."""
     keys = ["query_index", "query_text"] if "query_text" in hits.columns else ["query_index"]
     hit = F.struct("rank", F.col("point_id").alias("id"), "score", *columns)
-    return sanitize_numbers(hits).groupBy(*keys).agg(F.array_sort(F.collect_list(hit)).alias("points"))
+    return sanitize_numbers(hits).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(hit), lambda a, b: a["rank"] - b["rank"]).alias("points"))
 
 
 def result_json(nested: DataFrame) -> DataFrame:
