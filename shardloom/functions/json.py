@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shardloom.functions.rows import let
 from shardloom.functions.text import is_blank, trim_ws
 
 # Closes the wrapping array in strict_json; text that holds it is treated as plain text.
@@ -19,13 +20,13 @@ def strict_json(c: Column) -> Column:
     array elements: the second is a marker that only survives if the cell was exactly one value.
     """
     wrapped = F.try_parse_json(F.concat(F.lit("["), c, F.lit(f',"{_END_MARK}"]')))
-    elements = F.try_variant_get(wrapped, "$", "array<variant>")
-    complete = (
-        (F.size(elements) == 2)
-        & (F.try_variant_get(wrapped, "$[1]", "string") == _END_MARK)
-        & ~F.contains(c, F.lit(_END_MARK))
-    )
-    return F.when(complete, F.get(elements, F.lit(0)))
+
+    def first_of_two(elements: Column) -> Column:
+        marked = F.try_variant_get(F.get(elements, F.lit(1)), "$", "string") == _END_MARK
+        complete = (F.size(elements) == 2) & marked & ~F.contains(c, F.lit(_END_MARK))
+        return F.when(complete, F.get(elements, F.lit(0)))
+
+    return let(F.try_variant_get(wrapped, "$", "array<variant>"), first_of_two)
 
 
 def repaired_json(c: Column) -> Column:
@@ -64,5 +65,5 @@ def text_from_doc(text: Column, doc: Column) -> Column:
         value = F.try_variant_get(parsed, "$.text", "string")
         return F.when(is_string & ~is_blank(value), value)
 
-    return F.when(~is_blank(text), text).otherwise(
-        F.coalesce(key_text(strict_json(doc)), key_text(strict_json(F.replace(doc, F.lit('""'), F.lit('"'))))))
+    as_written, repaired = strict_json(doc), strict_json(F.replace(doc, F.lit('""'), F.lit('"')))
+    return F.when(~is_blank(text), text).otherwise(F.coalesce(let(as_written, key_text), let(repaired, key_text)))

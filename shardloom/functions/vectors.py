@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shardloom.functions.rows import let
 from shardloom.functions.text import words
 
 # Equal vectors must tie exactly whatever the order of their sums, so scores keep this many decimals.
@@ -24,7 +25,7 @@ def parse_vector(c: Column) -> Column:
     as_list = F.regexp_replace(as_list, r"\.(?![0-9])", ".0")
     as_list = F.regexp_replace(as_list, r"(?<![0-9])\.", "0.")
     parsed = F.from_json(as_list, "array<double>", {"allowNonNumericNumbers": "false"})
-    return F.when(~F.exists(parsed, lambda x: x.isNull()), parsed)
+    return let(parsed, lambda vector: F.when(~F.exists(vector, lambda x: x.isNull()), vector))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -36,23 +37,6 @@ def l2_norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once per row and hand it to ``body``.
-
-    Inside a lambda nothing is shared, so an outer expression would be computed again for every
-    element; a lambda variable is computed once.
-    """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def only_if(value: Column, keep: Callable[[Column], Column]) -> Column:
-    """A generator that yields ``value`` where ``keep`` holds and drops the row elsewhere.
-
-    A filter on a computed column is pushed below it and computes it twice; a generator computes once.
-    """
-    return F.explode(F.filter(F.array(value), keep))
-
-
 def normalize(v: Column) -> Column:
     """Unit-length copy as ARRAY<DOUBLE>; null for null, empty or all-zero vectors."""
     return let(

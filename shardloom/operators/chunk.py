@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shardloom.functions.rows import let
 from shardloom.functions.text import clean_markdown, trim_ws, words
-from shardloom.functions.vectors import let
 
 # Markdown separators, tried in this order.
 MARKDOWN_SEPARATORS = ("\n# ", "\n## ", "\n### ", "\n#### ", "\n##### ", "\n###### ", "\n\n", "\n", " ")

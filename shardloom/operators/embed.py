@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shardloom.functions.rows import only_if
 from shardloom.functions.text import embeddable_text, prefix_text
-from shardloom.functions.vectors import hash_embed, only_if
+from shardloom.functions.vectors import hash_embed
 
 Embedder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 

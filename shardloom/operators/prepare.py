@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shardloom.functions.json import finite, json_cell, text_from_doc
+from shardloom.functions.rows import only_if
 from shardloom.functions.text import is_blank, point_id, trim_ws
-from shardloom.functions.vectors import only_if, parse_vector
+from shardloom.functions.vectors import parse_vector
 
 # Fixed value: how spreadsheet exports label a column without a header.
 JUNK_PREFIX = "Unnamed:"
