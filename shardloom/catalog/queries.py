@@ -609,8 +609,8 @@ def knn_filtered(spark, sf_dir):
 @query
 def knn_ivf(spark, sf_dir):
     centroids = given.label_centroids(spark, sf_dir)
-    points, queries = given.vector_points(spark, sf_dir), given.source_queries(spark, sf_dir)
-    return _hits(search.knn_ivf(points, queries, centroids, 10, probes=2))
+    index = search.build_ivf(given.vector_points(spark, sf_dir), centroids, scratch_path(spark, "ivf"))
+    return _hits(search.knn_ivf(index, given.source_queries(spark, sf_dir), centroids, 10, probes=2))
 
 
 @query

@@ -237,18 +237,35 @@ def train_centroids(points: DataFrame, cells: int, seed: int = 42, iterations: i
 def assign_cells(df: DataFrame, centroids: list[list[float]], vector: str = "vector", probes: int = 1) -> DataFrame:
     """Add ``cell``: one row for each of the ``probes`` nearest centroids."""
     matrix = np.array(centroids, dtype=np.float64)
+    if matrix.nbytes > QUERY_BROADCAST_BYTES:
+        raise ValueError("The centroids are sent to every task; use fewer cells.")
     usable = df.where(_searchable(df, vector, matrix.shape[1]))
     return usable.withColumn("cell", F.explode(_nearest_cells(F.col(vector), matrix, min(probes, len(matrix)))))
 
 
+def build_ivf(points: DataFrame, centroids: list[list[float]], path: str, *columns: str) -> DataFrame:
+    """Write the points once, one folder for each cell, and return that table.
+
+    A search then opens the folders of the cells it probes and no other. Rebalancing splits large cells
+    over several files.
+    """
+    placed = assign_cells(points, centroids).select("cell", *ID_COLUMNS, "vector", *columns)
+    placed.hint("rebalance", "cell").write.partitionBy("cell").parquet(path)
+    return points.sparkSession.read.schema(placed.schema).parquet(path)
+
+
 def knn_ivf(points: DataFrame, queries: DataFrame, centroids: list[list[float]], k: int = 10,
             probes: int = 2) -> DataFrame:
     """Approximate top-``k``: each query searches only its ``probes`` nearest cells.
 
-    With as many probes as cells it is exact. Points may carry a stored ``cell``; it is used as it is.
+    ``points`` is a table of :func:`build_ivf`; plain points are placed while searching. With as many
+    probes as cells the result is exact.
     """
     placed = points if "cell" in points.columns else assign_cells(points, centroids)
-    return knn_blocked(placed, assign_cells(queries, centroids, "qvec", probes), k, group="cell")
+    asked = assign_cells(queries, centroids, "qvec", probes)
+    # At most one row for each centroid.
+    probed = [row["cell"] for row in asked.select("cell").distinct().collect()]
+    return knn_blocked(placed.where(F.col("cell").isin(probed)), asked, k, group="cell")
 
 
 def attach_payload(hits: DataFrame, points: DataFrame, columns: list[str], most_hits: int | None = None) -> DataFrame:

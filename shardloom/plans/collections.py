@@ -273,7 +273,7 @@ class CollectionStore:
                 arriving = incoming.select(*KEYS, F.col("seq").alias("_seq"))
                 stale = existing.join(arriving, KEYS).where(F.col("seq") > F.col("_seq")).select(*KEYS)
                 replaced = incoming = incoming.join(stale, KEYS, "left_anti")
-            kept = existing.join(replaced.select(*KEYS), KEYS, "left_anti")
+            kept = existing.join(replaced.select(*KEYS).distinct(), KEYS, "left_anti")
             self._write(meta, version, kept.unionByName(incoming), touched)
         elif stream:
             self._commit(name, version)

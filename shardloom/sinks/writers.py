@@ -77,6 +77,12 @@ def result_json(nested: DataFrame) -> DataFrame:
     return nested.select("query_index", F.to_json(F.struct(*nested.columns)).alias("value"))
 
 
+def write_results(nested: DataFrame, path: str) -> None:
+    """Nested results as JSON lines in query order."""
+    ordered = nested.orderBy("query_index")
+    result_json(ordered).select("value").write.text(path)
+
+
 def registry_json(pairs: DataFrame) -> DataFrame:
     """The registry as one JSON object with sorted keys. It has one entry for each registered tenant."""
     entries: Column = F.array_sort(F.collect_list(F.struct("collection", "tenants")))

@@ -1,8 +1,11 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from shardloom.operators import search
+from shardloom.session import scratch_path
 
 
 def brute_force(points, queries, k, allowed=lambda q, p: True):
@@ -72,7 +75,10 @@ def test_ivf_with_every_cell_is_exact_and_with_fewer_is_a_part(frames, data):
     centroids = search.train_centroids(points, 6)
     exact = brute_force(*data, 10)
     assert found(search.knn_ivf(points, queries, centroids, 10, probes=6)) == exact
-    stored = search.assign_cells(points, centroids)
+    stored = search.build_ivf(points, centroids, scratch_path(points.sparkSession, "ivf"))
+    one = queries.where("query_index = 3")
+    plan = search.knn_ivf(stored, one, centroids, 10, probes=2)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[.*cell#\d+ IN \(\d+,\d+\)", plan), plan
     some = search.knn_ivf(stored, queries, centroids, 10, probes=2)
     assert {len(h) for h in found(some).values()} == {10}
     scores = some.join(search.knn_exact(points, queries, 600).withColumnRenamed("score", "exact"),
