@@ -13,6 +13,7 @@ import json
 import uuid
 from collections.abc import Iterable
 from dataclasses import asdict, dataclass, field
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,10 @@ KEYS = ["tenant", "point_id"]
 POINT_COLUMNS = "point_id string, vector array<float>, payload variant, seq bigint"
 
 
+class RejectedLoad(ValueError):
+    """A load with points that the collection cannot take; nothing was written."""
+
+
 @dataclass(frozen=True)
 class Collection:
     """Fixed properties. ``promoted`` payload keys are stored as columns, so filters on them push down."""
@@ -43,7 +48,7 @@ class Collection:
 class Version:
     number: int = 0
     tenants: list[str] = field(default_factory=list)
-    # tenant, bucket, commit folder, points
+    # tenant, bucket, commit folder, points, bytes
     partitions: list[list] = field(default_factory=list)
     # last micro-batch committed by each stream
     streams: dict[str, int] = field(default_factory=dict)
@@ -154,7 +159,7 @@ class CollectionStore:
             return self.spark.createDataFrame([], schema).drop("commit")
         base = self._path(meta.name, "data")
         commits: dict[str, set] = {}
-        for tenant, bucket, commit, _ in partitions:
+        for tenant, bucket, commit, *_ in partitions:
             commits.setdefault(commit, set()).add((tenant, bucket))
         df = self.spark.read.schema(schema).option("basePath", base).parquet(*[f"{base}/commit={c}" for c in commits])
         # Partition columns only: Spark drops the folders of other versions before it opens a file.
@@ -213,17 +218,21 @@ class CollectionStore:
                 F.count("*").alias("n"),
                 F.count_if(wrong_size).alias("wrong"),
                 F.max(F.when(wrong_size, F.size("vector"))).alias("size"),
+                F.count_if(F.col("point_id").isNull()).alias("nameless"),
             )
             .limit(len(known) * meta.buckets + 1)
             .collect()
         )
         unknown = sorted({str(row["tenant"]) for row in rows} - known)
         if unknown:
-            raise ValueError(f"Tenant(s) not registered on collection {meta.name!r}: {unknown[:5]}")
+            raise RejectedLoad(f"Tenant(s) not registered on collection {meta.name!r}: {unknown[:5]}")
+        nameless = sum(row["nameless"] for row in rows)
+        if nameless:
+            raise RejectedLoad(f"{nameless} point(s) have no id.")
         wrong = sum(row["wrong"] for row in rows)
         if wrong:
             sizes = [row["size"] for row in rows if row["size"] is not None]
-            raise ValueError(
+            raise RejectedLoad(
                 f"{wrong} point(s) have another vector size (for example {sizes[:1]}) than collection "
                 f"{meta.name!r}, which expects {meta.vector_size}."
             )
@@ -241,9 +250,16 @@ class CollectionStore:
             .parquet(path)
         )
         written = self.spark.read.schema(self._schema(meta)).option("basePath", self._path(meta.name, "data")).parquet(path)
-        counts = written.groupBy("tenant", "bucket").count().collect()
+        # Row counts and sizes come from the file footers; one row for each written partition returns.
+        file = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size")
+        counts = (
+            written.select("tenant", "bucket", *file)
+            .groupBy("tenant", "bucket", "file").agg(F.count("*").alias("points"), F.max("size").alias("bytes"))
+            .groupBy("tenant", "bucket").agg(F.sum("points").alias("points"), F.sum("bytes").alias("bytes"))
+            .collect()
+        )
         version.partitions = [p for p in version.partitions if (p[0], p[1]) not in replaced] + [
-            [r["tenant"], r["bucket"], commit, r["count"]] for r in counts
+            [r["tenant"], r["bucket"], commit, r["points"], r["bytes"]] for r in counts
         ]
         return self._commit(meta.name, version)
 
@@ -262,7 +278,11 @@ class CollectionStore:
         staging = self._path(name, "_staging", uuid.uuid4().hex)
         self._conform(meta, points, list(order)).write.parquet(staging)
         staged = self.spark.read.parquet(staging)
-        n, touched = self._check(meta, staged, version.tenants)
+        try:
+            n, touched = self._check(meta, staged, version.tenants)
+        except RejectedLoad:
+            files.delete_tree(self.spark, staging)
+            raise
         if stream:
             version.streams[stream[0]] = stream[1]
         if n:
@@ -294,35 +314,40 @@ class CollectionStore:
         """Name the current version so that it is kept; no data is copied."""
         number = self.version(name).number
         label = label or f"{name}-{number}-{uuid.uuid4().hex[:8]}"
-        files.write_text(self.spark, self._path(name, "_snapshots", f"{label}.json"), json.dumps({"version": number}))
+        record = {"version": number, "created_at": datetime.now(timezone.utc).isoformat(timespec="seconds")}
+        files.write_text(self.spark, self._path(name, "_snapshots", f"{label}.json"), json.dumps(record))
         return label
 
-    def snapshot_version(self, name: str, label: str) -> int:
-        return json.loads(files.read_text(self.spark, self._path(name, "_snapshots", f"{label}.json")))["version"]
+    def _snapshot(self, name: str, label: str) -> dict:
+        return json.loads(files.read_text(self.spark, self._path(name, "_snapshots", f"{label}.json")))
+
+    def _snapshot_labels(self, name: str) -> list[str]:
+        listed = files.list_names(self.spark, self._path(name, "_snapshots"))
+        return [n.removesuffix(".json") for n in listed if n.endswith(".json") and not n.startswith(".")]
 
     def list_snapshots(self, name: str) -> DataFrame:
-        """Rows ``(snapshot, version, tenants, points)``."""
+        """Rows ``(snapshot, created_at, version, tenants, points, bytes)``."""
         rows = []
-        for file in files.list_names(self.spark, self._path(name, "_snapshots")):
-            if file.endswith(".json") and not file.startswith("."):
-                label = file.removesuffix(".json")
-                version = self.version(name, self.snapshot_version(name, label))
-                rows.append((label, version.number, len(version.tenants), sum(p[3] for p in version.partitions)))
-        return self.spark.createDataFrame(rows, "snapshot string, version int, tenants int, points bigint")
+        for label in self._snapshot_labels(name):
+            record = self._snapshot(name, label)
+            version = self.version(name, record["version"])
+            points, size = (sum(p[i] for p in version.partitions) for i in (3, 4))
+            rows.append((label, record["created_at"], version.number, len(version.tenants), points, size))
+        return local_table(
+            self.spark, rows, "snapshot string, created_at string, version int, tenants int, points bigint, bytes bigint"
+        )
 
     def restore_snapshot(self, name: str, label: str, priority: str = "snapshot", source: str | None = None) -> Version:
         """Merge a snapshot (of ``source``, or of the collection itself) into the current points."""
         origin = source or name
-        saved = self.points(origin, version=self.snapshot_version(origin, label))
+        saved = self.points(origin, version=self._snapshot(origin, label)["version"])
         return self.replace(name, snapshot_restore(saved, self.points(name), priority))
 
     def vacuum(self, name: str, keep_versions: int = 1) -> list[str]:
         """Delete commit folders that neither the last versions nor a snapshot refer to."""
         numbers = self.version_numbers(name)
         kept = set(numbers[-keep_versions:])
-        for file in files.list_names(self.spark, self._path(name, "_snapshots")):
-            if file.endswith(".json") and not file.startswith("."):
-                kept.add(self.snapshot_version(name, file.removesuffix(".json")))
+        kept |= {self._snapshot(name, label)["version"] for label in self._snapshot_labels(name)}
         live = {p[2] for number in kept for p in self.version(name, number).partitions}
         dropped = []
         for folder in files.list_names(self.spark, self._path(name, "data")):

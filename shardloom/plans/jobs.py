@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from shardloom.functions.text import clean_markdown, trim_ws
 from shardloom.operators import chunk, embed, prepare, search
-from shardloom.operators.joins import label_results, replace_tenant_slice, tenant_anti
+from shardloom.operators.joins import label_results, replace_tenant_slice
 from shardloom.operators.validate import import_violations
-from shardloom.plans.collections import CollectionStore, EnsureResult
+from shardloom.plans.collections import CollectionStore, EnsureResult, RejectedLoad
 from shardloom.session import local_table, materialize
 from shardloom.sinks import writers
 from shardloom.sources.backup import read_manifest, scan_backup
@@ -28,10 +28,17 @@ def _require_tenant(store: CollectionStore, collection: str, tenant: str) -> Non
         raise ValueError(f"Tenant {tenant!r} is not registered on {collection!r}. Known: {known[:15]}")
 
 
+def _tenant_points(store: CollectionStore, collection: str, tenant: str | None) -> DataFrame:
+    """One tenant's points: its partitions or, without tenant partitions, the payload field."""
+    if tenant is None or store.describe(collection).partitioned:
+        return store.points(collection, tenant)
+    return prepare.match_filter(store.points(collection), {"tenant_name": tenant})
+
+
 def prepare_points(rows: DataFrame, tenant: str, vector: str = "embedding", drop: Sequence[str] = ("embedding",),
-                   stamp_field: str = "tenant_name") -> DataFrame:
+                   stamp_field: str | None = None) -> DataFrame:
     """Rows with a vector and ``row_pos`` as points: id from uid or ordinal, payload from the other columns."""
-    payload = prepare.payload_object(rows, (*drop, "row_pos"), {stamp_field: tenant})
+    payload = prepare.payload_object(rows, (*drop, "row_pos"), {stamp_field: tenant} if stamp_field else None)
     keyed = prepare.assign_point_ids(rows)
     return keyed.select(
         F.lit(tenant).alias("tenant"), "point_id", F.col(vector).alias("vector"), payload.alias("payload"),
@@ -100,7 +107,7 @@ def search_collection(store: CollectionStore, collection: str, queries: DataFram
     # Several steps read the queries: their vectors are computed once, which matters with a slow model.
     queries = materialize(queries, "queries")
     search.check_queries(queries, store.describe(collection).vector_size)
-    points = prepare.match_filter(store.points(collection, tenant), matches or {})
+    points = prepare.match_filter(_tenant_points(store, collection, tenant), matches or {})
     if centroids is None:
         hits = search.knn_exact(points, queries, limit)
     else:
@@ -127,9 +134,7 @@ def export_collection(store: CollectionStore, collection: str, path: str, tenant
     meta = store.describe(collection)
     if tenant is not None:
         _require_tenant(store, collection, tenant)
-    points = store.points(collection, tenant if meta.partitioned else None)
-    if tenant is not None and not meta.partitioned:
-        points = prepare.match_filter(points, {"tenant_name": tenant})
+    points = _tenant_points(store, collection, tenant)
     return writers.export_points(points, path, collection, meta.vector_size, meta.partitioned)
 
 
@@ -153,17 +158,26 @@ def import_collection(store: CollectionStore, path: str, collection: str | None
     registry = None
     if meta.partitioned:
         registry = local_table(spark, [(t,) for t in store.tenants(target)], "tenant string")
-    if not import_violations(lines(False), meta.vector_size, registry, tenant_field).isEmpty():
+
+    def report() -> None:
         bad = import_violations(lines(True), meta.vector_size, registry, tenant_field)
         first = bad.orderBy("line_no").limit(10).collect()
-        raise ValueError("; ".join(f"Line {row['line_no']}: {row['reason']}" for row in first))
+        if first:
+            raise ValueError("; ".join(f"Line {row['line_no']}: {row['reason']}" for row in first))
+
     if dry_run:
+        report()
         return lines(False).count()
     points = lines(False).select(
         prepare.import_tenant(field=tenant_field).alias("tenant"), F.col("id").alias("point_id"), "vector", "payload",
         "line_order",
     )
-    return store.upsert(target, points, order=["line_order"])
+    try:
+        return store.upsert(target, points, order=["line_order"])
+    except RejectedLoad:
+        # Only a backup that was refused is read again, to say which lines are wrong.
+        report()
+        raise
 
 
 def restore_tenant(store: CollectionStore, path: str, tenant: str, collection: str | None = None,

@@ -113,7 +113,8 @@ def test_snapshots_keep_their_version_through_vacuum(spark, store):
     store.upsert("c", points(spark, [("A", "2", 22.0, 0)]))
     store.upsert("c", points(spark, [("A", "3", 3.0, 0)]))
     assert len(store.vacuum("c")) == 1
-    assert store.list_snapshots("c").select("snapshot", "points").collect() == [("s", 2)]
+    listed = store.list_snapshots("c").first()
+    assert (listed["snapshot"], listed["points"], listed["tenants"]) == ("s", 2, 1) and listed["bytes"] > 0
     store.restore_snapshot("c", "s", priority="replica")
     assert content(store.points("c")) == [("A", "1", 1.0), ("A", "2", 22.0), ("A", "3", 3.0)]
     store.restore_snapshot("c", "s", priority="snapshot")
@@ -219,7 +220,7 @@ def test_ingest_csv(spark, store, csv_path):
     found = {r["point_id"]: (r["vector"], json.loads(r["p"])) for r in store.points("c").withColumn("p", F.to_json("payload")).collect()}
     assert set(found) == {"7", "1"}
     assert found["7"] == ([1.0, 0.0], {
-        "doc": {"k": [1, 2]}, "filename": "f1", "org_id": "A", "tenant_name": "A", "text": "two\nlines", "uid": "007"})
+        "doc": {"k": [1, 2]}, "filename": "f1", "org_id": "A", "text": "two\nlines", "uid": "007"})
     with pytest.raises(ValueError, match="not registered"):
         jobs.ingest_csv(store, "c", "B", csv_path)
 
@@ -236,6 +237,16 @@ def test_embed_upsert_and_text_search(spark, store, csv_path):
     assert json.loads(nested[0]["value"])["points"][0]["payload"] == {"filename": "f3"}
 
 
+def test_tenant_search_without_tenant_partitions(spark, store, csv_path):
+    store.ensure("c", vector_size=16)
+    step = lambda df: embed.embed_by_hash(df, 16)
+    jobs.embed_upsert_csv(store, "c", "A", csv_path, step)
+    jobs.embed_upsert_csv(store, "c", "B", csv_path, step)
+    queries = jobs.query_texts(spark, ["other"])
+    assert jobs.text_search(store, "c", queries, step, 9).count() == 4
+    assert jobs.text_search(store, "c", queries, step, 9, tenant="B").count() == 1
+
+
 def test_embed_csv_keeps_other_tenants_as_they_were(spark, csv_path):
     out = scratch_path(spark, "embedded")
     step = lambda df: embed.embed_by_hash(df, 4)
