@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shardloom.functions.rows import let
+
 # The characters Python's str.strip() removes.
 WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
@@ -37,7 +39,8 @@ def is_blank(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """White-space separated words; an empty array for blank or null text."""
-    return F.when(is_blank(c), F.array().cast("array<string>")).otherwise(F.split(trim_ws(c), r"\s+"))
+    none = F.array().cast("array<string>")
+    return let(trim_ws(c), lambda s: F.when(s.isNull() | (s == ""), none).otherwise(F.split(s, r"\s+")))
 
 
 def token_count(c: Column) -> Column:

@@ -46,17 +46,16 @@ def normalize(v: Column) -> Column:
 
 
 def hashed_features(text: Column, dim: int) -> Column:
-    """Signed feature-hash codes of the words: ``+(b+1)`` or ``-(b+1)`` for bucket ``b``.
+    """Signed feature-hash codes of the words: ``2 * bucket`` for plus, ``2 * bucket + 1`` for minus.
 
     The bucket comes from the first eight hex digits of the word's MD5, the sign from the ninth.
     """
 
-    def code(word: Column) -> Column:
-        digest = F.md5(word)
-        bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % dim + 1
-        return F.when(F.substring(digest, 9, 1) < "8", bucket).otherwise(-bucket)
+    def code(digest: Column) -> Column:
+        bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % dim
+        return (bucket * 2 + F.when(F.substring(digest, 9, 1) < "8", 0).otherwise(1)).cast("int")
 
-    return F.transform(words(F.lower(text)), code)
+    return F.transform(F.transform(words(F.lower(text)), lambda word: F.md5(word)), code)
 
 
 def hash_embed(text: Column, dim: int) -> Column:
@@ -64,11 +63,16 @@ def hash_embed(text: Column, dim: int) -> Column:
 
     It reads one row at a time: no explode, no shuffle, so copies of one text cost nothing extra.
     """
+    every_code = F.sequence(F.lit(0), F.lit(2 * dim))
 
-    def counts(codes: Column) -> Column:
+    def signed_counts(starts: Column) -> Column:
+        # Code c occurs starts[c + 1] - starts[c] - 1 times; a bucket is its plus code less its minus code.
         return F.transform(
-            F.sequence(F.lit(1), F.lit(dim)),
-            lambda b: F.size(F.filter(codes, lambda c: c == b)) - F.size(F.filter(codes, lambda c: c == -b)),
+            F.sequence(F.lit(0), F.lit(dim - 1)),
+            lambda b: 2 * F.get(starts, 2 * b + 1) - F.get(starts, 2 * b) - F.get(starts, 2 * b + 2),
         )
 
-    return normalize(let(hashed_features(text, dim), counts))
+    # Counting by position: sorted together with one of each code, every code starts somewhere.
+    in_order = F.sort_array(F.concat(hashed_features(text, dim), every_code))
+    starts = let(in_order, lambda codes: F.transform(every_code, lambda c: F.array_position(codes, c)))
+    return normalize(let(starts, signed_counts))
