@@ -51,26 +51,28 @@ class _TopK:
         self.floor = np.full(len(queries), -np.inf)
 
     def add(self, block: pa.RecordBatch | pa.Table) -> None:
-        vectors = _matrix(block.column("vector"), self.queries.shape[1])
-        scores = np.round(self.queries @ vectors.T, SCORE_DECIMALS)
-        chosen = {int(q): self._candidates(q, scores[q]) for q in np.nonzero(scores.max(axis=1) >= self.floor)[0]}
+        scores = self.queries @ _matrix(block.column("vector"), self.queries.shape[1]).T
+        # Scores are compared rounded, but only the few that come near the current floor are rounded.
+        reach = self.floor - 10.0**-SCORE_DECIMALS
+        chosen = {int(q): self._candidates(q, scores[q], reach[q]) for q in np.nonzero(scores.max(axis=1) >= reach)[0]}
         if not chosen:
             return
-        rows = np.unique(np.concatenate(list(chosen.values())))
+        rows = np.unique(np.concatenate([columns for columns, _ in chosen.values()]))
         ids = dict(zip(rows.tolist(), zip(*(block.column(c).take(pa.array(rows)).to_pylist() for c in ID_COLUMNS))))
-        for q, columns in chosen.items():
-            found = ((-scores[q, i], ids[i]) for i in columns.tolist())
+        for q, (columns, rounded) in chosen.items():
+            found = ((-score, ids[i]) for score, i in zip(rounded.tolist(), columns.tolist()))
             self.best[q] = heapq.nsmallest(self.k, chain(self.best[q], found))
             if len(self.best[q]) == self.k:
                 self.floor[q] = -self.best[q][-1][0]
 
-    def _candidates(self, q: int, scores: np.ndarray) -> np.ndarray:
-        """Columns that can still enter the top ``k``; equal scores all stay, their ids decide."""
-        columns = np.nonzero(scores >= self.floor[q])[0]
-        if len(columns) > self.k:
-            cut = len(columns) - self.k
-            columns = columns[scores[columns] >= np.partition(scores[columns], cut)[cut]]
-        return columns
+    def _candidates(self, q: int, scores: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """Columns that can still enter the top ``k``, and their scores; equal scores all stay, ids decide."""
+        columns = np.nonzero(scores >= reach)[0]
+        rounded = np.round(scores[columns], SCORE_DECIMALS)
+        keep = rounded >= self.floor[q]
+        if np.count_nonzero(keep) > self.k:
+            keep = rounded >= np.partition(rounded, len(rounded) - self.k)[len(rounded) - self.k]
+        return columns[keep], rounded[keep]
 
     def hits(self, query_index: np.ndarray) -> pa.Table:
         rows = [(int(query_index[q]), *point, -neg) for q, found in enumerate(self.best) for neg, point in found]

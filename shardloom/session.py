@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Sequence
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +31,27 @@ def build_session(app: str = "shardloom", master: str | None = None, **settings:
         builder = builder.master(master)
     for key, value in {**DEFAULTS, **{k.replace("__", "."): v for k, v in settings.items()}}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, so that Python workers can import it wherever they run."""
+    from shardloom.sources import files
+
+    context = spark.sparkContext
+    if getattr(context, "_shardloom_shipped", False):
+        return
+    package = Path(__file__).parent
+    archive = io.BytesIO()
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    path = f"{scratch_path(spark, 'package')}/shardloom.zip"
+    files.write_bytes(spark, path, archive.getvalue())
+    context.addPyFile(path)
+    context._shardloom_shipped = True
 
 
 def shared_folder(spark: SparkSession) -> str:

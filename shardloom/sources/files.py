@@ -33,16 +33,20 @@ def total_bytes(spark: SparkSession, path: str) -> int:
     return int(fs.getContentSummary(location).getLength())
 
 
-def write_text(spark: SparkSession, path: str, text: str, overwrite: bool = False) -> None:
+def write_bytes(spark: SparkSession, path: str, content: bytes, overwrite: bool = False) -> None:
     """Create the file in one step; without ``overwrite`` an existing file is an error."""
     fs, location = _locate(spark, path)
     stream = fs.create(location, overwrite)
     try:
-        stream.write(bytearray(text, "utf-8"))
+        stream.write(bytearray(content))
     finally:
         stream.close()
 
 
+def write_text(spark: SparkSession, path: str, text: str, overwrite: bool = False) -> None:
+    write_bytes(spark, path, text.encode(), overwrite)
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     fs, location = _locate(spark, path)
     stream = fs.open(location)
