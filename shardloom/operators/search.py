@@ -1,15 +1,16 @@
 """Cosine top-k search.
 
-Two exact plans give the same hits. A query set of bounded size is sent to the tasks that scan the
-points, and each task keeps a running top-k, so no point is shuffled. A larger query set, or one that
-searches a different group of points for each query, is cut with the points into blocks of bounded
-size that meet in an equi-join on the block numbers.
+Two exact plans give the same hits. A query set of bounded size is sent, in shares, to the tasks that
+scan the points, and each task keeps a running top-k, so no point is shuffled. A larger query set, or
+one that searches a different group of points for each query, is cut with the points into blocks of
+bounded size that meet in an equi-join on the block numbers.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -26,8 +27,9 @@ HIT_SCHEMA = "query_index int, point_id string, tenant string, score double"
 
 # Sizes of what one task holds at a time.
 QUERY_BROADCAST_BYTES = 64 << 20
+QUERY_PASSES = 16
 HITS_BROADCAST_ROWS = 1_000_000
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 64 << 20
 SCORE_CELLS = 4 << 20
 
 
@@ -105,38 +107,48 @@ def check_queries(queries: DataFrame, dim: int) -> None:
 
 
 def knn_exact(points: DataFrame, queries: DataFrame, k: int = 10,
-              broadcast_bytes: int = QUERY_BROADCAST_BYTES) -> DataFrame:
+              broadcast_bytes: int = QUERY_BROADCAST_BYTES, most_passes: int = QUERY_PASSES) -> DataFrame:
     """Exact top-``k`` of every query over all points: ``(query_index, rank, point_id, tenant, score)``.
 
     ``points`` has ``tenant, point_id, vector`` and ``queries`` has ``query_index, qvec``. The query set
-    is measured first; beyond ``broadcast_bytes`` the blocked plan takes over.
+    is measured first. What exceeds ``broadcast_bytes`` takes several passes over the points, each with
+    its share of the queries, which is cheaper than a shuffle of the points; beyond ``most_passes`` the
+    blocked plan takes over.
     """
     n, dim = _query_shape(queries)
-    if n * dim * 8 > broadcast_bytes:
+    passes = -(-n * dim * 8 // broadcast_bytes)
+    if passes > most_passes:
         return knn_blocked(points, queries, k)
-    kept = queries.where(_searchable(queries, "qvec", dim)).select("query_index", "qvec").collect()
-    spark = points.sparkSession
-    if not kept:
-        return local_table(spark, [], HIT_SCHEMA + ", rank int")
-    index = np.array([row["query_index"] for row in kept])
-    matrix = np.array([row["qvec"] for row in kept], dtype=np.float64)
+    points = points.where(_searchable(points, "vector", dim)).select(*ID_COLUMNS, "vector")
+    queries = queries.where(_searchable(queries, "qvec", dim)).select("query_index", "qvec")
+    share = F.pmod(F.xxhash64("query_index"), F.lit(max(passes, 1)))
+    found = [
+        _scan(points, kept, dim, k)
+        for i in range(passes)
+        if (kept := queries.where(share == i if passes > 1 else F.lit(True)).collect())
+    ]
+    if not found:
+        return local_table(points.sparkSession, [], HIT_SCHEMA + ", rank int")
+    return rank_hits(reduce(DataFrame.union, found), k).select("query_index", "rank", *ID_COLUMNS, "score")
+
+
+def _scan(points: DataFrame, queries: list, dim: int, k: int) -> DataFrame:
+    """Top-``k`` of each scanning task for queries that are sent to all of them."""
+    index = np.array([row["query_index"] for row in queries])
+    matrix = np.array([row["qvec"] for row in queries], dtype=np.float64)
     matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
-    shared = spark.sparkContext.broadcast((index, matrix))
-    rows_at_once = max(1, SCORE_CELLS // len(kept))
+    shared = points.sparkSession.sparkContext.broadcast((index, matrix))
+    rows_at_once = max(1, SCORE_CELLS // len(queries))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_index, query_matrix = shared.value
         best = _TopK(query_matrix, k)
         for batch in batches:
             for start in range(0, batch.num_rows, rows_at_once):
-                block = batch.slice(start, rows_at_once)
-                best.add(block)
+                best.add(batch.slice(start, rows_at_once))
         yield from best.hits(query_index).to_batches()
 
-    found = (
-        points.where(_searchable(points, "vector", dim)).select(*ID_COLUMNS, "vector").mapInArrow(scan, HIT_SCHEMA)
-    )
-    return rank_hits(found, k).select("query_index", "rank", *ID_COLUMNS, "score")
+    return points.mapInArrow(scan, HIT_SCHEMA)
 
 
 def knn_blocked(points: DataFrame, queries: DataFrame, k: int = 10, group: str | None = None,

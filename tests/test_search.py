@@ -52,7 +52,13 @@ def test_exact_equals_brute_force_with_many_equal_scores(frames, data):
 
 
 def test_large_query_sets_take_the_blocked_plan(frames, data):
-    assert found(search.knn_exact(*frames, 10, broadcast_bytes=1)) == brute_force(*data, 10)
+    assert found(search.knn_exact(*frames, 10, broadcast_bytes=1, most_passes=3)) == brute_force(*data, 10)
+
+
+def test_several_passes_share_the_queries(frames, data):
+    hits = search.knn_exact(*frames, 10, broadcast_bytes=8 * 8 * 4)
+    assert hits._jdf.queryExecution().executedPlan().toString().count("MapInArrow") > 1
+    assert found(hits) == brute_force(*data, 10)
 
 
 def test_blocks_of_any_size_give_the_same_hits(frames, data):
