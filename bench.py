@@ -1,4 +1,4 @@
-"""Time the headline queries; prints one JSON line."""
+"""Time the headline queries, twice in one session; prints one JSON line."""
 
 from __future__ import annotations
 
@@ -28,14 +28,18 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{sf_dir}/region.parquet").count()
-    timings = {}
-    for name in HEADLINE:
+
+    def timed(name: str) -> float:
         begin = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        timings[name] = round(time.perf_counter() - begin, 3)
+        return round(time.perf_counter() - begin, 3)
+
+    # The first pass pays for code generation and worker start; the second is reported.
+    first_pass = {name: timed(name) for name in HEADLINE}
+    timings = {name: timed(name) for name in HEADLINE}
     print(json.dumps({
         "metric": "total_query_seconds", "value": round(sum(timings.values()), 3), "unit": "sec", "queries": timings,
-        "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
+        "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"), "first_pass": first_pass,
     }))
 
 
