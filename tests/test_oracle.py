@@ -6,8 +6,8 @@ import __spark_entry__ as contract
 from compare import compare, connect
 
 SF = "/root/testdata/sf0.001"
-QUERIES = contract.queries()
-ORACLES = contract.oracle_sql()
+QUERIES = {name: run for name, run in contract.queries().items() if name not in contract.LLM_QUERIES}
+ORACLES = {name: sql for name, sql in contract.oracle_sql().items() if name not in contract.LLM_QUERIES}
 
 
 @pytest.fixture(scope="module")
