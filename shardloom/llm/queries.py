@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm import byte_bpe, feistel_shards, token_blocks, wu_manber
+from shardloom.llm import byte_bpe, feistel_shards, order_minhash, token_blocks, wu_manber
 from shardloom.llm.batches import table
 
 SHARDS = 40
@@ -36,8 +36,12 @@ def op8_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wu_manber.report(wu_manber.find_items(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    run.__name__: run for run in (op1_token_blocks, op4_feistel_shards, op6_byte_bpe, op8_wu_manber)
+    run.__name__: run for run in (op1_token_blocks, op4_feistel_shards, op6_byte_bpe, op8_wu_manber, op10_order_minhash)
 }
 
 _BYTES = "encode(coalesce(text, ''))"
