@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm import byte_bpe, feistel_shards, order_minhash, token_blocks, wu_manber
+from shardloom.llm import byte_bpe, feistel_shards, multi_index, order_minhash, quality, token_blocks, toxicity, wu_manber
 from shardloom.llm.batches import table
+from shardloom.llm.labelled import held_out
 
 SHARDS = 40
+NEIGHBOURS = 10
 
 
 def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +20,16 @@ def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.read_token_files(spark, folder, manifest, with_ids=False)
 
 
+def _scored(docs: DataFrame, threshold: float) -> DataFrame:
+    return docs.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return _scored(quality.score(docs, model), quality.THRESHOLD)
+
+
 def op4_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     docs = table(spark, sf_dir, "documents").select(
@@ -27,10 +39,20 @@ def op4_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, NEIGHBOURS)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return _scored(toxicity.score(docs, model), toxicity.THRESHOLD)
+
+
 def op8_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return wu_manber.report(wu_manber.find_items(docs, table(spark, sf_dir, "benchmark")))
@@ -41,7 +63,7 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    run.__name__: run for run in (op1_token_blocks, op4_feistel_shards, op6_byte_bpe, op8_wu_manber, op10_order_minhash)
+    run.__name__: run for run in (op1_token_blocks, op2_quality, op4_feistel_shards, op5_multi_index, op6_byte_bpe, op7_toxicity, op8_wu_manber, op10_order_minhash)
 }
 
 _BYTES = "encode(coalesce(text, ''))"
