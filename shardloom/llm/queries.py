@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm import byte_bpe, feistel_shards, multi_index, order_minhash, quality, token_blocks, toxicity, wu_manber
+from shardloom.llm import (
+    byte_bpe, feistel_shards, html_layout, multi_index, order_minhash, quality, token_blocks, toxicity, trie_counts, wu_manber,
+)
 from shardloom.llm.batches import table
 from shardloom.llm.labelled import held_out
 
@@ -30,6 +32,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality.score(docs, model), quality.THRESHOLD)
 
 
+def op3_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_layout.extract_text(table(spark, sf_dir, "pages")).select("page_id", "text")
+
+
 def op4_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     docs = table(spark, sf_dir, "documents").select(
@@ -58,12 +64,20 @@ def op8_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wu_manber.report(wu_manber.find_items(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op9_trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "n_pretokens")
+
+
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    run.__name__: run for run in (op1_token_blocks, op2_quality, op4_feistel_shards, op5_multi_index, op6_byte_bpe, op7_toxicity, op8_wu_manber, op10_order_minhash)
+    run.__name__: run
+    for run in (
+        op1_token_blocks, op2_quality, op3_html_layout, op4_feistel_shards, op5_multi_index, op6_byte_bpe, op7_toxicity,
+        op8_wu_manber, op9_trie_counts, op10_order_minhash,
+    )
 }
 
 _BYTES = "encode(coalesce(text, ''))"
