@@ -47,7 +47,7 @@ SECOND_PERSON = frozenset((
     "vous", "votre", "tú", "ti", "usted", "vosotros",
 ))
 # Signs that stand for letters.
-_PLAIN = str.maketrans("013457@$!", "oleastasi")
+_PLAIN = str.maketrans("013457@$!", "oieastasi")
 _EDGE = ".,;:!?\"'()[]{}<>"
 _INNER = re.compile(r"[^\W\d_]+[\d@$!*#._-]+[^\W\d_]|[\d@$!*#]+[^\W\d_]+[\d@$!*#]")
 
