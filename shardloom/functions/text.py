@@ -14,6 +14,9 @@ WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
+# The same characters between words; regular expressions alone know fewer.
+WHITESPACE_RUN = f"[{WHITESPACE}]+"
+
 # Fixed value: the URL namespace of RFC 4122, as hex digits.
 UUID_URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 
@@ -40,11 +43,11 @@ def is_blank(c: Column) -> Column:
 def words(c: Column) -> Column:
     """White-space separated words; an empty array for blank or null text."""
     none = F.array().cast("array<string>")
-    return let(trim_ws(c), lambda s: F.when(s.isNull() | (s == ""), none).otherwise(F.split(s, r"\s+")))
+    return let(trim_ws(c), lambda s: F.when(s.isNull() | (s == ""), none).otherwise(F.split(s, WHITESPACE_RUN)))
 
 
 def token_count(c: Column) -> Column:
-    return F.when(is_blank(c), F.lit(0)).otherwise(F.size(F.split(trim_ws(c), r"\s+")))
+    return F.when(is_blank(c), F.lit(0)).otherwise(F.size(F.split(trim_ws(c), WHITESPACE_RUN)))
 
 
 def clean_markdown(c: Column) -> Column:
@@ -65,7 +68,7 @@ def prefix_text(c: Column, input_type: str) -> Column:
     """Add the E5 prefix unless the text already carries one."""
     prefix = input_type.strip().lower()
     if prefix not in INPUT_TYPES:
-        raise ValueError("input_type must be 'passage', 'query', or ''.")
+        raise ValueError(f"Unknown input type {input_type!r}; known are {[t for t in INPUT_TYPES if t]} and none at all.")
     if not prefix:
         return c
     marked = F.lower(c).startswith("passage: ") | F.lower(c).startswith("query: ")

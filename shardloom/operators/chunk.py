@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shardloom.functions.rows import let
-from shardloom.functions.text import clean_markdown, trim_ws, words
+from shardloom.functions.text import WHITESPACE, clean_markdown, trim_ws, words
 
 # Markdown separators, tried in this order.
 MARKDOWN_SEPARATORS = ("\n# ", "\n## ", "\n### ", "\n#### ", "\n##### ", "\n###### ", "\n\n", "\n", " ")
@@ -35,9 +35,32 @@ def word_windows(text: Column, size: int, overlap: int, min_words: int) -> Colum
 
 
 def markdown_windows(text: Column, size: int, overlap: int, min_words: int) -> Column:
-    """Word windows that never cross a markdown heading; the heading opens its section."""
-    sections = F.split(text, "\n(?=#{1,6} )")
-    return F.flatten(F.transform(sections, lambda section: word_windows(section, size, overlap, min_words)))
+    """ARRAY<STRING> of windows that open at headings where they can.
+
+    Consecutive sections are packed into one window while they fit; a section that alone exceeds ``size`` becomes word
+    windows. The minimum applies to finished windows, and each window is the text as written between its ends.
+    """
+    _check(size, overlap)
+    step = size - overlap
+    none = F.array().cast("array<string>")
+    start = F.struct(F.array().cast("array<array<string>>").alias("done"), none.alias("open"))
+
+    def pack(state: Column, words_here: Column) -> Column:
+        fits = F.size(state["open"]) + F.size(words_here) <= size
+        return F.when(fits, F.struct(state["done"].alias("done"), F.concat(state["open"], words_here).alias("open"))).otherwise(
+            F.struct(F.concat(state["done"], F.array(state["open"])).alias("done"), words_here.alias("open")))
+
+    def windows(tokens: Column) -> Column:
+        last = F.greatest(F.ceil((F.size(tokens) - size) / F.lit(step)), F.lit(0)).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(tokens, i * step + 1, size))
+
+    # Each word keeps the white space behind it; the line feed before a heading goes to the section it ends.
+    sections = F.transform(
+        F.split(text, "\n(?=#{1,6} )"),
+        lambda section: F.regexp_extract_all(F.concat(section, F.lit("\n")), F.lit(f"[^{WHITESPACE}]+[{WHITESPACE}]*"), F.lit(0)))
+    packed = F.aggregate(sections, start, pack, lambda state: F.concat(state["done"], F.array(state["open"])))
+    finished = F.filter(F.flatten(F.transform(packed, windows)), lambda w: F.size(w) >= max(min_words, 1))
+    return F.transform(finished, lambda w: trim_ws(F.array_join(w, "")))
 
 
 def _explode(df: DataFrame, windows: Column, text: str, uid: str) -> DataFrame:
@@ -69,7 +92,7 @@ def chunk_words(df: DataFrame, text: str = "text", uid: str = "uid", size: int =
 
 def chunk_markdown(df: DataFrame, text: str = "text", uid: str = "uid", size: int = 400, overlap: int = 80,
                    min_words: int = 100, clean: bool = True) -> DataFrame:
-    """Like :func:`chunk_words`, after image removal and never across headings."""
+    """Like :func:`chunk_words`, after image removal, with windows that open at headings where they can."""
     source = clean_markdown(F.col(text)) if clean else F.col(text)
     return _explode(df, markdown_windows(source, size, overlap, min_words), text, uid)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from shardloom.functions import json as J
 from shardloom.functions import text as X
 from shardloom.functions import vectors as V
-from shardloom.operators import prepare
+from shardloom.operators import chunk, prepare
 
 
 def values(df, column):
@@ -146,3 +146,26 @@ def test_hash_embed_is_a_unit_vector_and_ignores_case_and_spacing(rows):
     a, b, c, none = each(rows, lambda c: V.hash_embed(c, 16), ["Alpha beta", " alpha\n BETA ", "gamma", " "])
     assert a == b and a != c and none is None
     assert math.isclose(sum(x * x for x in a), 1.0)
+
+
+def test_words_are_parted_by_unicode_white_space(rows):
+    df = rows("t string", [("a\u00a0b\u3000c",), (" \u2003 ",)])
+    assert [r[0] for r in df.select(X.token_count(F.col("t"))).collect()] == [3, 0]
+
+
+@pytest.mark.parametrize("least", [0, 100])
+def test_markdown_sections_are_packed(rows, least):
+    text = "\n".join(f"## h{i}\n" + " ".join(f"w{i}_{j}" for j in range(58)) for i in range(20))
+    out = chunk.chunk_markdown(rows("uid string, text string", [("d", text)]), min_words=least).orderBy("chunk_index").collect()
+    assert len(out) == 4 and all(len(r["text"].split()) <= 400 for r in out)
+    assert out[0]["text"].startswith("## h0\nw0_0") and "\n## h1\n" in out[0]["text"]
+    if not least:
+        assert " ".join(r["text"] for r in out).split() == text.split()
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.sampled_from(["# ", "## x", "a", "bb\tc", "d  e", "", "f\u00a0g"]), max_size=40), st.integers(1, 9))
+def test_no_word_is_lost_without_a_minimum(rows, lines, size):
+    text = "\n".join(lines)
+    out = chunk.chunk_markdown(rows("uid string, text string", [("d", text)]), size=size, overlap=0, min_words=0).orderBy("chunk_index").collect()
+    assert " ".join(r["text"] for r in out).split() == text.split()

@@ -67,7 +67,7 @@ def test_markdown_windows_stop_at_headings(rows):
     df = rows("uid string, text string", [("u", "intro text\n# One\na b c d\n## Two\ne\n#not a heading")])
     found = chunk.chunk_markdown(df, size=4, overlap=1, min_words=1).orderBy("chunk_index")
     assert [r["text"] for r in found.collect()] == [
-        "intro text", "# One a b", "b c d", "## Two e #not", "#not a heading"]
+        "intro text", "# One\na b", "b c d", "## Two\ne\n#not", "#not a heading"]
 
 
 def test_recursive_split_prefers_headings_and_keeps_the_overlap():
