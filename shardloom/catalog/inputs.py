@@ -44,7 +44,7 @@ def attributed_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     payload = F.to_variant_object(F.struct("lang", F.col("source").alias("filename"), "n_chars"))
     return (
-        vector_points(spark, sf_dir).join(docs, "point_id")
+        vector_points(spark, sf_dir).join(docs, "point_id", "left")
         .select("tenant", "point_id", "vector", payload.alias("payload"))
     )
 

@@ -12,7 +12,7 @@ POINTS = """points AS (
   FROM embeddings)"""
 
 ATTRIBUTED = f"""{POINTS}, attributed AS (
-  SELECT p.*, d.lang, d.source AS filename FROM points p JOIN documents d ON p.point_id = CAST(d.doc_id AS VARCHAR))"""
+  SELECT p.*, d.lang, d.source AS filename FROM points p LEFT JOIN documents d ON p.point_id = CAST(d.doc_id AS VARCHAR))"""
 
 SOURCE_QUERIES = """elements AS (
   SELECT CAST(substr(d.source, 4) AS INTEGER) AS source_no, d.source, e.label,
@@ -152,7 +152,7 @@ ORACLE["read_registry"] = REGISTRY_CSV
 _STORED = "list_transform(vector, lambda x: CAST(x AS FLOAT))"
 ORACLE["scan_points"] = f"WITH {ATTRIBUTED} " + vectors("tenant, point_id, filename, lang", _STORED, "attributed")
 ORACLE["scroll_page"] = f"""WITH {ATTRIBUTED}
-SELECT tenant, point_id FROM attributed WHERE point_id > '15' ORDER BY point_id, tenant LIMIT 100"""
+SELECT tenant, point_id FROM attributed WHERE (point_id, tenant) > ('15', 'T3') ORDER BY point_id, tenant LIMIT 100"""
 ORACLE["upsert_points"] = latest()
 ORACLE["export_points"] = f"WITH {ATTRIBUTED} " + vectors(
     "CAST(point_id AS BIGINT) AS id, tenant AS shard_key, filename", _STORED, "attributed")
@@ -218,8 +218,30 @@ _SECTIONS = """sections AS (
   SELECT uid, org_id, unnest(parts) AS text, unnest(range(len(parts))) AS part FROM (
     SELECT uid, org_id, string_split(regexp_replace(text, '\\n(#{1,6} )', chr(2) || '\\1', 'g'), chr(2)) AS parts
     FROM marked))"""
-ORACLE["chunk_markdown"] = f"""WITH {MARKED}, {_SECTIONS}, {windows('chunks', 'sections', 'uid, part', 40, 10, 5)},
-{numbered('chunks', 'uid', 'part, start')} SELECT {CHUNK_UID} FROM numbered"""
+
+
+def packed_windows(size: int, overlap: int, least: int) -> str:
+    """Sections packed by a recursive walk, then windows over each pack; words keep the white space behind them."""
+    step = size - overlap
+    return f"""toks AS (
+  SELECT uid, org_id, part, regexp_extract_all(text || chr(10), '\\S+\\s*') AS w FROM sections),
+walk AS (
+  SELECT uid, part, len(w) AS n, 0 AS pack, len(w) AS held FROM toks WHERE part = 0
+  UNION ALL
+  SELECT t.uid, t.part, len(t.w), CASE WHEN k.held + len(t.w) <= {size} THEN k.pack ELSE k.pack + 1 END,
+         CASE WHEN k.held + len(t.w) <= {size} THEN k.held + len(t.w) ELSE len(t.w) END
+  FROM walk k JOIN toks t ON t.uid = k.uid AND t.part = k.part + 1),
+packs AS (
+  SELECT t.uid, t.org_id, k.pack, flatten(list(t.w ORDER BY t.part)) AS w
+  FROM toks t JOIN walk k ON t.uid = k.uid AND t.part = k.part GROUP BY ALL),
+cut AS (
+  SELECT uid, org_id, pack, start, w[start + 1 : start + {size}] AS w
+  FROM packs, unnest(range(0, greatest(CAST(ceil((len(w) - {size}) / {step}.0) AS BIGINT), 0) * {step} + 1, {step})) AS u(start)),
+chunks AS (SELECT *, trim(array_to_string(w, ''), {SPACES}) AS chunk FROM cut WHERE len(w) >= {least})"""
+
+
+ORACLE["chunk_markdown"] = f"""WITH RECURSIVE {MARKED}, {_SECTIONS}, {packed_windows(40, 10, 5)},
+{numbered('chunks', 'uid', 'pack, start')} SELECT {CHUNK_UID} FROM numbered"""
 ORACLE["chunk_records"] = f"""WITH turns AS (SELECT conv_id || '-' || turn AS uid, role, text FROM conversations),
 {windows('chunks', 'turns', 'uid, role', 30, 5, 3)}, {numbered('chunks', 'uid, role', 'start')}
 SELECT role, {CHUNK_UID} FROM numbered"""
@@ -230,8 +252,8 @@ ORACLE["normalize_vectors"] = f"""WITH {POINTS}, unit AS (
 ORACLE["hash_embed"] = f"WITH {RECORDS}, {hashed('embedded', 'records', 'uid')} " + vectors("uid", "vector", "embedded")
 ORACLE["embed_text"] = f"WITH {RECORDS}, {hashed('embedded', 'records', 'uid', 'FLOAT')} " + vectors(
     "uid", "vector", "embedded")
-_DOCUMENT_CHUNKS = f"""WITH {MARKED}, {_SECTIONS},
-{windows('pieces', 'sections', 'uid, org_id, part', 80, 20, 10)}, {numbered('pieces', 'uid, org_id', 'part, start')},
+_DOCUMENT_CHUNKS = f"""WITH RECURSIVE {MARKED}, {_SECTIONS}, {packed_windows(80, 20, 10).replace('chunks AS', 'pieces AS')},
+{numbered('pieces', 'uid, org_id', 'pack, start')},
 chunks AS (
   SELECT CASE WHEN chunk_count > 1 THEN uid || '_' || chunk_index ELSE uid END AS uid, org_id, chunk_index, chunk_count,
          chunk AS text FROM numbered)"""
@@ -291,6 +313,9 @@ SELECT count(*) AS rows_read, count(*) FILTER (reason IS NULL) AS rows_kept,
 
 ORACLE["knn_exact"] = f"WITH {POINTS}, {SOURCE_QUERIES}, {top_k('points', 'queries', 10)} {HITS}"
 ORACLE["knn_blocked"] = ORACLE["knn_exact"]
+ORACLE["knn_nonfinite"] = f"""WITH {POINTS}, {SOURCE_QUERIES}, fine AS (SELECT * FROM points WHERE tenant NOT IN ('T3', 'T4')),
+{top_k('fine', 'queries', 10)} {HITS}"""
+ORACLE["scroll_all"] = "SELECT DISTINCT 'T' || label AS tenant, CAST(vec_id % 50 AS VARCHAR) AS point_id FROM embeddings"
 ORACLE["knn_tenant"] = f"""WITH {POINTS}, {SOURCE_QUERIES}, tenant_means AS (
   SELECT source_no, label, pos, avg(CAST(x AS DOUBLE)) AS x FROM elements GROUP BY ALL),
 tenant_queries AS (

@@ -14,7 +14,7 @@ from shardloom.functions.json import json_cell
 from shardloom.functions import text as texts
 from shardloom.operators import chunk, embed, joins, prepare, reports, search, validate
 from shardloom.plans import jobs
-from shardloom.session import scratch_path
+from shardloom.session import local_table, materialize, scratch_path
 from shardloom.sinks import writers
 from shardloom.sources.backup import read_manifest as manifest_of
 from shardloom.sources.backup import scan_backup as backup_of
@@ -121,7 +121,7 @@ def scan_points(spark, sf_dir):
 @query
 def scroll_page(spark, sf_dir):
     points = given.vector_store(spark, sf_dir, "scroll").points("points")
-    return search.scroll_page(points, limit=100, after="15").select("tenant", "point_id")
+    return search.scroll_page(points, limit=100, after=("15", "T3")).select("tenant", "point_id")
 
 
 # -- sinks -----------------------------------------------------------------------------------------
@@ -588,6 +588,28 @@ def knn_exact(spark, sf_dir):
     return _hits(search.knn_exact(given.vector_points(spark, sf_dir), given.source_queries(spark, sf_dir), 10))
 
 
+@query
+def knn_nonfinite(spark, sf_dir):
+    """Vectors with NaN or infinity are no candidates, and the others are found all the same."""
+    spoiled = F.when(F.col("tenant") == "T3", float("nan")).when(F.col("tenant") == "T4", float("inf"))
+    points = given.vector_points(spark, sf_dir).withColumn(
+        "vector", F.transform("vector", lambda x, i: F.coalesce(F.when(i == 5, spoiled), x)))
+    return _hits(search.knn_exact(points, given.source_queries(spark, sf_dir), 10))
+
+
+@query
+def scroll_all(spark, sf_dir):
+    """Every page of points whose ids occur in many tenants."""
+    points = table(spark, sf_dir, "embeddings").select(
+        F.concat(F.lit("T"), "label").alias("tenant"), (F.col("vec_id") % 50).cast("string").alias("point_id")).distinct()
+    points = materialize(points, "points")
+    pages, after = [], None
+    while page := search.scroll_page(points, 100, after).collect():
+        pages += [(row["tenant"], row["point_id"]) for row in page]
+        after = page[-1]["point_id"], page[-1]["tenant"]
+    return local_table(spark, pages, "tenant string, point_id string")
+
+
 @query
 def knn_blocked(spark, sf_dir):
     """The plan for query sets too large to send to every task; small blocks make many meetings."""

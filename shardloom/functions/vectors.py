@@ -28,6 +28,11 @@ def parse_vector(c: Column) -> Column:
     return let(parsed, lambda vector: F.when(~F.exists(vector, lambda x: x.isNull()), vector))
 
 
+def all_finite(v: Column) -> Column:
+    """Whether no element is null, NaN or infinite; true for an empty vector."""
+    return F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0),
                        lambda acc, x: acc + x)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +35,8 @@ def embed_text(df: DataFrame, load_model: Callable[[], Embedder], text: str = "t
             rows = texts.notna().to_numpy().nonzero()[0]
             for start in range(0, len(rows), batch_size):
                 part = rows[start:start + batch_size]
-                for row, values in zip(part, model(texts.iloc[part].tolist())):
-                    out.iat[row] = [float(x) for x in values]
+                for row, values in zip(part, model(texts.iloc[part].tolist()), strict=True):
+                    out.iat[row] = np.asarray(values, dtype=np.float32)
             yield out
 
     spread_out = df.repartition(spread) if spread else df

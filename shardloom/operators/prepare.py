@@ -33,13 +33,13 @@ def drop_blank_text(df: DataFrame, column: str = "text") -> DataFrame:
     return df.where(~is_blank(F.col(column)))
 
 
-def is_junk_column(name: str) -> bool:
-    """Blank headers (which the CSV reader names ``_c<N>``) and ``Unnamed:`` headers."""
-    return not name.strip() or name.startswith(JUNK_PREFIX) or re.fullmatch(r"_c\d+", name) is not None
+def has_no_header(name: str) -> bool:
+    """Columns that carry no name of their own: Spark calls them ``_c<N>``, spreadsheets ``Unnamed: <N>``."""
+    return re.fullmatch(rf"\s*|_c\d+|{JUNK_PREFIX}.*", name, re.DOTALL) is not None
 
 
 def prune_columns(df: DataFrame) -> DataFrame:
-    return df.select(*[F.col(f"`{name}`") for name in df.columns if not is_junk_column(name)])
+    return df.select(*[F.col(f"`{name}`") for name in df.columns if not has_no_header(name)])
 
 
 def prune_payload_keys(df: DataFrame, payload: str = "payload") -> DataFrame:
@@ -58,7 +58,7 @@ def payload_object(
     """One VARIANT object of the kept columns: blank and NaN become null, JSON-looking cells are parsed."""
     fields = []
     for field in df.schema.fields:
-        if field.name in drop or field.name in (stamp or {}) or is_junk_column(field.name):
+        if field.name in drop or field.name in (stamp or {}) or has_no_header(field.name):
             continue
         cell = F.col(f"`{field.name}`")
         if isinstance(field.dataType, T.StringType):
@@ -132,7 +132,8 @@ def import_tenant(shard_key: str = "shard_key", payload: str = "payload", field:
 
 
 def import_tenant_filter(df: DataFrame, tenant: str, field: str = "tenant_name") -> DataFrame:
-    return df.where(import_tenant(field=field) == tenant)
+    """The lines of one tenant, and every line that could not be read: it may be the tenant's too."""
+    return df.where((import_tenant(field=field) == tenant) | ~F.col("parsed"))
 
 
 def sanitize_numbers(df: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shardloom.functions.vectors import SCORE_DECIMALS, normalize
+from shardloom.functions.vectors import SCORE_DECIMALS, all_finite, normalize
 from shardloom.session import local_if_small, local_table
 
 # In the order that breaks ties.
@@ -85,7 +85,7 @@ class _TopK:
 
 
 def _searchable(df: DataFrame, vector: str, dim: int) -> Column:
-    return (F.size(vector) == dim) & F.exists(vector, lambda x: x != 0)
+    return (F.size(vector) == dim) & all_finite(F.col(vector)) & F.exists(vector, lambda x: x != 0)
 
 
 def rank_hits(hits: DataFrame, k: int) -> DataFrame:
@@ -95,7 +95,11 @@ def rank_hits(hits: DataFrame, k: int) -> DataFrame:
 
 
 def _query_shape(queries: DataFrame) -> tuple[int, int]:
-    row = queries.agg(F.count("*").alias("n"), F.max(F.size("qvec")).alias("dim")).first()
+    """Number and size of the queries; queries of several sizes are an error, null vectors find nothing."""
+    size = F.when(F.col("qvec").isNotNull(), F.size("qvec"))
+    row = queries.agg(F.count("*").alias("n"), F.min(size).alias("least"), F.max(size).alias("dim")).first()
+    if row["least"] != row["dim"]:
+        raise ValueError(f"The queries have vectors of different sizes, from {row['least']} to {row['dim']}.")
     return row["n"], row["dim"] or 0
 
 
@@ -226,12 +230,21 @@ def _nearest_cells(vector: Column, centroids: np.ndarray, n: int) -> Column:
     """The ``n`` cells whose centroids are closest, nearest first (ties by cell number)."""
     dim = centroids.shape[1]
     unit = centroids / np.linalg.norm(centroids, axis=1, keepdims=True)
+    # A share of the centroids at a time, and the best cells so far: the scores of a batch stay small.
+    share = max(n, SCORE_CELLS // 10_000)
 
     @F.arrow_udf("array<int>")
     def cells(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            scores = np.round(_matrix(batch, dim) @ unit.T, SCORE_DECIMALS)
-            nearest = np.argsort(-scores, axis=1, kind="stable")[:, :n].astype(np.int32)
+            vectors = _matrix(batch, dim)
+            nearest = np.zeros((len(vectors), 0), np.int32)
+            best = np.zeros((len(vectors), 0))
+            for first in range(0, len(unit), share):
+                some = np.round(vectors @ unit[first : first + share].T, SCORE_DECIMALS)
+                number = np.broadcast_to(np.arange(first, first + some.shape[1], dtype=np.int32), some.shape)
+                best, nearest = np.hstack((best, some)), np.hstack((nearest, number))
+                order = np.argsort(-best, axis=1, kind="stable")[:, :n]
+                best, nearest = np.take_along_axis(best, order, 1), np.take_along_axis(nearest, order, 1)
             offsets = np.arange(0, nearest.size + 1, nearest.shape[1], dtype=np.int32)
             yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(nearest.ravel()))
 
@@ -251,8 +264,6 @@ def train_centroids(points: DataFrame, cells: int, seed: int = 42, iterations: i
 def assign_cells(df: DataFrame, centroids: list[list[float]], vector: str = "vector", probes: int = 1) -> DataFrame:
     """Add ``cell``: one row for each of the ``probes`` nearest centroids."""
     matrix = np.array(centroids, dtype=np.float64)
-    if matrix.nbytes > QUERY_BROADCAST_BYTES:
-        raise ValueError("The centroids are sent to every task; use fewer cells.")
     usable = df.where(_searchable(df, vector, matrix.shape[1]))
     return usable.withColumn("cell", F.explode(_nearest_cells(F.col(vector), matrix, min(probes, len(matrix)))))
 
@@ -292,7 +303,12 @@ def attach_payload(hits: DataFrame, points: DataFrame, columns: list[str], most_
     return points.select(*ID_COLUMNS, *columns).join(side, list(ID_COLUMNS))
 
 
-def scroll_page(points: DataFrame, limit: int = 256, after: str | None = None) -> DataFrame:
-    """The next ``limit`` points in id order after a point id."""
-    rest = points if after is None else points.where(F.col("point_id") > after)
-    return rest.orderBy(*ID_COLUMNS).limit(limit)
+def scroll_page(points: DataFrame, limit: int = 256, after: tuple[str, str] | None = None) -> DataFrame:
+    """The next ``limit`` points by point id and tenant, after the last ``(point_id, tenant)`` of the page before.
+
+    Both are needed: one id may occur in many tenants.
+    """
+    if after is not None:
+        point, tenant = after
+        points = points.where((F.col("point_id") > point) | ((F.col("point_id") == point) & (F.col("tenant") > tenant)))
+    return points.orderBy(*ID_COLUMNS).limit(limit)

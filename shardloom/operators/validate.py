@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardloom.functions.text import embeddable_text
+from shardloom.functions.vectors import all_finite
 from shardloom.operators.prepare import import_tenant
 
 
 def dim_violations(df: DataFrame, dim: int, vector: str = "vector") -> DataFrame:
-    """Rows whose vector is missing, of the wrong size, or without direction, with the reason."""
+    """Rows whose vector is missing, of the wrong size, not finite, or without direction, with the reason."""
     size = F.size(vector)
     reason = (
         F.when(F.col(vector).isNull(), F.lit("missing vector"))
         .when(size != dim, F.concat(F.lit("dimension "), size.cast("string"), F.lit(f" != expected {dim}")))
+        .when(~all_finite(F.col(vector)), F.lit("not finite"))
         .when(F.forall(vector, lambda x: x == 0), F.lit("zero vector"))
     )
     return df.withColumn("reason", reason).where(F.col("reason").isNotNull())
@@ -38,6 +40,7 @@ def import_violations(lines: DataFrame, dim: int, registry: DataFrame | None, fi
             F.size("vector") != dim,
             F.concat(F.lit("dimension "), F.size("vector").cast("string"), F.lit(f" != expected {dim}")),
         )
+        .when(~all_finite(F.transform("vector", lambda x: x.cast("float"))), F.lit("not finite"))
     )
     if registry is None:
         checked = lines.withColumn("reason", reason)

@@ -18,6 +18,7 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shardloom.functions.vectors import all_finite
 from shardloom.operators.joins import snapshot_restore
 from shardloom.operators.reports import dedupe_last
 from shardloom.session import local_table
@@ -105,7 +106,7 @@ class CollectionStore:
     def _commit(self, name: str, version: Version) -> Version:
         version.number += 1
         path = self._path(name, "_versions", f"{version.number}.json")
-        files.write_text(self.spark, path, json.dumps(asdict(version)))
+        files.publish_text(self.spark, path, json.dumps(asdict(version)))
         return version
 
     # -- collections and tenants ----------------------------------------------------------------
@@ -113,24 +114,25 @@ class CollectionStore:
     def ensure(self, name: str, tenants: Iterable[str] = (), vector_size: int = 1024, force_recreate: bool = False,
                buckets: int = 16, promoted: Iterable[str] = ()) -> EnsureResult:
         """Create what is missing. Asking for tenants on an unpartitioned collection is an error."""
-        wanted = list(dict.fromkeys(str(t) for t in tenants if str(t)))
-        exists = self.exists(name)
-        if exists and wanted and not self.describe(name).partitioned:
-            if not force_recreate:
-                raise RuntimeError(f"Collection {name!r} exists without tenants; pass force_recreate to replace it.")
+        asked = {str(t): None for t in tenants if str(t)}  # a dict keeps the order of the request
+        held = self.describe(name) if self.exists(name) else None
+        flat = held is not None and not held.partitioned
+        if flat and asked and not force_recreate:
+            raise RuntimeError(f"{name!r} was made without tenants and cannot take {len(asked)}; force_recreate drops its points.")
+        if flat and asked:
             self.delete_collection(name)
-            exists = False
-        if not exists:
-            meta = Collection(name, vector_size, bool(wanted), buckets, tuple(promoted))
+            held = None
+        if held is None:
+            meta = Collection(name, vector_size, bool(asked), buckets, tuple(promoted))
             files.write_text(self.spark, self._path(name, "_meta.json"), json.dumps(asdict(meta)))
-            self._commit(name, Version())
-        version = self.version(name)
-        known = set(version.tenants)
-        created = [t for t in wanted if t not in known]
-        if created:
-            version.tenants = sorted(known | set(created))
+            version = self._commit(name, Version())
+        else:
+            version = self.version(name)
+        report = EnsureResult(name, held is None, [t for t in asked if t not in version.tenants], [t for t in asked if t in version.tenants])
+        if report.created:
+            version.tenants = sorted([*version.tenants, *report.created])
             self._commit(name, version)
-        return EnsureResult(name, not exists, created, [t for t in wanted if t in known])
+        return report
 
     def delete_tenants(self, name: str, tenants: Iterable[str]) -> tuple[list[str], list[str]]:
         """Drop the partitions of the tenants in a new version; returns (deleted, skipped)."""
@@ -210,15 +212,17 @@ class CollectionStore:
 
         One pass. Only registered tenants may appear, so at most tenants times buckets rows come back.
         """
-        wrong_size = F.col("vector").isNull() | (F.size("vector") != meta.vector_size)
+        wrong_size = F.size("vector") != meta.vector_size
         known = set(tenants) if meta.partitioned else {DEFAULT_LABEL}
         rows = (
             staged.groupBy("tenant", "bucket")
             .agg(
                 F.count("*").alias("n"),
+                F.count_if(F.col("vector").isNull()).alias("missing"),
                 F.count_if(wrong_size).alias("wrong"),
                 F.max(F.when(wrong_size, F.size("vector"))).alias("size"),
                 F.count_if(F.col("point_id").isNull()).alias("nameless"),
+                F.count_if(~wrong_size & ~all_finite(F.col("vector"))).alias("unbounded"),
             )
             .limit(len(known) * meta.buckets + 1)
             .collect()
@@ -229,6 +233,12 @@ class CollectionStore:
         nameless = sum(row["nameless"] for row in rows)
         if nameless:
             raise RejectedLoad(f"{nameless} point(s) have no id.")
+        unbounded = sum(row["unbounded"] for row in rows)
+        if unbounded:
+            raise RejectedLoad(f"{unbounded} point(s) have a vector that is not finite in single precision.")
+        missing = sum(row["missing"] for row in rows)
+        if missing:
+            raise RejectedLoad(f"{missing} point(s) have no vector.")
         wrong = sum(row["wrong"] for row in rows)
         if wrong:
             sizes = [row["size"] for row in rows if row["size"] is not None]
@@ -340,7 +350,12 @@ class CollectionStore:
     def restore_snapshot(self, name: str, label: str, priority: str = "snapshot", source: str | None = None) -> Version:
         """Merge a snapshot (of ``source``, or of the collection itself) into the current points."""
         origin = source or name
+        here, there = self.describe(name), self.describe(origin)
+        if there.vector_size != here.vector_size:
+            raise ValueError(f"{origin!r} has vectors of {there.vector_size}, {name!r} expects {here.vector_size}.")
         saved = self.points(origin, version=self._snapshot(origin, label)["version"])
+        if source and source != name:
+            saved = self._conform(here, saved.drop(*there.promoted), ["seq"]).drop("_order", "bucket")
         return self.replace(name, snapshot_restore(saved, self.points(name), priority))
 
     def vacuum(self, name: str, keep_versions: int = 1) -> list[str]:

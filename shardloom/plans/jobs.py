@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from shardloom.functions.text import clean_markdown, trim_ws
@@ -52,7 +52,9 @@ def ingest_csv(store: CollectionStore, collection: str, tenant: str, path: str,
     _require_tenant(store, collection, tenant)
     rows = row_ordinal(scan_csv(store.spark, path, [tenant_field, "embedding"], multi_line))
     rows = prepare.parse_vectors(prepare.filter_tenant(rows, tenant, tenant_field))
-    return store.upsert(collection, prepare_points(rows, tenant))
+    # A collection without tenants keeps the tenant in the payload, where its search and export look for it.
+    stamp = None if store.describe(collection).partitioned else "tenant_name"
+    return store.upsert(collection, prepare_points(rows, tenant, stamp_field=stamp))
 
 
 def embed_upsert_csv(store: CollectionStore, collection: str, tenant: str, path: str, embedder: EmbedStep,
@@ -68,11 +70,16 @@ def embed_upsert_csv(store: CollectionStore, collection: str, tenant: str, path:
 
 def embed_documents(records: DataFrame, embedder: EmbedStep, tenant: str | None = None, tenant_field: str = "org_id",
                     text: str = "text", uid: str = "uid", window_size: int = 400, overlap: int = 80,
-                    min_tokens: int = 100) -> DataFrame:
-    """Text fallback, markdown cleaning, overlapping windows, then one vector for each window."""
+                    min_tokens: int = 100, counter: Callable[[], Callable[[str], int]] | None = None) -> DataFrame:
+    """Text fallback, markdown cleaning, overlapping windows, then one vector for each window.
+
+    Windows are measured in words, or in what ``counter`` counts, such as the tokens of a model.
+    """
     if tenant is not None:
         records = prepare.filter_tenant(records, tenant, tenant_field)
     records = prepare.fill_text_from_doc(records, text)
+    if counter is not None:
+        return embedder(chunk.chunk_recursive(records, text, uid, window_size, overlap, min_tokens, counter))
     return embedder(chunk.chunk_markdown(records, text, uid, window_size, overlap, min_tokens))
 
 
@@ -138,15 +145,20 @@ def export_collection(store: CollectionStore, collection: str, path: str, tenant
     return writers.export_points(points, path, collection, meta.vector_size, meta.partitioned)
 
 
+def _backup_target(spark, path: str, named: str | None) -> tuple[str, Row | None]:
+    """Where a backup goes: the collection named by the caller wins over the one noted at export."""
+    noted = read_manifest(spark, path)
+    notes = None if noted is None else noted.first()
+    if named or notes:
+        return named or notes["collection"], notes
+    raise ValueError(f"No manifest lies beside {path!r}, so the collection must be named.")
+
+
 def import_collection(store: CollectionStore, path: str, collection: str | None = None, tenant: str | None = None,
                       dry_run: bool = False, tenant_field: str = "tenant_name") -> int:
     """Load a backup. Every line is checked first; one bad line and nothing is written."""
     spark = store.spark
-    manifest = read_manifest(spark, path)
-    saved = manifest.first() if manifest is not None else None
-    target = collection or (saved["collection"] if saved else None)
-    if not target:
-        raise ValueError("Name a collection, or use a backup that has its manifest beside it.")
+    target, saved = _backup_target(spark, path, collection)
     meta = store.describe(target)
     if saved and saved["vector_size"] != meta.vector_size:
         raise ValueError(f"The backup has vectors of {saved['vector_size']}, {target!r} expects {meta.vector_size}.")
@@ -161,9 +173,11 @@ def import_collection(store: CollectionStore, path: str, collection: str | None
 
     def report() -> None:
         bad = import_violations(lines(True), meta.vector_size, registry, tenant_field)
-        first = bad.orderBy("line_no").limit(10).collect()
-        if first:
-            raise ValueError("; ".join(f"Line {row['line_no']}: {row['reason']}" for row in first))
+        found = bad.count()
+        if found:
+            first = bad.orderBy("line_no").limit(10).collect()
+            more = f"; and {found - len(first)} more line(s)" if found > len(first) else ""
+            raise ValueError("; ".join(f"Line {row['line_no']}: {row['reason']}" for row in first) + more)
 
     if dry_run:
         report()
@@ -183,11 +197,7 @@ def import_collection(store: CollectionStore, path: str, collection: str | None
 def restore_tenant(store: CollectionStore, path: str, tenant: str, collection: str | None = None,
                    dry_run: bool = False) -> int:
     """Register one tenant and import its points."""
-    manifest = read_manifest(store.spark, path)
-    saved = manifest.first() if manifest is not None else None
-    target = collection or (saved["collection"] if saved else None)
-    if not target:
-        raise ValueError("Name a collection, or use a backup that has its manifest beside it.")
+    target, saved = _backup_target(store.spark, path, collection)
     if not dry_run:
         store.ensure(target, [tenant], saved["vector_size"] if saved else 1024)
     return import_collection(store, path, target, tenant, dry_run)

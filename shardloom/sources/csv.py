@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shardloom.operators.prepare import has_no_header
 from shardloom.session import LOCAL_ROWS, local_table
 
 
@@ -20,7 +21,9 @@ def scan_csv(
     """Read wide CSV exports with every column as text.
 
     Quoted line feeds need ``multi_line``, which makes one file one task: export many files, or turn
-    it off where no cell holds a line feed so that large files split.
+    it off where no cell holds a line feed so that large files split. A file whose header differs from the first one's
+    fails the read, so nothing is taken by position from other columns. Spark cannot compare headers with blank names;
+    files that have them must agree in their columns.
     """
     reader = (
         spark.read.option("header", True)
@@ -30,7 +33,10 @@ def scan_csv(
         .option("encoding", "UTF-8")
         .option("inferSchema", False)
     )
-    df = (reader.schema(schema) if schema else reader).csv(path)
+    reader = reader.schema(schema) if schema else reader
+    df = reader.csv(path)
+    if not any(has_no_header(name) for name in df.columns):
+        df = reader.option("enforceSchema", False).csv(path)
     missing = [name for name in required if name not in df.columns]
     if missing:
         raise ValueError(f"CSV missing column(s) {missing}; columns: {df.columns[:30]}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -47,6 +49,20 @@ def write_text(spark: SparkSession, path: str, text: str, overwrite: bool = Fals
     write_bytes(spark, path, text.encode(), overwrite)
 
 
+def publish_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write beside ``path`` under a hidden name, then rename: readers see the whole file or none.
+
+    A file of that name that is already there stays, and this is an error.
+    """
+    folder, _, name = path.rpartition("/")
+    draft = f"{folder}/.{name}-{uuid.uuid4().hex}"
+    write_text(spark, draft, text)
+    fs, location = _locate(spark, path)
+    if fs.exists(location) or not fs.rename(_locate(spark, draft)[1], location):
+        delete_tree(spark, draft)
+        raise FileExistsError(f"{path} was written by another commit.")
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     fs, location = _locate(spark, path)
     stream = fs.open(location)

@@ -159,7 +159,7 @@ def test_import_reports_every_kind_of_bad_line(spark, store):
         "Line 3: malformed line", "Line 4: shard key missing", "Line 5: shard key not registered",
         "Line 6: dimension 2 != expected 1", "Line 7: missing vector"]
     assert store.points("c").count() == 0
-    with pytest.raises(ValueError, match="Name a collection"):
+    with pytest.raises(ValueError, match="must be named"):
         jobs.import_collection(store, path)
 
 
@@ -326,3 +326,59 @@ def test_streamed_files_in_any_order_equal_one_batch(spark, store):
     replay = points(spark, [("A", "0", -1.0, 999)])
     assert store.upsert("c", replay, newer_only=True, stream=("s", 0)) == 0
     assert content(store.points("c")) == expected
+
+
+def test_a_half_written_version_is_not_read(spark, store):
+    store.ensure("c", ["A"], vector_size=1)
+    store.upsert("c", points(spark, [("A", "1", 1.0, 0)]))
+    files.write_text(spark, f"{store.root}/c/_versions/.99.json-draft", '{"num')
+    assert content(store.points("c")) == [("A", "1", 1.0)]
+    taken = f"{store.root}/c/_versions/{store.version('c').number + 1}.json"
+    files.write_text(spark, taken, "{}")
+    with pytest.raises(FileExistsError):
+        files.publish_text(spark, taken, "{}")
+    assert not [n for n in files.list_names(spark, f"{store.root}/c/_versions") if n.startswith(".") and n != ".99.json-draft"]
+
+
+def test_vectors_that_are_not_finite_are_refused(spark, store):
+    store.ensure("c", ["A"], vector_size=1)
+    for value in (float("nan"), float("inf"), 1e39):
+        with pytest.raises(ValueError, match="not finite"):
+            store.upsert("c", points(spark, [("A", "1", value, 0)]))
+
+
+def test_a_plain_load_without_tenant_partitions_keeps_its_tenant(spark, store, tmp_path):
+    path = tmp_path / "in.csv"
+    path.write_text('uid,org_id,embedding,text\n1,acme,"[1.0]",a\n2,acme,"[2.0]",b\n3,other,"[3.0]",c\n')
+    store.ensure("flat", [], vector_size=1)
+    assert jobs.ingest_csv(store, "flat", "acme", str(path)) == 2
+    assert jobs.ingest_csv(store, "flat", "other", str(path)) == 1
+    queries = spark.createDataFrame([(0, [1.0])], "query_index int, qvec array<double>")
+    hits = jobs.search_collection(store, "flat", queries, 5, tenant="acme").collect()
+    assert {r["point_id"] for r in hits} == {"1", "2"}
+
+
+def test_malformed_lines_stop_an_import_of_one_tenant(spark, store):
+    store.ensure("c", ["acme"], vector_size=1)
+    path = f"{scratch_path(spark, 'torn')}/points"
+    good = json.dumps({"id": 1, "vector": [1.0], "payload": {}, "shard_key": "acme"})
+    files.write_text(spark, f"{path}/part-0.jsonl", good + "\n{not json\n")
+    for tenant in (None, "acme"):
+        with pytest.raises(ValueError, match="Line 2: malformed line"):
+            jobs.import_collection(store, path, "c", tenant)
+    assert store.points("c").count() == 0
+
+
+def test_files_with_other_headers_are_not_mixed_up(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("uid,org_id,text\n1,A,hello\n")
+    (tmp_path / "b.csv").write_text("text,uid,org_id\nworld,2,A\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        scan_csv(spark, str(tmp_path)).collect()
+
+
+def test_snapshots_of_another_vector_size_are_refused(spark, store):
+    store.ensure("c", ["A"], vector_size=1)
+    store.ensure("d", ["A"], vector_size=2)
+    label = store.create_snapshot("c")
+    with pytest.raises(ValueError, match="expects 2"):
+        store.restore_snapshot("d", label, source="c")

@@ -119,9 +119,47 @@ def test_scroll_visits_every_point_once(frames):
     points = points.select("point_id", "tenant").cache()
     seen, after = [], None
     while page := search.scroll_page(points, 100, after).collect():
-        seen += [row["point_id"] for row in page]
+        seen += [tuple(row) for row in page]
         after = seen[-1]
-    assert seen == sorted(row["point_id"] for row in points.collect())
+    assert seen == sorted(tuple(row) for row in points.collect())
+
+
+def test_scroll_keeps_an_id_of_several_tenants(spark):
+    points = spark.createDataFrame([("A", "1"), ("B", "1"), ("A", "2")], "tenant string, point_id string")
+    seen, after = [], None
+    while page := search.scroll_page(points, 1, after).collect():
+        seen.append((page[0]["point_id"], page[0]["tenant"]))
+        after = seen[-1]
+    assert seen == [("1", "A"), ("1", "B"), ("2", "A")]
+
+
+def test_vectors_that_are_not_finite_harm_no_other(spark):
+    rows = [("T", str(i), [1.0, float(i)]) for i in range(20)]
+    rows += [("T", "bad", [float("inf"), 1.0]), ("T", "nan", [float("nan"), 1.0]), ("T", "null", [None, 1.0])]
+    points = spark.createDataFrame(rows, "tenant string, point_id string, vector array<double>")
+    queries = spark.createDataFrame([(0, [1.0, 0.0])], "query_index int, qvec array<double>")
+    for plan in (search.knn_exact, search.knn_blocked):
+        assert [r["point_id"] for r in plan(points, queries, 5).orderBy("rank").collect()] == ["0", "1", "2", "3", "4"]
+
+
+def test_queries_of_different_sizes_are_refused(spark):
+    points = spark.createDataFrame([("T", "1", [1.0, 0.0])], "tenant string, point_id string, vector array<double>")
+    queries = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0])], "query_index int, qvec array<double>")
+    for plan in (search.knn_exact, search.knn_blocked):
+        with pytest.raises(ValueError, match="different sizes"):
+            plan(points, queries, 5)
+
+
+def test_cells_do_not_depend_on_shares(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    centroids = rng.normal(size=(60, 4)).tolist()
+    points = spark.createDataFrame([("T", str(i), v.tolist()) for i, v in enumerate(rng.normal(size=(50, 4)))],
+                                   "tenant string, point_id string, vector array<double>")
+    def cells():
+        return sorted((r["point_id"], r["cell"]) for r in search.assign_cells(points, centroids, probes=3).collect())
+    whole = cells()
+    monkeypatch.setattr(search, "SCORE_CELLS", 70_000)
+    assert cells() == whole and len(whole) == 150
 
 
 def test_payload_joins_hits_only(frames):
