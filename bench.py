@@ -15,7 +15,8 @@ from shardloom.session import build_session  # noqa: E402
 
 HEADLINE = (
     "knn_exact", "knn_blocked", "knn_tenant", "knn_ivf", "chunk_words", "chunk_markdown", "hash_embed", "embed_text",
-    "embed_documents", "build_payload", "parse_vectors", "dedupe_last", "upsert_points", "text_search",
+    "embed_documents", "build_payload", "parse_vectors", "dedupe_last", "upsert_points", "text_search", "embed_upsert",
+    "stream_upsert", "import_points", "snapshot_restore",
 )
 
 

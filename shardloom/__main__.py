@@ -15,13 +15,18 @@ from shardloom.sinks import writers
 from shardloom.sources.vectors import scan_query_vectors
 
 
+def load_object(spec: str):
+    """The object that ``module:name`` stands for."""
+    module, _, name = spec.partition(":")
+    return getattr(importlib.import_module(module), name)
+
+
 def embed_step(model: str, input_type: str, batch_size: int = 100) -> jobs.EmbedStep:
     """``hash:<dim>``, or ``module:function`` of a function that loads a batch model."""
     module, _, name = model.partition(":")
     if module == "hash":
         return partial(embed.embed_by_hash, dim=int(name), input_type=input_type)
-    load_model = getattr(importlib.import_module(module), name)
-    return partial(embed.embed_text, load_model=load_model, input_type=input_type, batch_size=batch_size)
+    return partial(embed.embed_text, load_model=load_object(model), input_type=input_type, batch_size=batch_size)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -74,6 +79,7 @@ def parser() -> argparse.ArgumentParser:
     embed_csv.add_argument("--window-size", type=int, default=400)
     embed_csv.add_argument("--overlap", type=int, default=80)
     embed_csv.add_argument("--min-tokens", type=int, default=100)
+    embed_csv.add_argument("--counter", help="module:function that builds a token counter; words are counted without it")
 
     query = command("query", "collection")
     query.add_argument("-Q", "--query", action="append", default=[])
@@ -101,6 +107,7 @@ def parser() -> argparse.ArgumentParser:
     command("snapshot-create", "collection")
     command("snapshot-list", "collection")
     snapshot = command("snapshot-restore", "collection", "snapshot")
+    snapshot.add_argument("--source", help="the collection that the snapshot is of, if it is another one")
     snapshot.add_argument("--priority", choices=("snapshot", "replica"), default="snapshot")
     command("vacuum", "collection")
     command("delete-collection", "collection")
@@ -160,7 +167,7 @@ def run(store: CollectionStore, args: argparse.Namespace):
             return jobs.embed_csv(
                 store.spark, args.csv, args.output, partial(step, text=args.text_field), args.tenant, args.tenant_field,
                 args.keep_other_tenants, multi_line, text=args.text_field, window_size=args.window_size,
-                overlap=args.overlap, min_tokens=args.min_tokens)
+                overlap=args.overlap, min_tokens=args.min_tokens, counter=load_object(args.counter) if args.counter else None)
         case "query":
             return _query(store, args)
         case "export":
@@ -174,7 +181,7 @@ def run(store: CollectionStore, args: argparse.Namespace):
         case "snapshot-list":
             return [row.asDict() for row in store.list_snapshots(args.collection).collect()]
         case "snapshot-restore":
-            return store.restore_snapshot(args.collection, args.snapshot, args.priority).number
+            return store.restore_snapshot(args.collection, args.snapshot, args.priority, args.source).number
         case "vacuum":
             return store.vacuum(args.collection)
         case "delete-collection" | "delete-tenants" if not args.yes:

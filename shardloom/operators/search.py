@@ -1,9 +1,9 @@
 """Cosine top-k search.
 
 Two exact plans give the same hits. A query set of bounded size is sent, in shares, to the tasks that
-scan the points, and each task keeps a running top-k, so no point is shuffled. A larger query set, or
-one that searches a different group of points for each query, is cut with the points into blocks of
-bounded size that meet in an equi-join on the block numbers.
+scan the points, and each task keeps a running top-k, so no point is shuffled, also where each query searches a group
+of points of its own. A larger query set is cut with the points into blocks of bounded size that meet in an equi-join on
+the block numbers.
 """
 
 from __future__ import annotations
@@ -110,21 +110,22 @@ def check_queries(queries: DataFrame, dim: int) -> None:
         raise ValueError(f"Query {wrong[0][0]} is no vector of dimension {dim}.")
 
 
-def knn_exact(points: DataFrame, queries: DataFrame, k: int = 10,
-              broadcast_bytes: int = QUERY_BROADCAST_BYTES, most_passes: int = QUERY_PASSES) -> DataFrame:
+def knn_exact(points: DataFrame, queries: DataFrame, k: int = 10, broadcast_bytes: int = QUERY_BROADCAST_BYTES,
+              most_passes: int = QUERY_PASSES, group: str | None = None) -> DataFrame:
     """Exact top-``k`` of every query over all points: ``(query_index, rank, point_id, tenant, score)``.
 
     ``points`` has ``tenant, point_id, vector`` and ``queries`` has ``query_index, qvec``. The query set
     is measured first. What exceeds ``broadcast_bytes`` takes several passes over the points, each with
     its share of the queries, which is cheaper than a shuffle of the points; beyond ``most_passes`` the
-    blocked plan takes over.
+    blocked plan takes over. With ``group`` each query sees only the points of its group, in the same scan.
     """
     n, dim = _query_shape(queries)
     passes = -(-n * dim * 8 // broadcast_bytes)
     if passes > most_passes:
-        return knn_blocked(points, queries, k)
-    points = points.where(_searchable(points, "vector", dim)).select(*ID_COLUMNS, "vector")
-    queries = queries.where(_searchable(queries, "qvec", dim)).select("query_index", "qvec")
+        return knn_blocked(points, queries, k, group)
+    grp = F.col(group) if group else F.lit(0)
+    points = points.where(_searchable(points, "vector", dim)).select(*ID_COLUMNS, "vector", grp.alias("grp"))
+    queries = queries.where(_searchable(queries, "qvec", dim)).select("query_index", "qvec", grp.alias("grp"))
     share = F.pmod(F.xxhash64("query_index"), F.lit(max(passes, 1)))
     found = [
         _scan(points, kept, dim, k)
@@ -137,20 +138,31 @@ def knn_exact(points: DataFrame, queries: DataFrame, k: int = 10,
 
 
 def _scan(points: DataFrame, queries: list, dim: int, k: int) -> DataFrame:
-    """Top-``k`` of each scanning task for queries that are sent to all of them."""
-    index = np.array([row["query_index"] for row in queries])
-    matrix = np.array([row["qvec"] for row in queries], dtype=np.float64)
-    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
-    shared = points.sparkSession.sparkContext.broadcast((index, matrix))
-    rows_at_once = max(1, SCORE_CELLS // len(queries))
+    """Top-``k`` of each scanning task for queries that are sent to all of them; each meets the points of its group."""
+    by_group: dict = {}
+    for row in queries:
+        by_group.setdefault(row["grp"], []).append(row)
+    sets = {}
+    for name, rows in by_group.items():
+        matrix = np.array([row["qvec"] for row in rows], dtype=np.float64)
+        sets[name] = np.array([row["query_index"] for row in rows]), matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+    shared = points.sparkSession.sparkContext.broadcast(sets)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_index, query_matrix = shared.value
-        best = _TopK(query_matrix, k)
+        best = {name: (index, _TopK(matrix, k)) for name, (index, matrix) in shared.value.items()}
         for batch in batches:
-            for start in range(0, batch.num_rows, rows_at_once):
-                best.add(batch.slice(start, rows_at_once))
-        yield from best.hits(query_index).to_batches()
+            groups = batch.column("grp").dictionary_encode()
+            codes = groups.indices.to_numpy(zero_copy_only=False)
+            for code, name in enumerate(groups.dictionary.to_pylist()):
+                if name not in best:
+                    continue
+                index, top = best[name]
+                here = batch if len(groups.dictionary) == 1 and not groups.null_count else batch.take(pa.array(np.flatnonzero(codes == code)))
+                rows_at_once = max(1, SCORE_CELLS // len(index))
+                for start in range(0, here.num_rows, rows_at_once):
+                    top.add(here.slice(start, rows_at_once))
+        for index, top in best.values():
+            yield from top.hits(index).to_batches()
 
     return points.mapInArrow(scan, HIT_SCHEMA)
 
@@ -219,7 +231,7 @@ def knn_tenant(points: DataFrame, queries: DataFrame, k: int = 10, tenant: str |
     """Top-``k`` inside one tenant, or inside each query's own ``tenant`` column."""
     if tenant is not None:
         return knn_exact(points.where(F.col("tenant") == tenant), queries, k)
-    return knn_blocked(points, queries, k, group="tenant")
+    return knn_exact(points, queries, k, group="tenant")
 
 
 def normalize_vectors(df: DataFrame, vector: str = "vector") -> DataFrame:
@@ -290,7 +302,7 @@ def knn_ivf(points: DataFrame, queries: DataFrame, centroids: list[list[float]],
     asked = assign_cells(queries, centroids, "qvec", probes)
     # At most one row for each centroid.
     probed = [row["cell"] for row in asked.select("cell").distinct().collect()]
-    return knn_blocked(placed.where(F.col("cell").isin(probed)), asked, k, group="cell")
+    return knn_exact(placed.where(F.col("cell").isin(probed)), asked, k, group="cell")
 
 
 def attach_payload(hits: DataFrame, points: DataFrame, columns: list[str], most_hits: int | None = None) -> DataFrame:

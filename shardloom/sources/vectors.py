@@ -38,7 +38,8 @@ def scan_query_vectors(spark: SparkSession, path: str, layout: str = "auto") ->
     by_line = F.transform(
         F.filter(F.split("value", r"\r\n|\r|\n"), lambda line: ~is_blank(line)), lambda line: strict_json(line)
     )
-    elements = F.when(whole.isNull(), by_line).otherwise(listed)
+    elements = F.when(whole.isNull(), by_line).when(listed.isNotNull(), listed).otherwise(F.raise_error(
+        F.lit("A query file must hold a list of vectors, an object with 'vectors', or one vector on each line.")))
     return document.select(F.posexplode(elements).alias("query_index", "element")).select(
         "query_index", _as_vector(F.col("element")).alias("qvec")
     )

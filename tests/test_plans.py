@@ -73,5 +73,14 @@ def test_one_tenant_reads_only_its_folders(spark):
 
 
 def test_known_small_sides_are_broadcast(spark):
-    text = plan(contract.queries()["knn_tenant"](spark, SF))
+    points, queries = inputs.vector_points(spark, SF), inputs.tenant_queries(spark, SF)
+    text = plan(search.knn_blocked(points, queries, 5, group="tenant"))
     assert text.count("BroadcastHashJoin") >= 2
+
+
+@pytest.mark.parametrize("name", ["knn_tenant", "knn_ivf", "knn_exact"])
+def test_search_does_not_shuffle_the_points(spark, name):
+    text = plan(contract.queries()[name](spark, SF))
+    assert "FlatMapCoGroups" not in text
+    # Hits meet to be ranked; nothing else moves.
+    assert [line.count("query_index") for line in text.splitlines() if "Exchange" in line] == [1]
