@@ -353,10 +353,18 @@ class CollectionStore:
         here, there = self.describe(name), self.describe(origin)
         if there.vector_size != here.vector_size:
             raise ValueError(f"{origin!r} has vectors of {there.vector_size}, {name!r} expects {here.vector_size}.")
-        saved = self.points(origin, version=self._snapshot(origin, label)["version"])
-        if source and source != name:
-            saved = self._conform(here, saved.drop(*there.promoted), ["seq"]).drop("_order", "bucket")
-        return self.replace(name, snapshot_restore(saved, self.points(name), priority))
+        number = self._snapshot(origin, label)["version"]
+        if origin != name:
+            saved = self._conform(here, self.points(origin, version=number).drop(*there.promoted), ["seq"])
+            return self.replace(name, snapshot_restore(saved.drop("_order", "bucket"), self.points(name), priority))
+        # Partitions that both versions share need no work.
+        then, now = self.version(name, number), self.version(name)
+        same = {tuple(p[:3]) for p in then.partitions} & {tuple(p[:3]) for p in now.partitions}
+        before, after = ([p for p in v.partitions if tuple(p[:3]) not in same] for v in (then, now))
+        merged = snapshot_restore(self._read(here, before).drop("bucket"), self._read(here, after).drop("bucket"), priority)
+        if here.partitioned:
+            now.tenants = sorted(set(now.tenants) | {p[0] for p in before})
+        return self._write(here, now, merged.withColumn("bucket", self._bucket(here)), {(p[0], p[1]) for p in after})
 
     def vacuum(self, name: str, keep_versions: int = 1) -> list[str]:
         """Delete commit folders that neither the last versions nor a snapshot refer to."""

@@ -382,3 +382,15 @@ def test_snapshots_of_another_vector_size_are_refused(spark, store):
     label = store.create_snapshot("c")
     with pytest.raises(ValueError, match="expects 2"):
         store.restore_snapshot("d", label, source="c")
+
+
+def test_a_restore_leaves_unchanged_partitions_alone(spark, store):
+    store.ensure("c", ["A", "B"], vector_size=1, buckets=1)
+    store.upsert("c", points(spark, [("A", "1", 1.0, 0), ("B", "1", 2.0, 1)]))
+    label = store.create_snapshot("c")
+    store.upsert("c", points(spark, [("A", "1", 9.0, 2), ("A", "2", 3.0, 3)]))
+    commit = {p[0]: p[2] for p in store.version("c").partitions}
+    store.restore_snapshot("c", label)
+    restored = {p[0]: p[2] for p in store.version("c").partitions}
+    assert restored["B"] == commit["B"] and restored["A"] != commit["A"]
+    assert content(store.points("c")) == [("A", "1", 1.0), ("A", "2", 3.0), ("B", "1", 2.0)]
