@@ -8,8 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 # A batch of texts holds at most this many rows and about this many bytes, however long single texts are.
-BATCH_ROWS = 2_000
-BATCH_BYTES = 16 << 20
+BATCH_ROWS = 1_000
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

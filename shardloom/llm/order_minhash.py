@@ -53,7 +53,7 @@ class _WordHashes(dict):
     """24-bit hashes of words, remembered; a k-mer of five words still has 120 bits."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         value = self[word] = xxhash.xxh32_intdigest(word) & 0xFFFFFF
         return value
