@@ -45,8 +45,8 @@ END_ID = 1
 MAGIC = b"SLPFOR01"
 BLOCK = 1024
 PERCENTILE = 0.97
-# A file ends with the first document after so many ids (about 16 MB).
-FILE_IDS = 8 << 20
+# A file ends with the first document after so many ids (about 8 MB).
+FILE_IDS = 4 << 20
 # Entries of a worker's memory of encoded words.
 MEMORY = 300_000
 
@@ -90,28 +90,38 @@ def _unpack(words: np.ndarray, width: int, count: int) -> np.ndarray:
 _BITS = np.uint64(1) << np.arange(33, dtype=np.uint64)
 
 
+def _same_length(chunk: np.ndarray) -> list[bytes]:
+    """Blocks from the rows of ``chunk``."""
+    low = chunk.min(axis=1)
+    rest = (chunk - low[:, None]).astype(np.uint64)
+    place = min(rest.shape[1] - 1, int(PERCENTILE * rest.shape[1]))
+    widths = np.searchsorted(_BITS, np.partition(rest, place, axis=1)[:, place], side="right")
+    blocks: list[bytes] = [b""] * len(chunk)
+    for width in np.unique(widths):
+        rows = np.flatnonzero(widths == width)
+        values = rest[rows]
+        packed = _pack(values & (_BITS[width] - np.uint64(1)), int(width))
+        over = values >= _BITS[width]
+        for k, row in enumerate(rows):
+            where = np.flatnonzero(over[k])
+            blocks[row] = b"".join((
+                int(low[row]).to_bytes(4, "little"), bytes([int(width), 0]), len(where).to_bytes(2, "little"),
+                packed[k].astype("<u8").tobytes(), where.astype("<u2").tobytes(), values[k][where].astype("<u4").tobytes(),
+            ))
+    return blocks
+
+
 def encode_blocks(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
     """All ids as blocks, and the start of each block in the bytes."""
-    full = len(ids) // BLOCK
     parts: list[bytes] = []
-    for chunk in ([ids[: full * BLOCK].reshape(full, BLOCK)] if full else []) + ([ids[full * BLOCK :][None]] if len(ids) % BLOCK else []):
-        low = chunk.min(axis=1)
-        rest = (chunk - low[:, None]).astype(np.uint64)
-        place = min(rest.shape[1] - 1, int(PERCENTILE * rest.shape[1]))
-        widths = np.searchsorted(_BITS, np.partition(rest, place, axis=1)[:, place], side="right")
-        blocks: list[bytes] = [b""] * len(chunk)
-        for width in np.unique(widths):
-            rows = np.flatnonzero(widths == width)
-            values = rest[rows]
-            packed = _pack(values & (_BITS[width] - np.uint64(1)), int(width))
-            over = values >= _BITS[width]
-            for k, row in enumerate(rows):
-                where = np.flatnonzero(over[k])
-                blocks[row] = b"".join((
-                    int(low[row]).to_bytes(4, "little"), bytes([int(width), 0]), len(where).to_bytes(2, "little"),
-                    packed[k].astype("<u8").tobytes(), where.astype("<u2").tobytes(), values[k][where].astype("<u4").tobytes(),
-                ))
-        parts += blocks
+    # Some hundred blocks at a time keep the intermediate arrays small.
+    for first in range(0, len(ids), 256 * BLOCK):
+        some = ids[first : first + 256 * BLOCK]
+        full = len(some) // BLOCK * BLOCK
+        if full:
+            parts += _same_length(some[:full].reshape(-1, BLOCK))
+        if full < len(some):
+            parts += _same_length(some[full:][None])
     starts = np.array([0, *accumulate(map(len, parts))], np.int64)[:-1]
     return b"".join(parts), starts
 
@@ -192,6 +202,11 @@ def _plain(word: str) -> bool:
     return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
 
 
+def _folded(word: str) -> str:
+    """As the vocabulary's normaliser lowers it, where that is beyond doubt."""
+    return word.lower() if word.isascii() else word
+
+
 class WordCodec:
     """Ids of whole texts by a vocabulary whose pre-tokens never hold white space.
 
@@ -229,22 +244,24 @@ class WordCodec:
         known = self.known
         split = [text.replace("\n", " ").split(" ") for text in texts]
         cores: dict[str, str] = {}
-        for word in {word for words in split for word in words if word not in known}:
+        for word in set().union(*split) - known.keys():
             core = word.rstrip(".,")
             cores[word] = core if _plain(core) else ""  # letters, then at most one run of stops
-        self._learn([core for core in set(cores.values()) if core and core not in known])
-        own: dict[str, bytes] = {}  # what is no plain word is seldom seen again and not kept
+        self._learn([core for core in set(map(_folded, cores.values())) if core and core not in known])
+        own: dict[str, bytes] = {"": b""}
         for word, core in cores.items():
-            if core != word or not core:
+            folded = _folded(core)
+            if folded != word or not core:
                 rest = word[len(core):]
                 if core and rest not in own:
                     own[rest] = self._ids(rest).tobytes()
-                own[word] = known[core] + own[rest] if core else self._ids(word).tobytes()
+                own[word] = known[folded] + own[rest] if core else self._ids(word).tobytes()
+        known.update(own)
         end = np.array([END_ID], "<u4").tobytes()
-        return [
-            np.frombuffer(b"".join([found if (found := known.get(w)) is not None else own[w] for w in words] + [end]), "<u4")
-            for words in split
-        ]
+        out = [np.frombuffer(b"".join(map(known.__getitem__, words)) + end, "<u4") for words in split]
+        for word in own:  # what is no plain word is seldom seen again
+            del known[word]
+        return out
 
 
 @lru_cache(maxsize=2)
