@@ -38,6 +38,10 @@ SKETCHES = 24
 SIMILARITY = 0.8
 # Largest number of texts compared with each other in one task; larger buckets are dealt into blocks of about this many.
 BLOCK = 128
+# Blocks are so many times wider where few texts of a bucket are left to meet all others: each is then sent fewer times.
+WIDER = 4
+# Bytes of prepared texts that a task keeps; beyond it they are prepared anew.
+PREPARED_BYTES = 64 << 20
 # Texts of a large bucket that every block of it is compared with.
 HUBS = 4
 
@@ -244,6 +248,7 @@ class _Group:
         self.rows = [r for k, r in enumerate(rows) if seen.setdefault((r[0], r[1]), k) == k]
         self.root = {r[2]: r[2] for r in self.rows}
         self.texts: dict[int, Text] = {}
+        self.prepared = 0
         self.marks = np.array([r[3] for r in self.rows], np.int64)
         self.least = least
 
@@ -254,9 +259,14 @@ class _Group:
 
     def _text(self, k: int) -> Text:
         node = self.rows[k][0]
-        if node not in self.texts:
-            self.texts[node] = Text(self.rows[k][4])
-        return self.texts[node]
+        text = self.texts.get(node)
+        if text is None:
+            if self.prepared > PREPARED_BYTES:
+                self.texts.clear()
+                self.prepared = 0
+            text = self.texts[node] = Text(self.rows[k][4])
+            self.prepared += 24 * text.size
+        return text
 
     def links(self, j: int) -> Iterator[tuple[int, int]]:
         """Members (role 0) are compared with hubs (role 1) first, then with each other; others (role 2) with members only."""
@@ -338,7 +348,9 @@ def near_links(nodes: DataFrame, words: DataFrame, least: float = SIMILARITY, bl
     counts = labelled.groupBy("j", "value", "label").agg(F.count(F.lit(1)).alias("c"))
     main = counts.groupBy("j", "value").agg(
         F.max_by("label", F.struct("c", "label")).alias("main"), (F.sum("c") - F.max("c")).alias("apart")).where("apart > 0")
-    left = labelled.join(main, ["j", "value"]).withColumn("shares", F.ceil(F.col("apart") / block).cast("bigint"))
+    left = labelled.join(main, ["j", "value"]).withColumns({
+        "shares": F.ceil(F.col("apart") / (WIDER * block)).cast("bigint"), "parts": F.ceil(F.col("n") / (WIDER * block)).cast("bigint")})
+    left = left.withColumn("block", _dealt(7, "parts"))
     every = _placed(left.withColumn("share", _each("shares")), 0)
     rest = _placed(left.where("label <> main").withColumns({"share": _dealt(5, "shares"), "block": _each("parts")}), 2)
     return materialize(first.union(_linked(every.union(rest), words, least)), "links")
