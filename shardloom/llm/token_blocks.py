@@ -48,7 +48,9 @@ PERCENTILE = 0.97
 # A file ends with the first document after so many ids (about 8 MB).
 FILE_IDS = 4 << 20
 # Entries of a worker's memory of encoded words.
-MEMORY = 300_000
+MEMORY = 500_000
+# ASCII punctuation but for the apostrophe, which may begin a pre-token with letters.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 # --- packing ---------------------------------------------------------------------------------------------------------
@@ -245,8 +247,8 @@ class WordCodec:
         split = [text.replace("\n", " ").split(" ") for text in texts]
         cores: dict[str, str] = {}
         for word in set().union(*split) - known.keys():
-            core = word.rstrip(".,")
-            cores[word] = core if _plain(core) else ""  # letters, then at most one run of stops
+            core = word.rstrip(_MARKS)
+            cores[word] = core if _plain(core) else ""  # letters, then at most one run of marks
         self._learn([core for core in set(map(_folded, cores.values())) if core and core not in known])
         own: dict[str, bytes] = {"": b""}
         for word, core in cores.items():
