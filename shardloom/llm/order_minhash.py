@@ -168,12 +168,27 @@ def _rising(places: np.ndarray) -> int:
     return len(ends)
 
 
+def _matches(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray | None:
+    """Places in ``b`` of each value of ``a`` in turn, the last place first; None if they are more than ``most``.
+
+    A rising subsequence takes at most one place for each value of ``a``, so the longest is the full alignment.
+    """
+    order = np.argsort(b, kind="stable")
+    ranked = b[order]
+    first, end = np.searchsorted(ranked, a), np.searchsorted(ranked, a, "right")
+    count = end - first
+    if (total := int(count.sum())) > most:
+        return None
+    within = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
+    return order[np.repeat(end, count) - 1 - within]
+
+
 def alike(x: Text, y: Text, least: float = SIMILARITY) -> bool:
     """Whether an alignment matches enough k-mers.
 
-    The common labelled k-mers bound the matches from above, those in rising order from below. Without repeated k-mers
-    the two sequences are permutations and the second bound is exact; else, between the bounds, the sequences are aligned
-    in full within the band that a sufficient alignment cannot leave.
+    The common labelled k-mers bound the matches from above, those in rising order from below. Where neither text repeats
+    a k-mer the second bound is exact. Otherwise, between the bounds, the plain sequences are aligned in full: over the
+    places with equal k-mers where these are few, else within the band that a sufficient alignment cannot leave.
     """
     n, m = x.size, y.size
     if not n or not m or min(n, m) < least * max(n, m):
@@ -187,8 +202,11 @@ def alike(x: Text, y: Text, least: float = SIMILARITY) -> bool:
     here, there = x.order[common], y.order[at[common]]
     if _rising(there[np.argsort(here)]) >= need:
         return True
-    if not (x.repeats and y.repeats):
+    if not (x.repeats or y.repeats):
         return False
+    matches = _matches(x.plain, y.plain, 16 * (n + m))
+    if matches is not None:
+        return _rising(matches) >= need
     return banded_lcs(x.plain, y.plain, int((n + m) * (1 - least) / (1 + least)) + 1) >= need
 
 

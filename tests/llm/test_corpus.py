@@ -150,6 +150,31 @@ def test_alignment_equals_full_table():
             assert order_minhash.banded_lcs(x.plain, y.plain, 100) == _lcs(x.plain.tolist(), y.plain.tolist())
 
 
+def test_a_passage_repeated_on_one_side_is_aligned(spark):
+    front, back = [f"p{i}" for i in range(80)], [f"q{i}" for i in range(20)]
+    plain, twice = front + back, back + front + back
+    x, y = (_text(order_minhash.word_hashes([w.encode() for w in words])) for words in (plain, twice))
+    assert (x.repeats, y.repeats, _lcs(x.plain.tolist(), y.plain.tolist())) == (False, True, 96)
+    assert order_minhash.alike(x, y) and order_minhash.alike(y, x)
+    docs = spark.createDataFrame([(1, " ".join(plain)), (2, " ".join(twice))], "doc_id bigint, text string")
+    assert _got_classes(order_minhash.classes(docs)) == [(1, 1, 2), (2, 1, 2)]
+    rnd, found = random.Random(8), 0
+    for _ in range(300):
+        a = [rnd.randint(0, 10**6) for _ in range(rnd.randint(20, 60))]
+        i = rnd.randrange(len(a) - 5)
+        b = a[:]
+        j = rnd.randrange(len(a))
+        b[j:j] = a[i : i + rnd.randint(5, 15)]
+        if rnd.random() < 0.3:
+            b = b * 9  # many equal places
+            a = a * 9
+        x, y = _text(a), _text(b)
+        enough = _lcs(x.plain.tolist(), y.plain.tolist()) >= 0.8 / 1.8 * (x.size + y.size) - 1e-9
+        assert order_minhash.alike(x, y) == order_minhash.alike(y, x) == enough
+        found += enough
+    assert 20 < found < 280
+
+
 def _expected_classes(rows):
     """Classes by comparing every text with every other."""
     texts = defaultdict(list)
