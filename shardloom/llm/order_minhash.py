@@ -4,8 +4,13 @@ A text is its words: lower-cased runs of ASCII letters, digits and non-ASCII cha
 words (a shorter text is one k-mer), each labelled with how often it occurred before. For each of ``SKETCHES`` hash
 functions the ``ELL`` labelled k-mers of least hash, in text order, make one sketch; two texts that share a sketch are
 candidates. A pair is linked if an alignment of their k-mer sequences matches L of them with L / (n1 + n2 - L) >= 0.8: the
-order counts, so the same passages in another order do not make a near copy. At a similarity of 0.8 one sketch agrees with
-probability near 0.8 ** ELL, and all of them miss with about 3e-6.
+order counts, so the same passages in another order do not make a near copy.
+
+If c of the u labelled k-mers of a pair are in both texts, in the same order, one sketch agrees with probability
+C(c, ELL) / C(u, ELL): 0.8 ** ELL for long texts at a similarity of 0.8, so that all miss with 3e-6, but 0.2 for 4 of 5
+k-mers. Texts of at most ``SHORT`` k-mers therefore have as many sketches of ``SHORT_ELL`` k-mers more. All miss with less
+than 1e-5 if one text is longer, with less than 1e-9 if none is. Repeated passages that are aligned with another occurrence
+count for the similarity but not for c.
 
 Texts with equal words are one node. Candidates of a bucket are compared inside one task without being listed as pairs;
 a task skips pairs that are already connected and emits only links that connect. Buckets above ``BLOCK`` texts are split:
@@ -35,6 +40,9 @@ from shardloom.session import materialize
 K = 5
 ELL = 4
 SKETCHES = 24
+# Texts of at most so many k-mers have further sketches of fewer k-mers.
+SHORT = 40
+SHORT_ELL = 2
 SIMILARITY = 0.8
 # Largest number of texts compared with each other in one task; larger buckets are dealt into blocks of about this many.
 BLOCK = 128
@@ -108,15 +116,15 @@ def kmers(hashes: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
 _SEEDS = _mix(np.arange(1, 1 + 256, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 
 
-def sketches(mers: np.ndarray, count: int = SKETCHES, ell: int = ELL) -> list[int]:
-    """One signed 64-bit value for each hash function: its ``ell`` least k-mers, hashed in text order."""
+def sketches(mers: np.ndarray, count: int = SKETCHES, ell: int = ELL, skip: int = 0) -> list[int]:
+    """One signed 64-bit value for each hash function after the first ``skip``: its ``ell`` least k-mers, hashed in text order."""
     if not len(mers):
         return []
     take = min(ell, len(mers))
     out: list[int] = []
     together = max(1, (1 << 17) // len(mers))  # hash functions computed in one go
     for first in range(0, count, together):
-        value = (mers[None, :] ^ _SEEDS[first : min(first + together, count), None]) * _U(0xBF58476D1CE4E5B9)
+        value = (mers[None, :] ^ _SEEDS[skip + first : skip + min(first + together, count), None]) * _U(0xBF58476D1CE4E5B9)
         value ^= value >> _U(29)
         value *= _U(0x94D049BB133111EB)
         chosen = mers[np.sort(np.argpartition(value, take - 1, axis=1)[:, :take], axis=1)]
@@ -127,6 +135,11 @@ def sketches(mers: np.ndarray, count: int = SKETCHES, ell: int = ELL) -> list[in
     return out
 
 
+def all_sketches(mers: np.ndarray) -> list[int]:
+    """The sketches of a text, with the further ones of a short text behind those that all texts have."""
+    return sketches(mers) + (sketches(mers, SKETCHES, SHORT_ELL, SKETCHES) if len(mers) <= SHORT else [])
+
+
 # --- comparison ------------------------------------------------------------------------------------------------------
 
 
@@ -231,7 +244,7 @@ def sketch_texts(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
                 hashes = word_hashes(words)
                 same = b"w" + b" ".join(words) if words else b"t" + (raw or b"")
                 keys.append(None if raw is None else hashlib.md5(same).digest())
-                marks.append(sketches(kmers(hashes)[1]))
+                marks.append(all_sketches(kmers(hashes)[1]))
                 packed.append(pack_words(hashes))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("print"), pa.array(keys, pa.binary()),
@@ -267,7 +280,9 @@ class _Group:
         self.root = {r[2]: r[2] for r in self.rows}
         self.texts: dict[int, Text] = {}
         self.prepared = 0
-        self.marks = np.array([r[3] for r in self.rows], np.int64)
+        # Short texts have more sketches; those that all members have reach beyond the group's own.
+        shared = min(len(r[3]) for r in self.rows)
+        self.marks = np.array([r[3][:shared] for r in self.rows], np.int64)
         self.least = least
 
     def _find(self, label: int) -> int:

@@ -175,6 +175,27 @@ def test_a_passage_repeated_on_one_side_is_aligned(spark):
     assert 20 < found < 280
 
 
+def test_short_near_copies_share_a_sketch():
+    missed = 0
+    for k in range(4000):
+        words = [f"t{k}w{i}".encode() for i in range(9)]
+        x, y = (order_minhash.kmers(order_minhash.word_hashes(w))[1] for w in (words[:8], words))
+        a, b = order_minhash.all_sketches(x), order_minhash.all_sketches(y)
+        assert len(a) == len(b) == 2 * order_minhash.SKETCHES
+        missed += not any(map(int.__eq__, a, b))
+    assert missed == 0
+    for size, count in ((order_minhash.SHORT, 2), (order_minhash.SHORT + 1, 1)):
+        assert len(order_minhash.all_sketches(np.arange(size, dtype=np.uint64))) == count * order_minhash.SKETCHES
+
+
+def test_short_and_long_texts_of_one_bucket(spark):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join(base[: 40 + k])) for k in range(9)]  # 36 to 44 k-mers
+    rows += [(100 + k, " ".join(f"s{k}x{i}" for i in range(8 + d))) for k in range(30) for d in (0, 1)]
+    got = _got_classes(order_minhash.classes(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert got == sorted([(k, 0, 9) for k in range(9)] + [(100 + k, 100 + k, 2) for k in range(30) for _ in (0, 1)])
+
+
 def _expected_classes(rows):
     """Classes by comparing every text with every other."""
     texts = defaultdict(list)
