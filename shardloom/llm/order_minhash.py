@@ -15,7 +15,8 @@ count for the similarity but not for c.
 Texts with equal words are one node. Candidates of a bucket are compared inside one task without being listed as pairs;
 a task skips pairs that are already connected and emits only links that connect. Buckets above ``BLOCK`` texts are split:
 first every block is compared in itself and with a few common texts, then all that is still apart from the largest
-component of its bucket is compared with every block. No bucket is capped.
+component of its bucket is compared with every block. Blocks are bounded in texts and in bytes of packed words, so long
+texts make more of them. No bucket is capped.
 
 Null texts are copies of nothing; texts without words are copies of equal texts only; equal rows share a class. The class
 id is the smallest doc_id of the class. An empty table gives no rows; other columns are not looked at.
@@ -48,6 +49,8 @@ SIMILARITY = 0.8
 BLOCK = 128
 # Blocks are so many times wider where few texts of a bucket are left to meet all others: each is then sent fewer times.
 WIDER = 4
+# Bytes of packed words that a task holds for one block, about; blocks of long texts have fewer texts.
+BLOCK_BYTES = 32 << 20
 # Bytes of prepared texts that a task keeps; beyond it they are prepared anew.
 PREPARED_BYTES = 64 << 20
 # Texts of a large bucket that every block of it is compared with.
@@ -258,15 +261,16 @@ def sketch_texts(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
-    """(node, j, value, n) for each bucket of at least two texts.
+    """(node, bytes, j, value, n, total bytes) for each bucket of at least two texts.
 
     Buckets with the same texts are one: the first of them is kept, which is also the first that its pairs share.
     """
-    spread = nodes.select("node", F.posexplode("sketch").alias("j", "value"))
+    spread = nodes.select("node", "bytes", F.posexplode("sketch").alias("j", "value"))
     sizes = spread.groupBy("j", "value").agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("f"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("g")
+        F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("total"),
+        F.bit_xor(F.xxhash64("node")).alias("f"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("g")
     ).where("n > 1")
-    kept = sizes.groupBy("n", "f", "g").agg(F.min(F.struct("j", "value")).alias("b")).select("b.*", "n")
+    kept = sizes.groupBy("n", "total", "f", "g").agg(F.min(F.struct("j", "value")).alias("b")).select("b.*", "n", "total")
     return spread.join(kept, ["j", "value"])
 
 
@@ -319,7 +323,7 @@ class _Group:
 
 
 def _linked(placed: DataFrame, words: DataFrame, least: float) -> DataFrame:
-    """Links inside each group of ``placed`` (node, j, group, role, label); groups are bounded in rows."""
+    """Links inside each group of ``placed`` (node, j, group, role, label); groups are bounded in rows and bytes."""
     rows = placed.join(words, "node").select("group", "node", "role", "label", "sketch", "words", "j")
     dealt = rows.repartition("group").sortWithinPartitions("group")
 
@@ -358,10 +362,18 @@ def _placed(df: DataFrame, role: int) -> DataFrame:
     return df.select("node", "j", F.concat_ws(":", "j", "value", "share", "block").alias("group"), F.lit(role).alias("role"), "label")
 
 
-def near_links(nodes: DataFrame, words: DataFrame, least: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+def _parts(count: str, size: str, block: int, block_bytes: int) -> Column:
+    """Number of blocks for so many texts of so many bytes."""
+    return F.ceil(F.greatest(F.col(count) / block, F.col(size) / block_bytes)).cast("bigint")
+
+
+def near_links(nodes: DataFrame, words: DataFrame, least: float = SIMILARITY, block: int = BLOCK,
+               block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Links (u, v) between nodes that together connect every candidate pair that is alike."""
+    if "bytes" not in nodes.columns:
+        nodes = nodes.join(words.select("node", F.octet_length("words").alias("bytes")), "node")
     buckets = _buckets(nodes).withColumns({"label": F.col("node"), "share": F.lit(0).cast("bigint"),
-                                           "parts": F.ceil(F.col("n") / block).cast("bigint")})
+                                           "parts": _parts("n", "total", block, block_bytes)})
     buckets = materialize(buckets.withColumn("block", _dealt(2, "parts")), "buckets")
     large = buckets.where("parts > 1")
     # Texts that every block of a large bucket is compared with.
@@ -378,11 +390,12 @@ def near_links(nodes: DataFrame, words: DataFrame, least: float = SIMILARITY, bl
     labelled = materialize(
         large.drop("label", "share").join(components(first), "node", "left")
         .withColumn("label", F.coalesce("root", "node")).drop("root"), "labelled")
-    counts = labelled.groupBy("j", "value", "label").agg(F.count(F.lit(1)).alias("c"))
+    counts = labelled.groupBy("j", "value", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("bytes").alias("b"))
     main = counts.groupBy("j", "value").agg(
-        F.max_by("label", F.struct("c", "label")).alias("main"), (F.sum("c") - F.max("c")).alias("apart")).where("apart > 0")
+        F.max_by("label", F.struct("c", "label")).alias("main"), (F.sum("c") - F.max("c")).alias("apart"),
+        (F.sum("b") - F.max_by("b", F.struct("c", "label"))).alias("apart_bytes")).where("apart > 0")
     left = labelled.join(main, ["j", "value"]).withColumns({
-        "shares": F.ceil(F.col("apart") / (WIDER * block)).cast("bigint"), "parts": F.ceil(F.col("n") / (WIDER * block)).cast("bigint")})
+        "shares": _parts("apart", "apart_bytes", WIDER * block, block_bytes), "parts": _parts("n", "total", WIDER * block, block_bytes)})
     left = left.withColumn("block", _dealt(7, "parts"))
     every = _placed(left.withColumn("share", _each("shares")), 0)
     rest = _placed(left.where("label <> main").withColumns({"share": _dealt(5, "shares"), "block": _each("parts")}), 2)
@@ -395,8 +408,9 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", least: flo
     # A null text is a node of its own; equal texts are one node, named by its first row.
     same = F.coalesce("text_key", F.encode(F.concat(F.lit("row "), F.col("at").cast("string")), "utf-8"))
     keyed = base.withColumn("same", same)
-    nodes = materialize(keyed.groupBy("same").agg(F.min(F.struct("at", "sketch")).alias("m")).select("same", F.col("m.at").alias("node"), "m.sketch"), "nodes")
-    links = near_links(nodes.where(F.size("sketch") > 0), base.select(F.col("at").alias("node"), "sketch", "words"), least)
+    nodes = materialize(keyed.groupBy("same").agg(F.min(F.struct("at", "sketch", F.octet_length("words").alias("bytes"))).alias("m"))
+                        .select("same", F.col("m.at").alias("node"), "m.sketch", "m.bytes"), "nodes")
+    links = near_links(nodes.where(F.size("sketch") > 0).select("node", "sketch", "bytes"), base.select(F.col("at").alias("node"), "sketch", "words"), least)
     roots = components(links)
     rooted = nodes.join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("root"))
     rows = keyed.select("same", "doc_id", "print", "at").join(rooted, "same")

@@ -253,6 +253,25 @@ def test_blocks_of_a_large_bucket_lose_no_link(spark):
     assert _got_classes(order_minhash.classes(docs)) == _expected_classes(rows)
 
 
+def test_blocks_of_long_texts_are_bounded_in_bytes(spark, monkeypatch):
+    rnd = random.Random(6)
+    base = [f"w{rnd.randint(0, 5000)}" for _ in range(2000)]
+    docs = spark.createDataFrame([(k, _family(rnd, base, 3)) for k in range(40)], "doc_id bigint, text string")
+    base_rows = order_minhash.sketch_texts(docs)
+    nodes, words = base_rows.select(F.col("at").alias("node"), "sketch"), base_rows.select(F.col("at").alias("node"), "sketch", "words")
+    most, plain = [], order_minhash._linked
+
+    def watched(placed, words, least):
+        sizes = placed.join(words, "node").groupBy("group").agg(F.sum(F.octet_length("words")).alias("b"))
+        most.append(sizes.agg(F.max("b")).first()[0] or 0)
+        return plain(placed, words, least)
+
+    monkeypatch.setattr(order_minhash, "_linked", watched)
+    links = order_minhash.near_links(nodes, words, block_bytes=60_000)  # 40 texts of 6,000 bytes
+    assert max(most) < 160_000
+    assert [len(g) for g in _groups(links)] == [40]
+
+
 def _groups(links):
     out = defaultdict(set)
     for r in components(links).collect():
