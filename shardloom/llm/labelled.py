@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shardloom.llm.batches import map_batches, without
+from shardloom.session import materialize
 
-# Labelled rows that a classifier is fitted on, at most; taken in the order of a hash of doc_id.
+# Labelled texts that a classifier is fitted on, at most; taken in the order of a hash of doc_id and text.
 SAMPLE_ROWS = 24_000
 
 
@@ -22,17 +23,26 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, limit: int = SAMPLE_ROWS, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(h, text, y) of at most ``limit`` labelled rows that may be learned from.
+    """(h, text, y) of at most ``limit`` labelled texts that may be learned from.
 
-    The sample of labels is bounded, so it is sent to the scan of the texts. Labels that are null, or that contradict
-    each other for one id, are left out; repeated labels and repeated rows count once each row of ``docs``.
+    Labels meet the ids and text prints of ``docs`` first, so only texts that are there count towards the limit; each text of
+    an id counts once, however often its row occurs. The chosen rows are bounded, so they are sent to the scan of the texts.
+    Labels that are null, or that contradict each other for one id, are left out.
     """
     marked = (
         labels.where(~held_out(key) & F.col(label).isin(0, 1)).groupBy(key).agg(F.min(label).alias("y"), F.max(label).alias("_most"))
         .where("y = _most").select(F.col(key).alias("_id"), F.col("y").cast("int").alias("y"), F.xxhash64(key).alias("h"))
-        .orderBy("h", "_id").limit(limit)
     )
-    return docs.select(F.col(f"`{key}`").alias("_id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(marked), "_id").select("h", "text", "y")
+    text_print = [F.xxhash64(F.col(f"`{text}`")).alias("_x"), F.coalesce(F.crc32(F.col(f"`{text}`").cast("binary")), F.lit(-1)).alias("_c")]
+    own = docs.where(~held_out(key)).select(F.col(f"`{key}`").alias("_id"), *text_print)
+    chosen = materialize(
+        own.join(marked, "_id").groupBy("_id", "_x", "_c").agg(F.min("y").alias("y"), F.min("h").alias("h"))
+        .orderBy(F.xxhash64("_id", "_x", "_c"), "_id", "_x", "_c").limit(limit), "chosen")
+    rows = docs.select(F.col(f"`{key}`").alias("_id"), F.col(f"`{text}`").alias("text"), *text_print)
+    return (
+        rows.join(F.broadcast(chosen), ["_id", "_x", "_c"]).groupBy("_id", "_x", "_c")
+        .agg(F.first("h").alias("h"), F.first("text").alias("text"), F.first("y").alias("y")).select("h", "text", "y")
+    )
 
 
 def collect_features(sample: DataFrame, features: Sequence[Callable[[list[bytes]], np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

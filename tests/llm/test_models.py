@@ -1,6 +1,7 @@
 """Classifiers by held-out accuracy, nearest neighbours by recall, page layout by fixtures, and the pipeline by its stages."""
 
 import re
+import zlib
 
 import corpus_pipeline
 import numpy as np
@@ -69,6 +70,18 @@ def test_held_out_rows_are_never_learned_from(spark):
     assert labelled.labelled_texts(docs, labels, "quality", limit=7).count() == 7
 
 
+def test_the_sample_counts_texts_that_are_there_once(spark):
+    ids = [k for k in range(400) if zlib.crc32(str(k).encode()) % 5]
+    there = ids[-20:]
+    rows = [(k, f"text {k}") for k in there] + [(there[0], f"text {there[0]}")] * 100 + [(there[1], None), (there[1], ""), (there[1], "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in ids], "doc_id bigint, quality int")
+    got = sorted(((r["text"] is None, r["text"] or "", r["y"]) for r in labelled.labelled_texts(docs, labels, "quality", limit=22).collect()))
+    want = [(False, f"text {k}", k % 2) for k in there] + [(False, "", there[1] % 2), (True, "", there[1] % 2)]
+    assert got == sorted(want)  # neither the 300 ids without a document nor the copies use up the limit
+    assert labelled.labelled_texts(docs, labels, "quality", limit=21).count() == 21
+
+
 @pytest.mark.parametrize("module", [quality, toxicity])
 def test_classifiers_of_odd_rows(spark, module):
     label = "quality" if module is quality else "toxic"
