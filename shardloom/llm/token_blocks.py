@@ -14,7 +14,8 @@ hold the ``PERCENTILE`` share of what is left; larger values keep their low bits
 exceptions. The block index lets a reader decode any range of ids alone.
 
 Files follow ascending ``doc_id`` (nulls first, equal ids by text). A null or empty text has only the end id. Long texts
-run over as many blocks as they need, and a file ends at the first document that fills it. Broken UTF-8 is read with
+run over as many blocks as they need, and a file ends at the first document that fills it. Names of special tokens in a
+text, such as ``<|endoftext|>``, are split as plain text (the library's ``encode_special_tokens``). Broken UTF-8 is read with
 replacement characters. An empty table gives no files.
 """
 
