@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 # A batch of texts holds at most this many rows and about this many bytes, however long single texts are.
@@ -28,3 +29,10 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     """``df`` without columns whose names an operator adds, so that they never occur twice."""
     taken = {name.lower() for name in names}
     return df.select([df[f"`{c}`"] for c in df.columns if c.lower() not in taken])
+
+
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system for a path as Spark names it, and the path inside it."""
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    return pafs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1) if "://" in path else f"file://{path}")

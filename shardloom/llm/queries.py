@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardloom.llm import (
-    byte_bpe, feistel_shards, html_layout, multi_index, order_minhash, quality, token_blocks, toxicity, trie_counts, wu_manber,
+    byte_bpe, conversation_repair, feistel_shards, html_layout, multi_index, order_minhash, periodic_runs, quality, token_blocks,
+    toxicity, trie_counts, warc_zip, wu_manber,
 )
 from shardloom.llm.batches import table
 from shardloom.llm.labelled import held_out
@@ -72,11 +73,26 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
 
 
+def op11_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packages = warc_zip.archive_pages(table(spark, sf_dir, "pages"))
+    records = warc_zip.read_packages(packages, with_payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_repair.damage_rows(conversation_repair.read_rows(table(spark, sf_dir, "conversations")))
+    return conversation_repair.repair_digests(rows).withColumnRenamed("conv", "conv_id").drop("rows")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_report(table(spark, sf_dir, "documents"), damage=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     run.__name__: run
     for run in (
         op1_token_blocks, op2_quality, op3_html_layout, op4_feistel_shards, op5_multi_index, op6_byte_bpe, op7_toxicity,
-        op8_wu_manber, op9_trie_counts, op10_order_minhash,
+        op8_wu_manber, op9_trie_counts, op10_order_minhash, op11_warc_zip, op12_conversation_repair, op13_periodic_runs,
     )
 }
 
@@ -144,4 +160,17 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM doc LEFT JOIN hit USING (n) LEFT JOIN held USING (n)
 """
 
-ORACLE: dict[str, str] = {"op4_feistel_shards": _OP4, "op8_wu_manber": _OP8}
+_OP11 = f"""
+WITH page AS (
+  SELECT page_id, coalesce(html, '') AS payload, octet_length(encode(coalesce(html, '')))::BIGINT AS n,
+    row_number() OVER (PARTITION BY coalesce(html, '') ORDER BY page_id NULLS LAST) AS nth,
+    min(page_id) OVER (PARTITION BY coalesce(html, '')) AS head
+  FROM pages
+)
+SELECT page_id, n AS payload_bytes, sha256(payload) AS payload_digest,
+  CASE WHEN n >= {warc_zip.REVISIT_BYTES} AND nth > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= {warc_zip.REVISIT_BYTES} AND nth > 1 THEN head END AS refers_to
+FROM page
+"""
+
+ORACLE: dict[str, str] = {"op4_feistel_shards": _OP4, "op8_wu_manber": _OP8, "op11_warc_zip": _OP11}
