@@ -42,6 +42,8 @@ PACKAGE_BYTES = 128 << 20
 PACKAGE_RECORDS = 100_000
 # Bytes of neighbouring records read in one go, about.
 READ_BYTES = 8 << 20
+# Ranges that one task reads, about.
+READS = 4
 SHARES = 10_000
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
@@ -420,9 +422,10 @@ def read_packages(files: DataFrame, with_payload: bool = True) -> DataFrame:
                         rows.append(row if with_payload else row | {"payload": None})
                 yield pa.RecordBatch.from_pylist(rows, kind)
 
-    names = files.select("file").repartition("file")
-    units = map_batches(names, locate, "file string, begin bigint, lengths array<bigint>")
-    return map_batches(units.repartition("file", "begin"), read, RECORDS)
+    # Rows of a few bytes stand for much to read, so the number of tasks follows the number of rows, not their bytes.
+    names = files.select("file").repartition(max(1, files.count()), "file")
+    units = materialize(map_batches(names, locate, "file string, begin bigint, lengths array<bigint>"), "ranges")
+    return map_batches(units.repartition(max(1, -(-units.count() // READS)), "file", "begin"), read, RECORDS)
 
 
 def packages_in(spark: SparkSession, folder: str) -> DataFrame:
