@@ -214,34 +214,55 @@ SELECT doc_id, CASE lang
 
 ORACLE["chunk_words"] = f"""WITH {RECORDS}, {windows('chunks', 'records', 'uid', 100, 20, 10)},
 {numbered('chunks', 'uid', 'start')} SELECT {CHUNK_UID} FROM numbered"""
-_SECTIONS = """sections AS (
-  SELECT uid, org_id, unnest(parts) AS text, unnest(range(len(parts))) AS part FROM (
-    SELECT uid, org_id, string_split(regexp_replace(text, '\\n(#{1,6} )', chr(2) || '\\1', 'g'), chr(2)) AS parts
-    FROM marked))"""
-
-
-def packed_windows(size: int, overlap: int, least: int) -> str:
-    """Sections packed by a recursive walk, then windows over each pack; words keep the white space behind them."""
-    step = size - overlap
-    return f"""toks AS (
-  SELECT uid, org_id, part, regexp_extract_all(text || chr(10), '\\S+\\s*') AS w FROM sections),
-walk AS (
-  SELECT uid, part, len(w) AS n, 0 AS pack, len(w) AS held FROM toks WHERE part = 0
+_SEPARATORS = [*("\n" + "#" * n + " " for n in range(1, 7)), "\n\n", "\n", " "]
+
+
+def _recursive_step(name: str, level: int, separator: str, columns: str, size: int, overlap: int) -> str:
+    """Cut the open texts of a level, walk from window to window over the short pieces, hand the long ones on."""
+    cut = " || ".join(f"chr({ord(c)})" for c in separator)
+    here, last = f"{name}{level}", level == len(_SEPARATORS) - 1
+    return f"""{here}_pieces AS (
+  SELECT {columns}, path, unnest(pieces) AS piece, unnest(range(len(pieces))) AS pos FROM (
+    SELECT {columns}, path, list_filter(list_transform(string_split(text, {cut}), lambda p, i: CASE WHEN i = 1 THEN p ELSE {cut} || p END),
+      lambda p: p <> '') AS pieces FROM {here})),
+{here}_counted AS (SELECT *, len({words('piece')}) AS n FROM {here}_pieces),
+{here}_marked AS (
+  SELECT *, sum(CASE WHEN n >= {size} OR before >= {size} THEN 1 ELSE 0 END) OVER (PARTITION BY {columns}, path ORDER BY pos) AS run
+  FROM (SELECT *, lag(n, 1, 0) OVER (PARTITION BY {columns}, path ORDER BY pos) AS before FROM {here}_counted)),
+{here}_runs AS (
+  SELECT {columns}, path, CAST(run AS BIGINT) AS run, list(piece ORDER BY pos) AS pieces, list(n ORDER BY pos) AS counts, max(n) >= {size} AS long
+  FROM {here}_marked GROUP BY ALL),
+{here}_sums AS (
+  SELECT *, list_transform(range(len(counts) + 1), lambda k: CAST(coalesce(list_sum(counts[1:k]), 0) AS BIGINT)) AS sums FROM {here}_runs WHERE NOT long),
+{here}_walk AS (
+  SELECT {columns}, path, run, sums, CAST(0 AS BIGINT) AS first,
+         CAST(greatest(1, len(list_filter(sums, lambda x: x <= {size})) - 1) AS BIGINT) AS stop FROM {here}_sums
   UNION ALL
-  SELECT t.uid, t.part, len(t.w), CASE WHEN k.held + len(t.w) <= {size} THEN k.pack ELSE k.pack + 1 END,
-         CASE WHEN k.held + len(t.w) <= {size} THEN k.held + len(t.w) ELSE len(t.w) END
-  FROM walk k JOIN toks t ON t.uid = k.uid AND t.part = k.part + 1),
-packs AS (
-  SELECT t.uid, t.org_id, k.pack, flatten(list(t.w ORDER BY t.part)) AS w
-  FROM toks t JOIN walk k ON t.uid = k.uid AND t.part = k.part GROUP BY ALL),
-cut AS (
-  SELECT uid, org_id, pack, start, w[start + 1 : start + {size}] AS w
-  FROM packs, unnest(range(0, greatest(CAST(ceil((len(w) - {size}) / {step}.0) AS BIGINT), 0) * {step} + 1, {step})) AS u(start)),
-chunks AS (SELECT *, trim(array_to_string(w, ''), {SPACES}) AS chunk FROM cut WHERE len(w) >= {least})"""
-
-
-ORACLE["chunk_markdown"] = f"""WITH RECURSIVE {MARKED}, {_SECTIONS}, {packed_windows(40, 10, 5)},
-{numbered('chunks', 'uid', 'pack, start')} SELECT {CHUNK_UID} FROM numbered"""
+  SELECT {columns}, path, run, sums, CAST(begin AS BIGINT), CAST(greatest(begin + 1, len(list_filter(sums, lambda x: x <= sums[begin + 1] + {size})) - 1) AS BIGINT)
+  FROM (SELECT *, len(list_filter(sums, lambda x: x < greatest(sums[stop + 1] - {overlap}, sums[stop + 2] - {size}))) AS begin
+        FROM {here}_walk WHERE stop < len(sums) - 1)),
+{here}_done AS (
+  SELECT w.* EXCLUDE (path, run, sums, first, stop), printf('%s%08d%08d', w.path, w.run, w.first) AS path,
+         array_to_string(s.pieces[w.first + 1 : w.stop], '') AS text, w.sums[w.stop + 1] - w.sums[w.first + 1] AS n
+  FROM {here}_walk w JOIN {here}_sums s USING ({columns}, path, run){f"""
+  UNION ALL SELECT {columns}, printf('%s%08d', path, run), pieces[1], counts[1] FROM {here}_runs WHERE long""" if last else ""}),
+{name}{level + 1} AS (
+  SELECT {columns}, printf('%s%08d%08d', path, run, 0) AS path, pieces[1] AS text FROM {here}_runs WHERE long)"""
+
+
+def recursive_windows(name: str, source: str, columns: str, size: int, overlap: int, least: int) -> str:
+    """CTEs that end in ``name`` with ``columns``, ``path`` (in text order) and ``chunk``: markdown windows of ``text``."""
+    steps = ",\n".join(_recursive_step(f"{name}_", k, s, columns, size, overlap) for k, s in enumerate(_SEPARATORS))
+    done = " UNION ALL ".join(f"SELECT {columns}, path, text, n FROM {name}_{k}_done" for k in range(len(_SEPARATORS)))
+    return f"""{name}_0 AS (SELECT {columns}, '' AS path, trim(text, {SPACES}) AS text FROM {source}),
+{steps},
+{name} AS (SELECT {columns}, path, trim(text, {SPACES}) AS chunk FROM ({done}) WHERE n >= {least})"""
+
+
+ORACLE["chunk_markdown"] = f"""WITH RECURSIVE {MARKED}, {recursive_windows('chunks', 'marked', 'uid, org_id', 40, 10, 5)},
+{numbered('chunks', 'uid', 'path')} SELECT {CHUNK_UID} FROM numbered"""
+ORACLE["chunk_recursive"] = f"""WITH RECURSIVE {MARKED}, {recursive_windows('chunks', 'marked', 'uid', 100, 20, 10)},
+{numbered('chunks', 'uid', 'path')} SELECT {CHUNK_UID} FROM numbered"""
 ORACLE["chunk_records"] = f"""WITH turns AS (SELECT conv_id || '-' || turn AS uid, role, text FROM conversations),
 {windows('chunks', 'turns', 'uid, role', 30, 5, 3)}, {numbered('chunks', 'uid, role', 'start')}
 SELECT role, {CHUNK_UID} FROM numbered"""
@@ -252,8 +273,8 @@ ORACLE["normalize_vectors"] = f"""WITH {POINTS}, unit AS (
 ORACLE["hash_embed"] = f"WITH {RECORDS}, {hashed('embedded', 'records', 'uid')} " + vectors("uid", "vector", "embedded")
 ORACLE["embed_text"] = f"WITH {RECORDS}, {hashed('embedded', 'records', 'uid', 'FLOAT')} " + vectors(
     "uid", "vector", "embedded")
-_DOCUMENT_CHUNKS = f"""WITH RECURSIVE {MARKED}, {_SECTIONS}, {packed_windows(80, 20, 10).replace('chunks AS', 'pieces AS')},
-{numbered('pieces', 'uid, org_id', 'pack, start')},
+_DOCUMENT_CHUNKS = f"""WITH RECURSIVE {MARKED}, {recursive_windows('pieces', 'marked', 'uid, org_id', 80, 20, 10)},
+{numbered('pieces', 'uid, org_id', 'path')},
 chunks AS (
   SELECT CASE WHEN chunk_count > 1 THEN uid || '_' || chunk_index ELSE uid END AS uid, org_id, chunk_index, chunk_count,
          chunk AS text FROM numbered)"""
@@ -261,8 +282,8 @@ ORACLE["embed_documents"] = (
     f"{_DOCUMENT_CHUNKS}, {hashed('embedded', 'chunks', 'uid, org_id, chunk_index, chunk_count')} "
     + vectors("uid, org_id, chunk_index, chunk_count", "vector", "embedded")
 )
-_PLAIN_CHUNKS = f"""WITH {RECORDS}, {windows('pieces', 'records', 'uid', 80, 20, 10)},
-{numbered('pieces', 'uid', 'start')}, chunks AS (
+_PLAIN_CHUNKS = f"""WITH RECURSIVE {RECORDS}, {recursive_windows('pieces', 'records', 'uid', 80, 20, 10)},
+{numbered('pieces', 'uid', 'path')}, chunks AS (
   SELECT CASE WHEN chunk_count > 1 THEN uid || '_' || chunk_index ELSE uid END AS uid, chunk_index, chunk_count,
          chunk AS text FROM numbered)"""
 ORACLE["stream_embed"] = (

@@ -159,8 +159,9 @@ def test_markdown_sections_are_packed(rows, least):
     out = chunk.chunk_markdown(rows("uid string, text string", [("d", text)]), min_words=least).orderBy("chunk_index").collect()
     assert len(out) == 4 and all(len(r["text"].split()) <= 400 for r in out)
     assert out[0]["text"].startswith("## h0\nw0_0") and "\n## h1\n" in out[0]["text"]
-    if not least:
-        assert " ".join(r["text"] for r in out).split() == text.split()
+    # Six sections of 60 words fit; the last one of them opens the next window.
+    assert [r["text"].split()[1] for r in out] == ["h0", "h5", "h10", "h15"]
+    assert [r["text"].split()[-1] for r in out] == ["w5_57", "w10_57", "w15_57", "w19_57"]
 
 
 @settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])

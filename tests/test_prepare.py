@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from shardloom.operators import chunk, joins, prepare, reports, validate
@@ -67,7 +69,7 @@ def test_markdown_windows_stop_at_headings(rows):
     df = rows("uid string, text string", [("u", "intro text\n# One\na b c d\n## Two\ne\n#not a heading")])
     found = chunk.chunk_markdown(df, size=4, overlap=1, min_words=1).orderBy("chunk_index")
     assert [r["text"] for r in found.collect()] == [
-        "intro text", "# One\na b", "b c d", "## Two\ne\n#not", "#not a heading"]
+        "intro text", "# One", "a b c d", "## Two\ne", "e\n#not a heading"]
 
 
 def test_recursive_split_prefers_headings_and_keeps_the_overlap():
@@ -86,6 +88,32 @@ def test_recursive_chunks(rows):
     assert [(r["uid"], r["text"]) for r in found] == [("u_1", "a b c"), ("u_2", "c d e"), ("u_3", "e f g")]
 
 
+def test_windows_equal_the_plain_splitter(rows):
+    rnd = random.Random(1)
+    parts = ["\n# H", "\n## G", "\n### F", "\n\n", "\n", "\n\n\n", " ", "\t", "#### x", "\n###### z"]
+    texts = ["".join(rnd.choice([f"w{rnd.randrange(9)}"] * 8 + parts) + rnd.choice([" ", " ", ""]) for _ in range(rnd.randint(0, 40)))
+             for _ in range(120)] + ["", "  ", "abcdefgh", "\\E# x \\Q", None]
+    df = rows("i int, t string", list(enumerate(texts)))
+    for size, overlap, least in ((5, 2, 1), (9, 0, 3), (14, 6, 0), (1, 0, 1)):
+        got = dict(df.select("i", chunk.markdown_windows(F.col("t"), size, overlap, least)).collect())
+        for i, text in enumerate(texts):
+            want = chunk.split_recursively(text, size, overlap, chunk.count_words) if text else []
+            assert got[i] == [w for w in want if chunk.count_words(w) >= least], text
+
+
+def test_neighbouring_windows_share_whole_pieces(rows):
+    text = "\n".join(f"# {i}\na{i} b{i}" for i in range(9))  # four words each
+    found = rows("t string", [(text,)]).select(F.explode(chunk.markdown_windows(F.col("t"), 13, 7, 1)).alias("w")).collect()
+    spans = [(int(r["w"].split()[1]), int(r["w"].split()[-3])) for r in found]
+    assert spans == [(0, 2), (2, 4), (4, 6), (6, 8)]
+
+
+def test_windows_of_many_blocks_of_pieces(rows):
+    text = "\n## ".join(f"word{i} of a section" for i in range(3 * chunk.PIECES_PER_BLOCK + 5))
+    got = rows("t string", [(text,)]).select(chunk.markdown_windows(F.col("t"), 40, 10, 1)).first()[0]
+    assert got == chunk.split_recursively(text, 40, 10, chunk.count_words)
+
+
 def test_overlay(rows):
     old = rows("uid string, embedding string", [("u1", None), ("u2", "v2")])
     new = rows("uid string, embedding string", [("u1", "n1"), ("u2", None), ("u3", "n3"), ("u1", "n0")])
