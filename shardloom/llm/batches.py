@@ -31,6 +31,18 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select([df[f"`{c}`"] for c in df.columns if c.lower() not in taken])
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
     """Arrow's file system for a path as Spark names it, and the path inside it."""
     if path.startswith("file:"):

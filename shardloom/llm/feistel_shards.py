@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shardloom.functions.rows import let
-from shardloom.llm.batches import without
+from shardloom.llm.batches import free_names, without
 from shardloom.session import local_table, materialize
 
 ROUNDS = 6
@@ -29,24 +29,23 @@ def number_rows(df: DataFrame, order: list[str]) -> DataFrame:
     Rows are dealt by ranges of the order columns and of a scan position, so that many equal rows are split too. The
     dealt rows are written once: their partitions must not change between counting and numbering.
     """
-    df = without(df, [NUMBER, "_at", "_part", "_before"])
-    dealt = df.withColumn("_at", F.monotonically_increasing_id())
-    keys = [F.col(f"`{c}`").asc_nulls_first() for c in order] + [F.col("_at")]
+    df = without(df, [NUMBER])
+    at, part, before = free_names(df, "at", "part", "before")
+    dealt = df.withColumn(at, F.monotonically_increasing_id())
+    keys = [F.col(f"`{c}`").asc_nulls_first() for c in order] + [F.col(at)]
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     placed = dealt.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
-    placed = materialize(placed.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    placed = materialize(placed.withColumn(at, F.monotonically_increasing_id()), "numbered")
     # The high bits of a monotonic id are the partition, the low 33 bits the position in it.
-    part, at = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
-    counts = dict(placed.groupBy(part.alias("p")).count().collect())  # one number for each partition
-    before, starts = 0, []
+    number, place = F.shiftright(at, 33), F.col(at).bitwiseAND((1 << 33) - 1)
+    counts = dict(placed.groupBy(number.alias("p")).count().collect())  # one number for each partition
+    seen, starts = 0, []
     for p in sorted(counts):
-        starts.append((p, before))
-        before += counts[p]
-    offsets = F.broadcast(local_table(df.sparkSession, starts, "_part bigint, _before bigint"))
-    return (
-        placed.withColumn("_part", part).join(offsets, "_part")
-        .withColumn(NUMBER, F.col("_before") + at).drop("_at", "_part", "_before")
-    )
+        starts.append((p, seen))
+        seen += counts[p]
+    offsets = F.broadcast(local_table(df.sparkSession, starts, f"{part} bigint, {before} bigint"))
+    numbered = placed.withColumn(part, number).join(offsets, part).withColumn(NUMBER, F.col(before) + place)
+    return numbered.select([F.col(f"`{c}`") for c in [*df.columns, NUMBER]])
 
 
 def quotient(x: Column, by: int) -> Column:
@@ -93,8 +92,9 @@ def shard_rows(df: DataFrame, shards: int, order: list[str], seed: int = 7) -> D
     numbered = number_rows(without(df, [SHARD, SLOT]), order)
     rows = numbered.count()
     place = permuted(F.col(NUMBER), rows, seed)
-    spot = let(place, lambda p: F.struct((p % shards).cast("int").alias(SHARD), quotient(p, shards).alias(SLOT)))
-    return numbered.withColumn("_spot", spot).select(*numbered.columns, "_spot.*")
+    spot, = free_names(numbered, "spot")
+    found = let(place, lambda p: F.struct((p % shards).cast("int").alias(SHARD), quotient(p, shards).alias(SLOT)))
+    return numbered.withColumn(spot, found).select(*[F.col(f"`{c}`") for c in numbered.columns], f"{spot}.*")
 
 
 def write_shards(df: DataFrame, path: str) -> None:

@@ -46,6 +46,9 @@ def test_shards_of_odd_rows(spark):
             slots[r["shard"]].append(r["slot"])
         assert all(sorted(s) == list(range(len(s))) for s in slots.values())
         assert max(map(len, slots.values())) - min(len(slots.get(k, [])) for k in range(4)) <= 1
+    names = ["_at", "at", "_part", "part", "_before", "before", "_spot", "spot"]
+    clash = feistel_shards.shard_rows(odd(spark).withColumns({n: F.lit(n) for n in names}), 4, ["doc_id"])
+    assert set(clash.columns) >= set(names) and all(tuple(r[n] for n in names) == tuple(names) for r in clash.collect())
     assert feistel_shards.shard_rows(none(spark), 4, ["doc_id"]).count() == 0
     with pytest.raises(ValueError):
         feistel_shards.shard_rows(none(spark), 0, ["doc_id"])
@@ -154,7 +157,7 @@ def test_a_passage_repeated_on_one_side_is_aligned(spark):
     front, back = [f"p{i}" for i in range(80)], [f"q{i}" for i in range(20)]
     plain, twice = front + back, back + front + back
     x, y = (_text(order_minhash.word_hashes([w.encode() for w in words])) for words in (plain, twice))
-    assert (x.repeats, y.repeats, _lcs(x.plain.tolist(), y.plain.tolist())) == (False, True, 96)
+    assert (x.repeats, y.repeats, _lcs(x.plain.tolist(), y.plain.tolist())) == (False, True, 100)
     assert order_minhash.alike(x, y) and order_minhash.alike(y, x)
     docs = spark.createDataFrame([(1, " ".join(plain)), (2, " ".join(twice))], "doc_id bigint, text string")
     assert _got_classes(order_minhash.classes(docs)) == [(1, 1, 2), (2, 1, 2)]
@@ -181,11 +184,11 @@ def test_short_near_copies_share_a_sketch():
         words = [f"t{k}w{i}".encode() for i in range(9)]
         x, y = (order_minhash.kmers(order_minhash.word_hashes(w))[1] for w in (words[:8], words))
         a, b = order_minhash.all_sketches(x), order_minhash.all_sketches(y)
-        assert len(a) == len(b) == 2 * order_minhash.SKETCHES
+        assert len(a) == len(b) == order_minhash.SKETCHES + order_minhash.SHORT_SKETCHES
         missed += not any(map(int.__eq__, a, b))
     assert missed == 0
-    for size, count in ((order_minhash.SHORT, 2), (order_minhash.SHORT + 1, 1)):
-        assert len(order_minhash.all_sketches(np.arange(size, dtype=np.uint64))) == count * order_minhash.SKETCHES
+    for size, more in ((order_minhash.SHORT, order_minhash.SHORT_SKETCHES), (order_minhash.SHORT + 1, 0)):
+        assert len(order_minhash.all_sketches(np.arange(size, dtype=np.uint64))) == order_minhash.SKETCHES + more
 
 
 def test_short_and_long_texts_of_one_bucket(spark):
@@ -230,6 +233,82 @@ def test_op10_equals_brute_force(spark):
     assert _got_classes(queries.op10_order_minhash(spark, SF)) == _expected_classes(rows)
 
 
+def _similar(a, b):
+    """Matched words of the best alignment over all of them, by the plain table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        left = 0
+        for j, y in enumerate(b):
+            above = row[j + 1]
+            row[j + 1] = max(left + (x == y), above, row[j])
+            left = above
+    return row[-1] / (len(a) + len(b) - row[-1])
+
+
+def _edited(rnd, words, share):
+    out = []
+    for w in words:
+        if rnd.random() >= share:
+            out.append(w)
+        elif rnd.random() < 0.6:
+            out.append(f"n{rnd.randrange(10**6)}")
+        elif rnd.random() < 0.5:
+            out += [w, f"n{rnd.randrange(10**6)}"]
+    return out
+
+
+def test_copies_with_edited_words_are_linked(spark):
+    rnd = random.Random(12)
+    common = [f"c{i}" for i in range(40)]
+    rows, want = [], {}
+    for k in range(480):
+        base = [rnd.choice(common) if rnd.random() < 0.5 else f"w{rnd.randrange(20000)}" for _ in range(rnd.randint(80, 300))]
+        share = (0.01, 0.02, 0.05, 0.08, 0.1, 0.3)[k % 6]
+        copy = _edited(rnd, base, share)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+        want[2 * k] = share, _similar(base, copy)
+    got = {r["doc_id"]: (r["class_id"], r["class_size"]) for r in order_minhash.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    found = defaultdict(list)
+    for k, (share, similarity) in want.items():
+        linked = got[k] == got[k + 1] == (k, 2)
+        assert linked or got[k] == (k, 1) and got[k + 1] == (k + 1, 1)
+        if similarity >= 0.8:
+            found[share].append(linked)
+        else:
+            assert not linked
+    assert all(len(found[share]) > 30 for share in (0.01, 0.02, 0.05, 0.08))
+    for share, linked in found.items():
+        assert sum(linked) >= 0.9 * len(linked), share
+
+
+def test_near_copies_of_the_documents_are_linked(spark):
+    """Pairs with many 3-word runs in common, aligned apart."""
+    path = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text").where("text is not null").collect()
+    words = {r["doc_id"]: re.findall(r"[0-9a-z\x80-\U0010ffff]+", r["text"].lower()) for r in docs}
+    places = defaultdict(set)
+    for k, w in words.items():
+        for i in range(len(w) - 2):
+            places[tuple(w[i : i + 3])].add(k)
+    shared = Counter((a, b) for ks in places.values() if 1 < len(ks) < 200 for a in ks for b in ks if a < b)
+    near = [(a, b) for (a, b), n in shared.items() if n > 0.4 * min(len(words[a]), len(words[b])) and words[a] != words[b]
+            and max(len(words[a]), len(words[b])) < 3000 and _similar(words[a], words[b]) >= 0.8]
+    got = {r["doc_id"]: r["class_id"] for r in queries.op10_order_minhash(spark, path).collect()}
+    assert len(near) > 80 and sum(got[a] == got[b] for a, b in near) >= 0.95 * len(near)
+    # Texts of one class are connected by such pairs or equal words.
+    root = {k: k for k in words}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    seen = {}
+    for a, b in near + [(seen.setdefault(tuple(w), k), k) for k, w in words.items() if w]:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    assert all(find(k) == find(got[k]) for k in words if words[k] and len(words[k]) < 3000)
+
+
 def _family(rnd, base, edits):
     words = base[:]
     for _ in range(edits):
@@ -283,6 +362,8 @@ def test_classes_of_odd_rows(spark):
     assert _got_classes(order_minhash.classes(odd(spark))) == _expected_classes([r[:2] for r in ODD_TEXTS])
     kept = order_minhash.keep_first(odd(spark))
     assert kept.columns == ["doc_id", "text", "score", "ids", "lang"]
+    clash = order_minhash.keep_first(odd(spark).withColumns({"row": F.lit("mine"), "_row": F.lit("too"), "FIRST": F.lit(3)}))
+    assert {(r["row"], r["_row"], r["FIRST"]) for r in clash.collect()} == {("mine", "too", 3)} and clash.count() == kept.count()
     assert sorted(map(str, (r["doc_id"] for r in kept.collect()))) == sorted(map(str, [1, 2, 3, None, 5, 6, 7, 8, -9]))
     assert order_minhash.classes(none(spark)).count() == order_minhash.keep_first(none(spark)).count() == 0
 
