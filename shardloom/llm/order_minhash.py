@@ -54,6 +54,8 @@ WIDER = 4
 BLOCK_BYTES = 32 << 20
 # Bytes of prepared texts that a task keeps; beyond it they are prepared anew.
 PREPARED_BYTES = 64 << 20
+# Up to so many node numbers (8 bytes each) are sent to all tasks; more are joined by a shuffle.
+BROADCAST_NODES = 1_000_000
 # Texts of a large bucket that every block of it is compared with.
 HUBS = 4
 
@@ -275,6 +277,13 @@ def _buckets(nodes: DataFrame) -> DataFrame:
     return spread.join(kept, ["j", "value"])
 
 
+def _words_in(words: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Sketches and words of the texts in any bucket, written: both comparisons read them and no others."""
+    nodes = materialize(buckets.select("node").distinct(), "nodes")
+    few = nodes.count() <= BROADCAST_NODES
+    return materialize(words.join(F.broadcast(nodes) if few else nodes, "node", "left_semi"), "words")
+
+
 class _Group:
     """Texts of one bucket or of two blocks of it; compares what is not yet connected and yields the links."""
 
@@ -376,6 +385,7 @@ def near_links(nodes: DataFrame, words: DataFrame, least: float = SIMILARITY, bl
     buckets = _buckets(nodes).withColumns({"label": F.col("node"), "share": F.lit(0).cast("bigint"),
                                            "parts": _parts("n", "total", block, block_bytes)})
     buckets = materialize(buckets.withColumn("block", _dealt(2, "parts")), "buckets")
+    words = _words_in(words, buckets)
     large = buckets.where("parts > 1")
     # Texts that every block of a large bucket is compared with.
     picked = [F.min(F.struct(F.xxhash64("node", F.lit(10 + s)), "node"))["node"].alias(f"h{s}") for s in range(HUBS)]
