@@ -92,6 +92,7 @@ def parser() -> argparse.ArgumentParser:
     query.add_argument("--payload-keys")
     query.add_argument("--with-vectors", action="store_true")
     query.add_argument("--full-payload", action="store_true")
+    query.add_argument("--probes", type=int, help="search only so many cells for each query; see set-cells")
     query.add_argument("-o", "--output")
 
     export = command("export", "collection", "path")
@@ -110,6 +111,9 @@ def parser() -> argparse.ArgumentParser:
     snapshot.add_argument("--source", help="the collection that the snapshot is of, if it is another one")
     snapshot.add_argument("--priority", choices=("snapshot", "replica"), default="snapshot")
     command("vacuum", "collection")
+    command("compact", "collection")
+    cells = command("set-cells", "collection")
+    cells.add_argument("--cells", type=int, required=True, help="number of centroids to find by k-means")
     command("delete-collection", "collection")
     commands.choices["delete-collection"].add_argument("--yes", action="store_true")
     delete = command("delete-tenants", "collection")
@@ -127,6 +131,7 @@ def _query(store: CollectionStore, args: argparse.Namespace):
         "payload_keys": args.payload_keys,
         "with_vectors": args.with_vectors,
         "full_payload": args.full_payload,
+        "probes": args.probes,
     }
     if args.query:
         if not args.model:
@@ -182,6 +187,10 @@ def run(store: CollectionStore, args: argparse.Namespace):
             return [row.asDict() for row in store.list_snapshots(args.collection).collect()]
         case "snapshot-restore":
             return store.restore_snapshot(args.collection, args.snapshot, args.priority, args.source).number
+        case "compact":
+            return store.compact(args.collection)
+        case "set-cells":
+            return jobs.train_cells(store, args.collection, args.cells)
         case "vacuum":
             return store.vacuum(args.collection)
         case "delete-collection" | "delete-tenants" if not args.yes:

@@ -356,6 +356,15 @@ probes AS (
   SELECT q.*, cell FROM queries q CROSS JOIN cells QUALIFY row_number() OVER (
     PARTITION BY query_index ORDER BY round(list_cosine_similarity(qvec, c), 9) DESC, cell) <= 2),
 {top_k('placed', 'probes', 10, 'p.cell = q.cell')} {HITS}"""
+ORACLE["search_ivf"] = ORACLE["knn_ivf"].replace(POINTS, f"""{POINTS}, stored AS (
+  SELECT tenant, point_id, list_transform(vector, lambda x: CAST(CAST(x AS FLOAT) AS DOUBLE)) AS vector FROM points)""").replace("FROM points p CROSS JOIN cells", "FROM stored p CROSS JOIN cells").replace(
+    HITS, "SELECT query_index, rank, tenant, point_id, round(score, 6) AS score, d.source AS filename "
+    "FROM ranked LEFT JOIN documents d ON point_id = CAST(d.doc_id AS VARCHAR)")
+_FLAT = f"""{POINTS}, stored AS (
+  SELECT tenant, point_id, list_transform(vector, lambda x: CAST(CAST(x AS FLOAT) AS DOUBLE)) AS vector FROM points)"""
+ORACLE["flat_tenant_search"] = f"""WITH {_FLAT}, own AS (SELECT * FROM stored WHERE tenant = 'T3'), {SOURCE_QUERIES},
+{top_k('own', 'queries', 5)} {HITS}"""
+ORACLE["flat_tenant_export"] = f"WITH {_FLAT} " + vectors("point_id AS id, tenant AS tenant_name", "vector", "stored WHERE tenant = 'T5'")
 ORACLE["text_search"] = f"""WITH {RECORDS}, {hashed('docs', 'records', 'uid, org_id, lang', 'FLOAT')},
 texts AS (SELECT CAST(item_id AS INTEGER) AS query_index, trim(text, {SPACES}) AS text FROM benchmark),
 {hashed('asked', 'texts', 'query_index')},
@@ -370,6 +379,7 @@ FROM ranked JOIN texts t USING (query_index) JOIN stored s USING (tenant, point_
 # -- streaming and collections ---------------------------------------------------------------------------------------
 
 ORACLE["stream_upsert"] = latest()
+ORACLE["compact_points"] = latest().replace("CAST(CAST(value AS FLOAT) AS DOUBLE)", "CAST(CAST(value + CASE WHEN user_id % 11 < 2 THEN 1000 ELSE 0 END AS FLOAT) AS DOUBLE)")
 ORACLE["delete_tenants"] = f"""WITH {ATTRIBUTED}
 SELECT tenant, count(*) AS points FROM attributed WHERE tenant NOT IN ('T1', 'T4') GROUP BY tenant"""
 ORACLE["delete_collection"] = REGISTRY_PAIRS + " WHERE lang <> 'de'"

@@ -635,6 +635,60 @@ def knn_ivf(spark, sf_dir):
     return _hits(search.knn_ivf(index, given.source_queries(spark, sf_dir), centroids, 10, probes=2))
 
 
+@query
+def search_ivf(spark, sf_dir):
+    """The same search through a stored collection that keeps its points in cells; half of them arrive after that."""
+    store = given.new_store(spark, "search-ivf")
+    points = given.attributed_points(spark, sf_dir).withColumn("seq", F.col("point_id").cast("bigint"))
+    store.ensure("points", given.tenant_names(table(spark, sf_dir, "embeddings").select(
+        F.concat(F.lit("T"), "label").alias("tenant"))), vector_size=64, buckets=1, promoted=["filename"])
+    early = F.col("seq") % 2 == 0
+    store.upsert("points", points.where(early))
+    store.set_cells("points", given.label_centroids(spark, sf_dir))
+    # What comes later finds its cell; some of it replaces what is there.
+    store.upsert("points", points.where(~early | (F.col("seq") % 10 == 0)))
+    hits = jobs.search_collection(store, "points", given.source_queries(spark, sf_dir).drop("query_text"), 10, probes=2)
+    return _hits(hits).join(hits.select("query_index", "rank", F.try_variant_get("payload", "$.filename", "string").alias("filename")),
+                            ["query_index", "rank"])
+
+
+@query
+def flat_tenant_search(spark, sf_dir):
+    """A collection without tenant partitions keeps the tenant of each point in its payload."""
+    store = given.new_store(spark, "flat-search")
+    store.ensure("points", vector_size=64, buckets=4)
+    store.upsert("points", given.attributed_points(spark, sf_dir))
+    queries = given.source_queries(spark, sf_dir).drop("query_text")
+    hits = jobs.search_collection(store, "points", queries, 5, tenant="T3", full_payload=True)
+    return _hits(hits.withColumn("tenant", F.try_variant_get("payload", "$.tenant_name", "string")))
+
+
+@query
+def flat_tenant_export(spark, sf_dir):
+    """One tenant of a collection without tenant partitions as a backup."""
+    store = given.new_store(spark, "flat-export")
+    store.ensure("points", vector_size=64, buckets=4)
+    store.upsert("points", given.attributed_points(spark, sf_dir))
+    path = f"{scratch_path(spark, 'flat')}/points"
+    jobs.export_collection(store, "points", path, "T5")
+    lines = backup_of(spark, path)
+    return _vectors(lines.withColumn("tenant_name", F.try_variant_get("payload", "$.tenant_name", "string")), "id", "tenant_name")
+
+
+@query
+def compact_points(spark, sf_dir):
+    """Loads that touch few points of every partition are layers on top of it, until they are folded."""
+    store = given.new_store(spark, "compact")
+    points = given.event_points(spark, sf_dir)
+    store.ensure("users", given.tenant_names(points), vector_size=1, buckets=2)
+    store.upsert("users", points)
+    again = points.withColumn("vector", F.transform("vector", lambda x: x + 1000))
+    for third in range(2):
+        store.upsert("users", again.where(F.col("point_id").cast("bigint") % 11 == third))
+    store.compact("users")
+    return _latest(store.points("users"))
+
+
 @query
 def text_search(spark, sf_dir):
     """Benchmark texts as queries against every document, through a stored collection."""

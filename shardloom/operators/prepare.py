@@ -125,6 +125,15 @@ def match_filter(df: DataFrame, matches: dict[str, str], payload: str = "payload
     return df
 
 
+def stamp_tenant(payload: Column, tenant: Column, field: str = "tenant_name") -> Column:
+    """The payload with the tenant under ``field``, where it is an object (or null) without that key."""
+    entries = F.coalesce(F.try_variant_get(payload, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    stamped = F.to_variant_object(F.map_concat(entries, F.create_map(F.lit(field), tenant.cast("string").cast("variant"))))
+    plain = payload.isNull() | F.schema_of_variant(payload).startswith("OBJECT")
+    named = tenant.isNotNull() & F.try_variant_get(payload, f"$['{field}']", "variant").isNull()
+    return F.when(plain & named, stamped).otherwise(payload)
+
+
 def import_tenant(shard_key: str = "shard_key", payload: str = "payload", field: str = "tenant_name") -> Column:
     """The tenant of a backup line: its shard key, else the payload field."""
     return F.coalesce(F.when(F.col(shard_key) != "", F.col(shard_key)),

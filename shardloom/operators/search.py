@@ -280,6 +280,15 @@ def assign_cells(df: DataFrame, centroids: list[list[float]], vector: str = "vec
     return usable.withColumn("cell", F.explode(_nearest_cells(F.col(vector), matrix, min(probes, len(matrix)))))
 
 
+def place_in_cells(points: DataFrame, centroids: list[list[float]]) -> DataFrame:
+    """Add ``cell``, the nearest centroid, to every point; null for vectors that no search finds."""
+    matrix = np.array(centroids, dtype=np.float64)
+    usable = F.when(_searchable(points, "vector", matrix.shape[1]), F.col("vector"))
+    # Null vectors stand for those without a cell; their place in the batch is filled and ignored.
+    filled = F.coalesce(usable, F.array_repeat(F.lit(0.0), matrix.shape[1]).cast(points.schema["vector"].dataType))
+    return points.withColumn("cell", F.when(usable.isNotNull(), F.get(_nearest_cells(filled, matrix, 1), F.lit(0))))
+
+
 def build_ivf(points: DataFrame, centroids: list[list[float]], path: str, *columns: str) -> DataFrame:
     """Write the points once, one folder for each cell, and return that table.
 

@@ -2,9 +2,14 @@
 
 A collection is a folder: ``_meta.json`` holds its fixed properties, each ``_versions/<n>.json`` lists
 the partitions of one version, and ``data/commit=<id>/tenant=<t>/bucket=<b>/`` holds their rows. A
-commit writes only the partitions it touches, into a folder of its own, and becomes visible when its
-version file is created. Nothing that a reader may be reading is overwritten, and an old version is a
-snapshot for free. One writer at a time.
+commit writes into a folder of its own and becomes visible when its version file is created. Nothing that
+a reader may be reading is overwritten, and an old version is a snapshot for free. One writer at a time.
+
+An upsert writes the rows that arrive. A partition may so lie in several commits: of a key, the row of the
+last commit counts, and readers drop the others by the keys of the later commits, which are few. A
+partition is written anew as a whole when these layers have grown to a share of its points, or by
+:meth:`CollectionStore.compact`. With :meth:`CollectionStore.set_cells` rows lie in one folder more,
+``cell=<c>``, by the nearest of the collection's centroids; an approximate search opens the cells it probes.
 """
 
 from __future__ import annotations
@@ -20,12 +25,22 @@ from pyspark.sql import functions as F
 
 from shardloom.functions.vectors import all_finite
 from shardloom.operators.joins import snapshot_restore
+from shardloom.operators.prepare import stamp_tenant
 from shardloom.operators.reports import dedupe_last
+from shardloom.operators.search import place_in_cells
 from shardloom.session import local_table
 from shardloom.sources import files
 from shardloom.sources.backup import DEFAULT_LABEL
 
 KEYS = ["tenant", "point_id"]
+
+# A partition is folded when it has so many layers, or when those above the first hold this share of its points.
+MOST_LAYERS = 8
+LAYER_SHARE = 0.25
+# Keys of later layers are sent to all readers up to this number, which the version file knows; beyond, rows are joined.
+BROADCAST_KEYS = 1_000_000
+# Centroids are sent to all tasks, as doubles.
+CENTROID_BYTES = 64 << 20
 POINT_COLUMNS = "point_id string, vector array<float>, payload variant, seq bigint"
 
 
@@ -49,10 +64,19 @@ class Collection:
 class Version:
     number: int = 0
     tenants: list[str] = field(default_factory=list)
-    # tenant, bucket, commit folder, points, bytes
+    # tenant, bucket, commit folder, points, bytes; in the order of commits
     partitions: list[list] = field(default_factory=list)
     # last micro-batch committed by each stream
     streams: dict[str, int] = field(default_factory=dict)
+    # name of the centroids by which all partitions are laid out, or nothing
+    cells: str = ""
+
+    def layers(self) -> dict[tuple[str, int], list[list]]:
+        """The entries of each partition, in the order of commits."""
+        found: dict[tuple[str, int], list[list]] = {}
+        for entry in self.partitions:
+            found.setdefault((entry[0], entry[1]), []).append(entry)
+        return found
 
 
 @dataclass(frozen=True)
@@ -63,6 +87,14 @@ class EnsureResult:
     skipped: list[str]
 
 
+def _is_due(layers: list[list], arriving: int) -> bool:
+    """Whether one layer more is too much for a partition."""
+    if not layers:
+        return False
+    above = sum(entry[3] for entry in layers[1:]) + arriving
+    return len(layers) >= MOST_LAYERS or above > LAYER_SHARE * layers[0][3]
+
+
 class CollectionStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -151,14 +183,15 @@ class CollectionStore:
 
     # -- points -----------------------------------------------------------------------------------
 
-    def _schema(self, meta: Collection) -> str:
+    def _schema(self, meta: Collection, celled: bool) -> str:
         promoted = "".join(f", `{key}` string" for key in meta.promoted)
-        return f"{POINT_COLUMNS}{promoted}, commit string, tenant string, bucket int"
+        return f"{POINT_COLUMNS}{promoted}, commit string, tenant string, bucket int{', cell int' * celled}"
 
-    def _read(self, meta: Collection, partitions: list[list]) -> DataFrame:
-        schema = self._schema(meta)
+    def _files(self, meta: Collection, partitions: list[list], celled: bool) -> DataFrame:
+        """The rows of these partitions with their commit, all layers."""
+        schema = self._schema(meta, celled)
         if not partitions:
-            return self.spark.createDataFrame([], schema).drop("commit")
+            return self.spark.createDataFrame([], schema)
         base = self._path(meta.name, "data")
         commits: dict[str, set] = {}
         for tenant, bucket, commit, *_ in partitions:
@@ -175,23 +208,79 @@ class CollectionStore:
                 same.setdefault(tuple(sorted(buckets)), []).append(tenant)
             for buckets, names in same.items():
                 live = live | ((F.col("commit") == commit) & F.col("tenant").isin(names) & F.col("bucket").isin(*buckets))
-        return df.where(live).drop("commit")
+        return df.where(live)
+
+    def _read(self, meta: Collection, partitions: list[list], cells: str = "") -> DataFrame:
+        """The points of these partitions: of a key, the row of the last commit."""
+        celled = bool(cells)
+        layers = Version(partitions=partitions).layers()
+        single = [entries[0] for entries in layers.values() if len(entries) == 1]
+        stacked = [entry for entries in layers.values() if len(entries) > 1 for entry in entries]
+        plain = self._files(meta, single, celled).drop("commit")
+        if not stacked:
+            return plain
+        number = F.split("commit", "-")[0].cast("int")
+        above = [entry for entries in layers.values() for entry in entries[1:]]
+        # Keys of the later layers only: narrow, and few by LAYER_SHARE. A row of a cell may be replaced by one of another.
+        later = self._files(meta, above, celled).groupBy(
+            F.col("tenant").alias("_tenant"), F.col("point_id").alias("_point")).agg(F.max(number).alias("_last"))
+        if sum(entry[3] for entry in above) <= BROADCAST_KEYS:
+            later = F.broadcast(later)
+        rows = self._files(meta, stacked, celled)
+        on = (F.col("tenant") == F.col("_tenant")) & (F.col("point_id") == F.col("_point"))
+        current = rows.withColumn("_number", number).join(later, on & (F.col("_number") < F.col("_last")), "left_anti")
+        return plain.unionByName(current.drop("commit", "_number"))
+
+    def points(self, name: str, tenant: str | None = None, version: int | None = None, cells: list[int] | None = None) -> DataFrame:
+        """Stored points of a version (the last by default), of one tenant or all.
+
+        ``cells`` opens these cells only and keeps the column ``cell``.
+        """
+        meta, state = self.describe(name), self.version(name, version)
+        partitions = [p for p in state.partitions if tenant is None or p[0] == tenant]
+        found = self._read(meta, partitions, state.cells).drop("bucket")
+        if cells is None:
+            return found.drop("cell")
+        if not state.cells:
+            raise ValueError(f"Collection {name!r} has no cells; set_cells lays it out by centroids.")
+        return found.where(F.col("cell").isin(list(map(int, cells))))
+
+    def points_beside(self, name: str, hits: DataFrame) -> DataFrame:
+        """The stored points of the partitions that any of the hits (tenant, point_id) lies in; no other file is opened."""
+        meta, state = self.describe(name), self.version(name)
+        # At most one row for each partition comes back.
+        asked = hits.select("tenant", self._bucket(meta).alias("bucket")).distinct().limit(len(state.partitions) + 1).collect()
+        wanted = {(row["tenant"], row["bucket"]) for row in asked}
+        return self._read(meta, [p for p in state.partitions if (p[0], p[1]) in wanted], state.cells).drop("bucket", "cell")
+
+    # -- cells --------------------------------------------------------------------------------------
+
+    def set_cells(self, name: str, centroids: list[list[float]]) -> Version:
+        """Lay the whole collection out by the nearest centroid; later commits follow. Rewrites every point once."""
+        meta, version = self.describe(name), self.version(name)
+        if not centroids or any(len(c) != meta.vector_size for c in centroids):
+            raise ValueError(f"Centroids of {name!r} need vectors of {meta.vector_size}.")
+        if len(centroids) * meta.vector_size * 8 > CENTROID_BYTES:
+            raise ValueError(f"{len(centroids)} centroids of {meta.vector_size} are more than {CENTROID_BYTES >> 20} MB.")
+        rows = self._read(meta, version.partitions, version.cells).drop("cell")
+        version.cells = uuid.uuid4().hex
+        files.write_text(self.spark, self._path(name, "_cells", f"{version.cells}.json"), json.dumps(centroids))
+        return self._write(meta, version, rows, {(p[0], p[1]) for p in version.partitions})
 
-    def points(self, name: str, tenant: str | None = None, version: int | None = None) -> DataFrame:
-        """Stored points of a version (the last by default), of one tenant or all."""
-        meta = self.describe(name)
-        partitions = self.version(name, version).partitions
-        if tenant is not None:
-            partitions = [p for p in partitions if p[0] == tenant]
-        return self._read(meta, partitions).drop("bucket")
+    def centroids(self, name: str, version: Version | None = None) -> list[list[float]]:
+        """The centroids of a version, in cell order; empty without cells."""
+        cells = (version or self.version(name)).cells
+        return json.loads(files.read_text(self.spark, self._path(name, "_cells", f"{cells}.json"))) if cells else []
 
     def _bucket(self, meta: Collection) -> Column:
         return F.pmod(F.xxhash64("point_id"), F.lit(meta.buckets)).cast("int")
 
     def _conform(self, meta: Collection, points: DataFrame, order: list[str]) -> DataFrame:
-        # Without tenants the point id alone is the key.
+        # Without tenants the point id alone is the key, and the payload keeps the tenant.
         tenant = F.col("tenant") if meta.partitioned else F.lit(DEFAULT_LABEL)
         payload = F.col("payload") if "payload" in points.columns else F.lit(None).cast("variant")
+        if not meta.partitioned and "tenant" in points.columns:
+            payload = stamp_tenant(payload, F.nullif(F.col("tenant"), F.lit(DEFAULT_LABEL)))
         seq = F.col("seq").cast("bigint") if "seq" in points.columns else F.lit(None).cast("bigint")
         return points.select(
             tenant.alias("tenant"),
@@ -207,8 +296,8 @@ class CollectionStore:
             self._bucket(meta).alias("bucket"),
         )
 
-    def _check(self, meta: Collection, staged: DataFrame, tenants: list[str]) -> tuple[int, set[tuple[str, int]]]:
-        """Staged points and the partitions they touch; a bad load stops here, before any commit.
+    def _check(self, meta: Collection, staged: DataFrame, tenants: list[str]) -> dict[tuple[str, int], int]:
+        """Staged points of each partition they touch; a bad load stops here, before any commit.
 
         One pass. Only registered tenants may appear, so at most tenants times buckets rows come back.
         """
@@ -246,20 +335,25 @@ class CollectionStore:
                 f"{wrong} point(s) have another vector size (for example {sizes[:1]}) than collection "
                 f"{meta.name!r}, which expects {meta.vector_size}."
             )
-        return sum(row["n"] for row in rows), {(row["tenant"], row["bucket"]) for row in rows}
+        return {(row["tenant"], row["bucket"]): row["n"] for row in rows}
 
     def _write(self, meta: Collection, version: Version, rows: DataFrame, replaced: set[tuple[str, int]]) -> Version:
-        """Write the new content of the ``replaced`` partitions and commit a version that points to it."""
+        """Write rows as the last layer of their partitions and commit; ``replaced`` partitions lose their former layers."""
         commit = f"{version.number + 1}-{uuid.uuid4().hex[:12]}"
         path = self._path(meta.name, "data", f"commit={commit}")
+        layout = ["tenant", "bucket"]
+        if version.cells:
+            rows = place_in_cells(rows, self.centroids(meta.name, version))
+            layout.append("cell")
         # Rebalancing gives each partition few files and splits the ones that are large.
         (
-            rows.hint("rebalance", "tenant", "bucket")
-            .sortWithinPartitions("tenant", "bucket", "point_id")
-            .write.partitionBy("tenant", "bucket")
+            rows.hint("rebalance", *layout)
+            .sortWithinPartitions(*layout, "point_id")
+            .write.partitionBy(*layout)
             .parquet(path)
         )
-        written = self.spark.read.schema(self._schema(meta)).option("basePath", self._path(meta.name, "data")).parquet(path)
+        schema = self._schema(meta, bool(version.cells))
+        written = self.spark.read.schema(schema).option("basePath", self._path(meta.name, "data")).parquet(path)
         # Row counts and sizes come from the file footers; one row for each written partition returns.
         file = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size")
         counts = (
@@ -279,7 +373,8 @@ class CollectionStore:
 
         Inside one load the row with the largest ``order`` wins. ``newer_only`` also keeps a stored
         point whose ``seq`` is greater. ``stream`` is a stream's name and micro-batch number: a batch
-        that was committed before is skipped.
+        that was committed before is skipped. Stored points are not written again unless their
+        partition is due to be folded.
         """
         meta, version = self.describe(name), self.version(name)
         if stream and version.streams.get(stream[0], -1) >= stream[1]:
@@ -289,26 +384,38 @@ class CollectionStore:
         self._conform(meta, points, list(order)).write.parquet(staging)
         staged = self.spark.read.parquet(staging)
         try:
-            n, touched = self._check(meta, staged, version.tenants)
+            arriving = self._check(meta, staged, version.tenants)
         except RejectedLoad:
             files.delete_tree(self.spark, staging)
             raise
         if stream:
             version.streams[stream[0]] = stream[1]
-        if n:
+        if arriving:
             incoming = dedupe_last(staged, KEYS, ["_order"]).drop("_order")
-            existing = self._read(meta, [p for p in version.partitions if (p[0], p[1]) in touched])
-            replaced = staged
+            layers = version.layers()
+            touched = [p for p in version.partitions if (p[0], p[1]) in arriving]
             if newer_only:
-                arriving = incoming.select(*KEYS, F.col("seq").alias("_seq"))
-                stale = existing.join(arriving, KEYS).where(F.col("seq") > F.col("_seq")).select(*KEYS)
-                replaced = incoming = incoming.join(stale, KEYS, "left_anti")
-            kept = existing.join(replaced.select(*KEYS).distinct(), KEYS, "left_anti")
-            self._write(meta, version, kept.unionByName(incoming), touched)
+                stored = self._read(meta, touched, version.cells).select(*KEYS, F.col("seq").alias("_seq"))
+                newer = incoming.select(*KEYS, "seq").join(stored, KEYS).where(F.col("_seq") > F.col("seq")).select(*KEYS)
+                incoming = incoming.join(newer, KEYS, "left_anti")
+            folded = {key for key, n in arriving.items() if _is_due(layers.get(key, []), n)}
+            if folded:
+                kept = self._read(meta, [p for p in touched if (p[0], p[1]) in folded], version.cells).drop("cell")
+                incoming = kept.join(incoming.select(*KEYS), KEYS, "left_anti").unionByName(incoming)
+            self._write(meta, version, incoming, folded)
         elif stream:
             self._commit(name, version)
         files.delete_tree(self.spark, staging)
-        return n
+        return sum(arriving.values())
+
+    def compact(self, name: str) -> int:
+        """Write every partition that has several layers anew as one; returns how many there were."""
+        meta, version = self.describe(name), self.version(name)
+        stacked = {key for key, entries in version.layers().items() if len(entries) > 1}
+        if stacked:
+            rows = self._read(meta, [p for p in version.partitions if (p[0], p[1]) in stacked], version.cells)
+            self._write(meta, version, rows.drop("cell"), stacked)
+        return len(stacked)
 
     def replace(self, name: str, points: DataFrame) -> Version:
         """Make ``points`` (the columns of :meth:`points`) the whole content in a new version."""
@@ -335,14 +442,21 @@ class CollectionStore:
         listed = files.list_names(self.spark, self._path(name, "_snapshots"))
         return [n.removesuffix(".json") for n in listed if n.endswith(".json") and not n.startswith(".")]
 
+    def _count(self, name: str, version: Version) -> int:
+        """Points of a version: from its list, but for partitions of several layers, whose keys are counted."""
+        layers = version.layers().values()
+        stacked = [p for entries in layers if len(entries) > 1 for p in entries]
+        noted = sum(entries[0][3] for entries in layers if len(entries) == 1)
+        return noted + (self._read(self.describe(name), stacked, version.cells).count() if stacked else 0)
+
     def list_snapshots(self, name: str) -> DataFrame:
         """Rows ``(snapshot, created_at, version, tenants, points, bytes)``."""
         rows = []
         for label in self._snapshot_labels(name):
             record = self._snapshot(name, label)
             version = self.version(name, record["version"])
-            points, size = (sum(p[i] for p in version.partitions) for i in (3, 4))
-            rows.append((label, record["created_at"], version.number, len(version.tenants), points, size))
+            size = sum(p[4] for p in version.partitions)
+            rows.append((label, record["created_at"], version.number, len(version.tenants), self._count(name, version), size))
         return local_table(
             self.spark, rows, "snapshot string, created_at string, version int, tenants int, points bigint, bytes bigint"
         )
@@ -357,11 +471,13 @@ class CollectionStore:
         if origin != name:
             saved = self._conform(here, self.points(origin, version=number).drop(*there.promoted), ["seq"])
             return self.replace(name, snapshot_restore(saved.drop("_order", "bucket"), self.points(name), priority))
-        # Partitions that both versions share need no work.
+        # Partitions that both versions share, with all their layers, need no work.
         then, now = self.version(name, number), self.version(name)
-        same = {tuple(p[:3]) for p in then.partitions} & {tuple(p[:3]) for p in now.partitions}
-        before, after = ([p for p in v.partitions if tuple(p[:3]) not in same] for v in (then, now))
-        merged = snapshot_restore(self._read(here, before).drop("bucket"), self._read(here, after).drop("bucket"), priority)
+        names = [{key: [p[2] for p in entries] for key, entries in v.layers().items()} for v in (then, now)]
+        same = {key for key, commits in names[0].items() if names[1].get(key) == commits}
+        before, after = ([p for p in v.partitions if (p[0], p[1]) not in same] for v in (then, now))
+        saved, current = (self._read(here, p, v.cells).drop("bucket", "cell") for p, v in ((before, then), (after, now)))
+        merged = snapshot_restore(saved, current, priority)
         if here.partitioned:
             now.tenants = sorted(set(now.tenants) | {p[0] for p in before})
         return self._write(here, now, merged.withColumn("bucket", self._bucket(here)), {(p[0], p[1]) for p in after})

@@ -103,24 +103,36 @@ def query_texts(spark, texts: Sequence[str]) -> DataFrame:
 def search_collection(store: CollectionStore, collection: str, queries: DataFrame, limit: int = 10,
                       tenant: str | None = None, matches: dict[str, str] | None = None,
                       payload_keys: str | Sequence[str] | None = None, with_vectors: bool = False,
-                      full_payload: bool = False, centroids: list[list[float]] | None = None,
-                      probes: int = 2) -> DataFrame:
+                      full_payload: bool = False, probes: int | None = None) -> DataFrame:
     """Ranked hits of ``(query_index, qvec[, query_text])`` with their payloads.
 
-    Tenant and payload filters apply before ranking. With ``centroids`` the search is approximate.
+    Tenant and payload filters apply before ranking. With ``probes`` each query searches that many of the cells of the
+    collection (:meth:`CollectionStore.set_cells`), and no file of another cell is opened. Payloads and vectors are read
+    for the partitions of the hits only.
     """
     if tenant is not None:
         _require_tenant(store, collection, tenant)
+    meta = store.describe(collection)
     # Several steps read the queries: their vectors are computed once, which matters with a slow model.
     queries = materialize(queries, "queries")
-    search.check_queries(queries, store.describe(collection).vector_size)
-    points = prepare.match_filter(_tenant_points(store, collection, tenant), matches or {})
-    if centroids is None:
-        hits = search.knn_exact(points, queries, limit)
+    search.check_queries(queries, meta.vector_size)
+    matches = dict(matches or {})
+    if tenant is not None and not meta.partitioned:
+        matches["tenant_name"] = tenant
+        tenant = None
+    if probes is None:
+        hits = search.knn_exact(prepare.match_filter(store.points(collection, tenant), matches), queries, limit)
     else:
-        hits = search.knn_ivf(points, queries, centroids, limit, probes)
+        centroids = store.centroids(collection)
+        if not centroids:
+            raise ValueError(f"Collection {collection!r} has no cells to probe.")
+        asked = search.assign_cells(queries, centroids, "qvec", probes)
+        probed = [row["cell"] for row in asked.select("cell").distinct().collect()]  # at most one for each centroid
+        placed = prepare.match_filter(store.points(collection, tenant, cells=probed), matches)
+        hits = search.knn_exact(placed, asked, limit, group="cell")
+    hits = materialize(hits, "hits")
     columns = ["payload"] + (["vector"] if with_vectors else [])
-    out = search.attach_payload(hits, points, columns, queries.count() * limit)
+    out = search.attach_payload(hits, store.points_beside(collection, hits), columns, queries.count() * limit)
     if not full_payload:
         out = prepare.prune_payload_keys(out)
     out = prepare.project_payload(out, payload_keys)
@@ -137,6 +149,13 @@ def text_search(store: CollectionStore, collection: str, queries: DataFrame, emb
     )
 
 
+def train_cells(store: CollectionStore, collection: str, cells: int, seed: int = 42) -> int:
+    """Find centroids by k-means over all points and lay the collection out by them; returns how many there are."""
+    centroids = search.train_centroids(store.points(collection), cells, seed)
+    store.set_cells(collection, centroids)
+    return len(centroids)
+
+
 def export_collection(store: CollectionStore, collection: str, path: str, tenant: str | None = None) -> dict:
     meta = store.describe(collection)
     if tenant is not None:
