@@ -21,12 +21,13 @@ def load_object(spec: str):
     return getattr(importlib.import_module(module), name)
 
 
-def embed_step(model: str, input_type: str, batch_size: int = 100) -> jobs.EmbedStep:
+def embed_step(model: str, input_type: str, batch_size: int = 100, any_text: bool = False) -> jobs.EmbedStep:
     """``hash:<dim>``, or ``module:function`` of a function that loads a batch model."""
     module, _, name = model.partition(":")
     if module == "hash":
-        return partial(embed.embed_by_hash, dim=int(name), input_type=input_type)
-    return partial(embed.embed_text, load_model=load_object(model), input_type=input_type, batch_size=batch_size)
+        return partial(embed.embed_by_hash, dim=int(name), input_type=input_type, any_text=any_text)
+    return partial(embed.embed_text, load_model=load_object(model), input_type=input_type, batch_size=batch_size,
+                   any_text=any_text)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -164,7 +165,7 @@ def run(store: CollectionStore, args: argparse.Namespace):
         case "ingest":
             return jobs.ingest_csv(store, args.collection, args.tenant, args.csv, args.tenant_field, multi_line)
         case "embed-upsert":
-            step = embed_step(args.model, args.input_type, args.batch_size)
+            step = embed_step(args.model, args.input_type, args.batch_size, any_text=True)
             return jobs.embed_upsert_csv(store, args.collection, args.tenant, args.csv, partial(step, text=args.text_field),
                                          args.tenant_field, args.text_field, multi_line=multi_line)
         case "embed":

@@ -133,7 +133,7 @@ BACKUP_LINES = """lines AS (
   SELECT CAST(e.vec_id AS VARCHAR) AS id, CASE WHEN d.lang <> 'es' THEN d.source END AS payload_tenant,
          CASE WHEN d.lang NOT IN ('en', 'es') THEN d.source END AS shard_key,
          CASE WHEN e.label = 4 THEN 63 ELSE 64 END AS dim
-  FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id)"""
+  FROM embeddings e LEFT JOIN documents d ON e.vec_id = d.doc_id)"""
 
 # -- sources and sinks --------------------------------------------------------------------------------
 
@@ -157,8 +157,16 @@ ORACLE["upsert_points"] = latest()
 ORACLE["export_points"] = f"WITH {ATTRIBUTED} " + vectors(
     "CAST(point_id AS BIGINT) AS id, tenant AS shard_key, filename", _STORED, "attributed")
 ORACLE["import_points"] = f"WITH {ATTRIBUTED} " + vectors("tenant, point_id, filename", _STORED, "attributed")
-ORACLE["embed_upsert"] = f"WITH {RECORDS}, {hashed('embedded', 'records', 'uid, org_id, lang', 'FLOAT')} " + vectors(
-    "org_id AS tenant, uid AS point_id, lang", "vector", "embedded WHERE vector IS NOT NULL")
+_GAPPY = f"""{RECORDS}, gappy AS (
+  SELECT * REPLACE (CASE WHEN doc_id % 19 = 0 THEN ' ' WHEN doc_id % 17 = 0 THEN 'NaN' ELSE text END AS text) FROM records),
+{hashed('embedded', 'gappy', 'uid, org_id, lang', 'FLOAT')}"""
+ORACLE["embed_upsert"] = f"WITH {_GAPPY} " + vectors("org_id AS tenant, uid AS point_id, lang", "vector", "embedded WHERE vector IS NOT NULL")
+ORACLE["job_load_report"] = f"""WITH {_GAPPY}, counts AS (
+  SELECT (SELECT count(*) FROM gappy) AS read, (SELECT count(*) FROM embedded WHERE vector IS NOT NULL) AS written,
+         (SELECT count(*) FROM gappy WHERE org_id IS NULL OR org_id = '') AS other,
+         (SELECT count(*) FROM gappy WHERE org_id <> '' AND len({words('text')}) = 0) AS blank)
+SELECT unnest(['read', 'written', 'other_tenant', 'blank_text', 'no_vector']) AS what,
+       unnest([read, written, other, blank, read - written - other - blank]) AS n FROM counts"""
 ORACLE["replace_tenant_slice"] = f"""WITH {RECORDS}
 SELECT uid, org_id, md5(CASE WHEN org_id = 'src3' THEN 'new ' || text ELSE text END) AS digest,
        CASE WHEN org_id = 'src3' THEN 'new' END AS note FROM records"""
@@ -336,7 +344,9 @@ ORACLE["knn_exact"] = f"WITH {POINTS}, {SOURCE_QUERIES}, {top_k('points', 'queri
 ORACLE["knn_blocked"] = ORACLE["knn_exact"]
 ORACLE["knn_nonfinite"] = f"""WITH {POINTS}, {SOURCE_QUERIES}, fine AS (SELECT * FROM points WHERE tenant NOT IN ('T3', 'T4')),
 {top_k('fine', 'queries', 10)} {HITS}"""
-ORACLE["scroll_all"] = "SELECT DISTINCT 'T' || label AS tenant, CAST(vec_id % 50 AS VARCHAR) AS point_id FROM embeddings"
+ORACLE["scroll_all"] = f"""WITH {POINTS}, twice AS (
+  SELECT tenant, point_id FROM points UNION ALL SELECT 'U' || tenant, point_id FROM points)
+SELECT tenant, point_id, (row_number() OVER (ORDER BY point_id, tenant) - 1) // 100 AS page FROM twice"""
 ORACLE["knn_tenant"] = f"""WITH {POINTS}, {SOURCE_QUERIES}, tenant_means AS (
   SELECT source_no, label, pos, avg(CAST(x AS DOUBLE)) AS x FROM elements GROUP BY ALL),
 tenant_queries AS (

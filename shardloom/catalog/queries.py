@@ -14,7 +14,8 @@ from shardloom.functions.json import json_cell
 from shardloom.functions import text as texts
 from shardloom.operators import chunk, embed, joins, prepare, reports, search, validate
 from shardloom.plans import jobs
-from shardloom.session import local_table, materialize, scratch_path
+from shardloom.plans.collections import CollectionStore
+from shardloom.session import local_table, scratch_path
 from shardloom.sinks import writers
 from shardloom.sources.backup import read_manifest as manifest_of
 from shardloom.sources.backup import scan_backup as backup_of
@@ -151,23 +152,34 @@ def upsert_points(spark, sf_dir):
     return _latest(_event_store(spark, sf_dir, "upsert").points("users"))
 
 
+def _gappy(text: Column) -> Column:
+    """Texts of which some are blank and some the word nan."""
+    number = F.col("doc_id").cast("bigint")
+    return F.when(number % 19 == 0, F.lit(" \n\t ")).when(number % 17 == 0, F.lit("NaN")).otherwise(text)
+
+
+def _embedded_load(spark: SparkSession, sf_dir: str, name: str) -> tuple[CollectionStore, jobs.Loaded]:
+    """CSV rows of every tenant, embedded while they are loaded, and the report of the load."""
+    store = given.new_store(spark, name)
+    rows = given.records(spark, sf_dir)
+    path = scratch_path(spark, "records")
+    writers.write_csv(rows.withColumn("text", _gappy(F.col("text"))).repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id"), path)
+    store.ensure("texts", given.tenant_names(rows.select(F.col("org_id").alias("tenant"))), vector_size=HASH_DIM, buckets=2)
+    return store, jobs.embed_upsert_csv(store, "texts", None, path, lambda df: embed.embed_by_hash(df, HASH_DIM, any_text=True))
+
+
 @query
 def embed_upsert(spark, sf_dir):
-    """CSV rows of every tenant, embedded while they are loaded."""
-    store = given.new_store(spark, "embed-upsert")
-    rows = with_ordinal(csv_of(spark, _records_csv(spark, sf_dir)))
-    tenants = given.tenant_names(rows.select(F.col("org_id").alias("tenant")))
-    store.ensure("texts", tenants, vector_size=HASH_DIM, buckets=2)
-    kept = embed.embed_by_hash(prepare.drop_blank_text(rows), HASH_DIM, drop_missing=True)
-    points = prepare.assign_point_ids(kept).select(
-        F.col("org_id").alias("tenant"), "point_id", F.col("embedding").alias("vector"),
-        prepare.payload_object(kept, ("embedding", "text", "row_pos")).alias("payload"), F.col("row_pos").alias("seq"),
-    )
-    store.upsert("texts", points)
-    return _vectors(
-        store.points("texts").withColumn("lang", F.try_variant_get("payload", "$.lang", "string")),
-        "tenant", "point_id", "lang",
-    )
+    points = _embedded_load(spark, sf_dir, "embed-upsert")[0].points("texts")
+    return _vectors(points.withColumn("lang", F.try_variant_get("payload", "$.lang", "string")), "tenant", "point_id", "lang")
+
+
+@query
+def job_load_report(spark, sf_dir):
+    """What the load counted while it ran."""
+    loaded = _embedded_load(spark, sf_dir, "load-report")[1]
+    rows = [("read", loaded.read), ("written", int(loaded)), *loaded.dropped.items()]
+    return local_table(spark, rows, "what string, n bigint")
 
 
 @query
@@ -330,7 +342,7 @@ def _backup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Backup lines: English ones name their tenant only in the payload, Spanish ones not at all."""
     lang = F.col("lang")
     return table(spark, sf_dir, "embeddings").join(
-        table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "lang", "source"), "vec_id"
+        table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "lang", "source"), "vec_id", "left"
     ).select(
         F.col("vec_id").cast("string").alias("id"),
         F.to_variant_object(F.struct(F.when(lang != "es", F.col("source")).alias("tenant_name"))).alias("payload"),
@@ -599,15 +611,10 @@ def knn_nonfinite(spark, sf_dir):
 
 @query
 def scroll_all(spark, sf_dir):
-    """Every page of points whose ids occur in many tenants."""
-    points = table(spark, sf_dir, "embeddings").select(
-        F.concat(F.lit("T"), "label").alias("tenant"), (F.col("vec_id") % 50).cast("string").alias("point_id")).distinct()
-    points = materialize(points, "points")
-    pages, after = [], None
-    while page := search.scroll_page(points, 100, after).collect():
-        pages += [(row["tenant"], row["point_id"]) for row in page]
-        after = page[-1]["point_id"], page[-1]["tenant"]
-    return local_table(spark, pages, "tenant string, point_id string")
+    """The page of every point; each id occurs in two tenants."""
+    points = given.vector_points(spark, sf_dir).select("tenant", "point_id")
+    twice = points.select(F.explode(F.array("tenant", F.concat(F.lit("U"), "tenant"))).alias("tenant"), "point_id")
+    return search.number_pages(twice, 100)
 
 
 @query

@@ -58,10 +58,10 @@ def clean_markdown(c: Column) -> Column:
     return trim_ws(cleaned)
 
 
-def embeddable_text(c: Column) -> Column:
-    """The stripped text, or null where no model could embed it (blank, or the text ``nan``)."""
+def embeddable_text(c: Column, any_text: bool = False) -> Column:
+    """The stripped text, or null where no model could embed it (blank, or, without ``any_text``, the text ``nan``)."""
     s = trim_ws(c)
-    return F.when((s != "") & (F.lower(s) != "nan"), s)
+    return F.when((s != "") if any_text else (s != "") & (F.lower(s) != "nan"), s)
 
 
 def prefix_text(c: Column, input_type: str) -> Column:

@@ -17,11 +17,11 @@ Embedder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 
 
 def embed_text(df: DataFrame, load_model: Callable[[], Embedder], text: str = "text", vector: str = "embedding",
-               input_type: str = "passage", batch_size: int = 100, spread: int | None = None) -> DataFrame:
+               input_type: str = "passage", batch_size: int = 100, spread: int | None = None, any_text: bool = False) -> DataFrame:
     """Add the vector of each text with any batch model.
 
     ``load_model`` runs once in each task and returns a function from a list of texts to their vectors.
-    Unusable text gets a null vector. ``spread`` repartitions first, so that slow model calls are
+    Unusable text gets a null vector; with ``any_text`` only blank text is. ``spread`` repartitions first, so that slow model calls are
     shared evenly after one document became many chunks.
     """
     if batch_size < 1:
@@ -40,14 +40,14 @@ def embed_text(df: DataFrame, load_model: Callable[[], Embedder], text: str = "t
             yield out
 
     spread_out = df.repartition(spread) if spread else df
-    return spread_out.withColumn(vector, embed(prefix_text(embeddable_text(F.col(text)), input_type)))
+    return spread_out.withColumn(vector, embed(prefix_text(embeddable_text(F.col(text), any_text), input_type)))
 
 
 def embed_by_hash(df: DataFrame, dim: int, text: str = "text", vector: str = "embedding",
-                  input_type: str = "", drop_missing: bool = False) -> DataFrame:
+                  input_type: str = "", drop_missing: bool = False, any_text: bool = False) -> DataFrame:
     """Add a deterministic feature-hash vector; it needs no model and stays in the JVM.
 
-    ``drop_missing`` drops the rows whose text has no vector.
+    ``drop_missing`` drops the rows whose text has no vector; with ``any_text`` the text ``nan`` has one.
     """
-    embedded = hash_embed(prefix_text(embeddable_text(F.col(text)), input_type), dim)
+    embedded = hash_embed(prefix_text(embeddable_text(F.col(text), any_text), input_type), dim)
     return df.withColumn(vector, only_if(embedded, lambda v: v.isNotNull()) if drop_missing else embedded)

@@ -53,7 +53,7 @@ def prune_payload_keys(df: DataFrame, payload: str = "payload") -> DataFrame:
 def payload_object(
     df: DataFrame,
     drop: Sequence[str] = ("embedding",),
-    stamp: dict[str, str] | None = None,
+    stamp: dict[str, str | Column] | None = None,
 ) -> Column:
     """One VARIANT object of the kept columns: blank and NaN become null, JSON-looking cells are parsed."""
     fields = []
@@ -68,7 +68,8 @@ def payload_object(
             nested = isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType))
             cell = F.to_variant_object(cell) if nested else cell.cast("variant")
         fields.append(cell.alias(field.name))
-    fields += [F.lit(value).cast("variant").alias(key) for key, value in (stamp or {}).items()]
+    stamped = {key: F.lit(value) if isinstance(value, str) else value for key, value in (stamp or {}).items()}
+    fields += [value.cast("variant").alias(key) for key, value in stamped.items()]
     return F.to_variant_object(F.struct(*fields))
 
 

@@ -12,14 +12,16 @@ import heapq
 from collections.abc import Iterator
 from functools import reduce
 from itertools import chain
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardloom.functions.vectors import SCORE_DECIMALS, all_finite, normalize
-from shardloom.session import local_if_small, local_table
+from shardloom.session import local_if_small, local_table, materialize
 
 # In the order that breaks ties.
 ID_COLUMNS = ("point_id", "tenant")
@@ -30,6 +32,8 @@ QUERY_BROADCAST_BYTES = 64 << 20
 QUERY_PASSES = 16
 HITS_BROADCAST_ROWS = 1_000_000
 BLOCK_BYTES = 64 << 20
+# From so many scanning tasks on a first scan of some of them pays.
+FLOOR_TASKS = 64
 SCORE_CELLS = 4 << 20
 
 
@@ -45,12 +49,13 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
 class _TopK:
     """Best ``k`` of each query over the blocks seen: score descending, then id ascending."""
 
-    def __init__(self, queries: np.ndarray, k: int):
+    def __init__(self, queries: np.ndarray, k: int, floor: np.ndarray | None = None):
         self.queries = queries
         self.k = k
         # Entries are (-score, id), so the natural order is best first.
         self.best: list[list[tuple[float, tuple[str, ...]]]] = [[] for _ in range(len(queries))]
-        self.floor = np.full(len(queries), -np.inf)
+        # What scores less is not among the best ``k``; a floor known before may be above this task's own.
+        self.floor = np.full(len(queries), -np.inf) if floor is None else floor.copy()
 
     def add(self, block: pa.RecordBatch | pa.Table) -> None:
         scores = self.queries @ _matrix(block.column("vector"), self.queries.shape[1]).T
@@ -118,6 +123,8 @@ def knn_exact(points: DataFrame, queries: DataFrame, k: int = 10, broadcast_byte
     is measured first. What exceeds ``broadcast_bytes`` takes several passes over the points, each with
     its share of the queries, which is cheaper than a shuffle of the points; beyond ``most_passes`` the
     blocked plan takes over. With ``group`` each query sees only the points of its group, in the same scan.
+    Where many tasks scan, some of them go first and give each query a floor for its last score: about the square root
+    of the number of tasks times ``k`` hits of a query are then left to rank, not ``k`` of every task.
     """
     n, dim = _query_shape(queries)
     passes = -(-n * dim * 8 // broadcast_bytes)
@@ -127,8 +134,9 @@ def knn_exact(points: DataFrame, queries: DataFrame, k: int = 10, broadcast_byte
     points = points.where(_searchable(points, "vector", dim)).select(*ID_COLUMNS, "vector", grp.alias("grp"))
     queries = queries.where(_searchable(queries, "qvec", dim)).select("query_index", "qvec", grp.alias("grp"))
     share = F.pmod(F.xxhash64("query_index"), F.lit(max(passes, 1)))
+    tasks = points.rdd.getNumPartitions() if passes else 0
     found = [
-        _scan(points, kept, dim, k)
+        _scan(points, kept, dim, k, _floors(points, kept, dim, k, tasks) if tasks >= FLOOR_TASKS else None)
         for i in range(passes)
         if (kept := queries.where(share == i if passes > 1 else F.lit(True)).collect())
     ]
@@ -137,19 +145,32 @@ def knn_exact(points: DataFrame, queries: DataFrame, k: int = 10, broadcast_byte
     return rank_hits(reduce(DataFrame.union, found), k).select("query_index", "rank", *ID_COLUMNS, "score")
 
 
-def _scan(points: DataFrame, queries: list, dim: int, k: int) -> DataFrame:
-    """Top-``k`` of each scanning task for queries that are sent to all of them; each meets the points of its group."""
+def _floors(points: DataFrame, queries: list, dim: int, k: int, tasks: int) -> dict[int, float]:
+    """The ``k``-th best score of each query among the points of every ``sqrt(tasks)``-th scanning task."""
+    first = rank_hits(_scan(points, queries, dim, k, every=isqrt(tasks)), k).where(F.col("rank") == k)
+    # One number for each query, as many as are sent to the tasks.
+    return {row["query_index"]: row["score"] for row in first.select("query_index", "score").collect()}
+
+
+def _scan(points: DataFrame, queries: list, dim: int, k: int, floors: dict[int, float] | None = None, every: int = 1) -> DataFrame:
+    """Top-``k`` of each scanning task for queries that are sent to all of them; each meets the points of its group.
+
+    Only one of ``every`` tasks reads its points, if that is more than one.
+    """
     by_group: dict = {}
     for row in queries:
         by_group.setdefault(row["grp"], []).append(row)
     sets = {}
     for name, rows in by_group.items():
         matrix = np.array([row["qvec"] for row in rows], dtype=np.float64)
-        sets[name] = np.array([row["query_index"] for row in rows]), matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+        floor = np.array([(floors or {}).get(row["query_index"], -np.inf) for row in rows])
+        sets[name] = np.array([row["query_index"] for row in rows]), matrix / np.linalg.norm(matrix, axis=1, keepdims=True), floor
     shared = points.sparkSession.sparkContext.broadcast(sets)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = {name: (index, _TopK(matrix, k)) for name, (index, matrix) in shared.value.items()}
+        if every > 1 and TaskContext.get().partitionId() % every:
+            return
+        best = {name: (index, _TopK(matrix, k, floor)) for name, (index, matrix, floor) in shared.value.items()}
         for batch in batches:
             groups = batch.column("grp").dictionary_encode()
             codes = groups.indices.to_numpy(zero_copy_only=False)
@@ -333,3 +354,22 @@ def scroll_page(points: DataFrame, limit: int = 256, after: tuple[str, str] | No
         point, tenant = after
         points = points.where((F.col("point_id") > point) | ((F.col("point_id") == point) & (F.col("tenant") > tenant)))
     return points.orderBy(*ID_COLUMNS).limit(limit)
+
+
+def number_pages(points: DataFrame, limit: int = 256) -> DataFrame:
+    """Every point with the number of its page (from 0) when all are read in the order of :func:`scroll_page`.
+
+    Points are dealt by ranges of their ids and written once; one count for each range then places them all.
+    """
+    parts = max(1, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = points.repartitionByRange(parts, *ID_COLUMNS).sortWithinPartitions(*ID_COLUMNS)
+    placed = materialize(dealt.withColumn("_at", F.monotonically_increasing_id()), "pages")
+    # The high bits of such a number are the range, the low 33 bits the place in it.
+    part, at = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    seen, starts = 0, []
+    for row in placed.groupBy(part.alias("part")).count().orderBy("part").collect():
+        starts.append((row["part"], seen))
+        seen += row["count"]
+    before = F.broadcast(local_table(points.sparkSession, starts, "_part bigint, _before bigint"))
+    numbered = placed.withColumn("_part", part).join(before, "_part")
+    return numbered.withColumn("page", F.floor((F.col("_before") + at) / limit).cast("bigint")).drop("_part", "_before", "_at")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
-from shardloom.functions.text import clean_markdown, trim_ws
+from shardloom.functions.text import is_blank, trim_ws
 from shardloom.operators import chunk, embed, prepare, search
 from shardloom.operators.joins import label_results, replace_tenant_slice
 from shardloom.operators.validate import import_violations
@@ -35,37 +35,76 @@ def _tenant_points(store: CollectionStore, collection: str, tenant: str | None)
     return prepare.match_filter(store.points(collection), {"tenant_name": tenant})
 
 
-def prepare_points(rows: DataFrame, tenant: str, vector: str = "embedding", drop: Sequence[str] = ("embedding",),
+class Loaded(int):
+    """The number of points that a load wrote, with ``read``, the rows of its files, and ``dropped``, rows by reason."""
+
+    read: int
+    dropped: dict[str, int]
+
+
+def _loaded(points: int, seen: Observation, *more: Observation) -> Loaded:
+    """What the observations counted while the points were staged; rows are counted under their first reason."""
+    counts = {key: value for observation in (seen, *more) for key, value in observation.get.items()}
+    report = Loaded(points)
+    report.read = counts.pop("read")
+    report.dropped = counts
+    return report
+
+
+def _tenant_reason(rows: DataFrame, tenant: str | None, field: str, trim: bool) -> Column:
+    """Whether a row is another tenant's; without a tenant every row that names one is loaded."""
+    value = trim_ws(F.col(field)) if trim else F.col(field)
+    return F.coalesce(value, F.lit("")) == "" if tenant is None else ~value.eqNullSafe(F.lit(tenant))
+
+
+def prepare_points(rows: DataFrame, tenant: str | Column, vector: str = "embedding", drop: Sequence[str] = ("embedding",),
                    stamp_field: str | None = None) -> DataFrame:
     """Rows with a vector and ``row_pos`` as points: id from uid or ordinal, payload from the other columns."""
-    payload = prepare.payload_object(rows, (*drop, "row_pos"), {stamp_field: tenant} if stamp_field else None)
+    name = F.lit(tenant) if isinstance(tenant, str) else tenant
+    payload = prepare.payload_object(rows, (*drop, "row_pos"), {stamp_field: name} if stamp_field else None)
     keyed = prepare.assign_point_ids(rows)
     return keyed.select(
-        F.lit(tenant).alias("tenant"), "point_id", F.col(vector).alias("vector"), payload.alias("payload"),
+        name.alias("tenant"), "point_id", F.col(vector).alias("vector"), payload.alias("payload"),
         F.col("row_pos").alias("seq"),
     )
 
 
-def ingest_csv(store: CollectionStore, collection: str, tenant: str, path: str, tenant_field: str = "org_id",
-               multi_line: bool = True) -> int:
-    """Load one tenant's rows with their stored vectors; returns the number of points."""
-    _require_tenant(store, collection, tenant)
+def ingest_csv(store: CollectionStore, collection: str, tenant: str | None, path: str, tenant_field: str = "org_id",
+               multi_line: bool = True) -> Loaded:
+    """Load the rows of one tenant, or of all (None), with their stored vectors; rows without a usable vector are dropped."""
+    if tenant is not None:
+        _require_tenant(store, collection, tenant)
     rows = row_ordinal(scan_csv(store.spark, path, [tenant_field, "embedding"], multi_line))
-    rows = prepare.parse_vectors(prepare.filter_tenant(rows, tenant, tenant_field))
+    other = _tenant_reason(rows, tenant, tenant_field, trim=False)
+    seen, embedded = Observation(), Observation()
+    rows = rows.observe(seen, F.count(F.lit(1)).alias("read"), F.count_if(other).alias("other_tenant")).where(~other)
+    rows = prepare.parse_vectors(rows, keep_failures=True)
+    usable = F.coalesce(F.size("embedding") > 0, F.lit(False))
+    rows = rows.observe(embedded, F.count_if(~usable).alias("no_vector")).where(usable)
     # A collection without tenants keeps the tenant in the payload, where its search and export look for it.
     stamp = None if store.describe(collection).partitioned else "tenant_name"
-    return store.upsert(collection, prepare_points(rows, tenant, stamp_field=stamp))
+    name = F.col(tenant_field) if tenant is None else tenant
+    return _loaded(store.upsert(collection, prepare_points(rows, name, stamp_field=stamp)), seen, embedded)
 
 
-def embed_upsert_csv(store: CollectionStore, collection: str, tenant: str, path: str, embedder: EmbedStep,
+def embed_upsert_csv(store: CollectionStore, collection: str, tenant: str | None, path: str, embedder: EmbedStep,
                      tenant_field: str = "org_id", text_field: str = "text", stamp_field: str = "tenant_name",
-                     multi_line: bool = True) -> int:
-    """Embed one tenant's rows while loading them; blank text is skipped. ``embedder`` adds ``embedding``."""
-    _require_tenant(store, collection, tenant)
+                     multi_line: bool = True) -> Loaded:
+    """Embed the rows of one tenant, or of all (None), while loading them. ``embedder`` adds ``embedding``.
+
+    Rows with blank text, or whose text gets no vector, are dropped and counted.
+    """
+    if tenant is not None:
+        _require_tenant(store, collection, tenant)
     rows = row_ordinal(scan_csv(store.spark, path, [tenant_field], multi_line)).drop("embedding")
-    rows = prepare.drop_blank_text(prepare.filter_tenant(rows, tenant, tenant_field, trim=True), text_field)
-    points = prepare_points(embedder(rows), tenant, drop=("embedding", text_field), stamp_field=stamp_field)
-    return store.upsert(collection, points)
+    other, blank = _tenant_reason(rows, tenant, tenant_field, trim=True), is_blank(F.col(text_field))
+    seen, embedded = Observation(), Observation()
+    counts = F.count_if(other).alias("other_tenant"), F.count_if(~other & blank).alias("blank_text")
+    rows = embedder(rows.observe(seen, F.count(F.lit(1)).alias("read"), *counts).where(~other & ~blank))
+    rows = rows.observe(embedded, F.count_if(F.col("embedding").isNull()).alias("no_vector")).where(F.col("embedding").isNotNull())
+    name = trim_ws(F.col(tenant_field)) if tenant is None else tenant
+    points = prepare_points(rows, name, drop=("embedding", text_field), stamp_field=stamp_field)
+    return _loaded(store.upsert(collection, points), seen, embedded)
 
 
 def embed_documents(records: DataFrame, embedder: EmbedStep, tenant: str | None = None, tenant_field: str = "org_id",

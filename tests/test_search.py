@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -167,3 +168,32 @@ def test_payload_joins_hits_only(frames):
     hits = search.knn_exact(points, queries, 3)
     full = search.attach_payload(hits, points, ["vector"], most_hits=39)
     assert full.count() == hits.count() == 39
+
+
+def test_a_first_scan_gives_floors(spark, monkeypatch):
+    rnd = random.Random(9)
+    data = [("T", str(i), [round(rnd.gauss(0, 1), 1) for _ in range(4)]) for i in range(4000)]
+    points = spark.createDataFrame(data, "tenant string, point_id string, vector array<double>").repartition(40)
+    queries = spark.createDataFrame([(i, [rnd.gauss(0, 1) for _ in range(4)]) for i in range(6)] + [(6, [0.0] * 4)], "query_index int, qvec array<double>")
+    plain = sorted(map(tuple, search.knn_exact(points, queries, 5).collect()))
+    monkeypatch.setattr(search, "FLOOR_TASKS", 2)
+    assert sorted(map(tuple, search.knn_exact(points, queries, 5).collect())) == plain and len(plain) == 30
+    assert sorted(map(tuple, search.knn_exact(points.where("point_id < '1002'"), queries, 500).collect())) == sorted(
+        map(tuple, search.knn_blocked(points.where("point_id < '1002'"), queries, 500).collect()))
+    rows = [r for r in queries.where("query_index < 6").withColumn("grp", F.lit(0)).collect()]
+    scanned = points.withColumn("grp", F.lit(0))
+    floors = search._floors(scanned, rows, 4, 5, 40)
+    left = search._scan(scanned, rows, 4, 5, floors).count()
+    assert search._scan(scanned, rows, 4, 5).count() == 6 * 5 * 40 and left < 6 * 5 * 40 / 4
+
+
+def test_pages_equal_scrolling(spark):
+    data = [(t, str(i % 60)) for i, t in enumerate("ABCD" * 60)]
+    points = spark.createDataFrame(sorted(set(data)), "tenant string, point_id string").repartition(7)
+    want, after, page = {}, None, 0
+    while rows := search.scroll_page(points, 17, after).collect():
+        want.update({(r["tenant"], r["point_id"]): page for r in rows})
+        after, page = (rows[-1]["point_id"], rows[-1]["tenant"]), page + 1
+    got = {(r["tenant"], r["point_id"]): r["page"] for r in search.number_pages(points, 17).collect()}
+    assert got == want and max(got.values()) == 3
+    assert search.number_pages(points.limit(0), 17).count() == 0
