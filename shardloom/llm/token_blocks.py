@@ -14,8 +14,8 @@ hold the ``PERCENTILE`` share of what is left; larger values keep their low bits
 exceptions. The block index lets a reader decode any range of ids alone.
 
 Files follow ascending ``doc_id`` (nulls first, equal ids by text). A null or empty text has only the end id. Long texts
-run over as many blocks as they need, and a file ends at the first document that fills it. Names of special tokens in a
-text, such as ``<|endoftext|>``, are split as plain text (the library's ``encode_special_tokens``). Broken UTF-8 is read with
+run over as many blocks as they need, and a file ends at the first document that fills it. A special token's name that
+stands in a text, such as ``<|endoftext|>``, is that token, as the library reads it by default. Broken UTF-8 is read with
 replacement characters. An empty table gives no files.
 """
 
@@ -219,7 +219,6 @@ class WordCodec:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -339,7 +338,9 @@ def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame, with
     ``start`` counts the ids of all documents before; ``ids_crc32`` is taken over the ids as they are read. The list of
     files has one short row for each.
     """
-    order = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    # Files are part-<range>-<number>.ids; numbers may have any number of digits.
+    place = [F.regexp_extract("file", r"part-(\d+)-(\d+)", k).cast("bigint") for k in (1, 2)]
+    order = Window.orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
     before = manifest.select("file", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("before"))
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.ids").load(folder)
     named = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")

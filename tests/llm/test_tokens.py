@@ -53,7 +53,6 @@ def test_a_torn_file_is_refused():
 
 def _library():
     tokenizer = Tokenizer.from_file(public_tokenizers.path(token_blocks.VOCABULARY))
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
 
 
@@ -73,16 +72,19 @@ def test_op1_equals_the_library(spark, documents):
 
 def test_word_codec_equals_the_library():
     codec, encode, rnd = token_blocks.word_codec(public_tokenizers.path(token_blocks.VOCABULARY)), _library(), random.Random(3)
-    parts = ["a", "B", " ", "  ", "\n", "é", "ß", "　", "1", "'s", "\x1c", "The", "\t", "🎉", "½", ".", ".,", "İ", "Σ", "한", "ᄒ", "ᅡ", "́", "<|endoftext|>"]
+    parts = ["a", "B", " ", "  ", "\n", "é", "ß", "　", "1", "'s", "\x1c", "The", "\t", "🎉", "½", ".", ".,", "İ", "Σ", "한", "ᄒ", "ᅡ", "́", "<|endoftext|>", "<|startoftext|>", "<|", "|>", "<|EndOfText|>"]
     texts = ["".join(rnd.choices(parts, k=rnd.randint(0, 30))) for _ in range(1500)]
     for text, ids in zip(texts, codec.encode(texts)):
         assert ids.tolist() == encode(text), text
 
 
 def test_token_files_of_odd_rows(spark, monkeypatch):
-    folder, manifest = token_blocks.encode_corpus(odd(spark))
+    named = [(10, "see <|endoftext|> here", 0.1, 1, "en"), (11, "x<|startoftext|>,<|endoftext|>!\n<|endoftext|> <|END", 0.1, 1, "en")]
+    rows = odd(spark).union(spark.createDataFrame(named, odd(spark).schema))
+    assert _library()("see <|endoftext|> here")[1] == 49407
+    folder, manifest = token_blocks.encode_corpus(rows)
     got = sorted(map(tuple, token_blocks.read_token_files(spark, folder, manifest).collect()), key=lambda r: r[1])
-    want = _expected_files([r[:2] for r in ODD_TEXTS])
+    want = _expected_files([r[:2] for r in ODD_TEXTS + named])
     assert [r[:4] for r in got] == want
     assert all(zlib.crc32(r[4]) == r[3] for r in got)
     folder, manifest = token_blocks.encode_corpus(none(spark))
