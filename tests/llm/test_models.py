@@ -1,6 +1,7 @@
 """Classifiers by held-out accuracy, nearest neighbours by recall, page layout by fixtures, and the pipeline by its stages."""
 
 import re
+import time
 import zlib
 
 import corpus_pipeline
@@ -243,3 +244,34 @@ def test_pipeline_of_odd_rows(spark):
             left = stage(spark, left, SMALL)
             assert left.columns == docs.columns
         assert corpus_pipeline.STAGES[-1][1](spark, left, SMALL).count() == left.count()
+
+
+@pytest.mark.parametrize("page", [
+    "<a " * 333_000, '<a b="' * 170_000, "<a b='" * 170_000 + "'>", "<!--" * 250_000, "</" * 300_000, "<" * 500_000, "<script>" * 100_000,
+    "<!" * 300_000, "<table><tr>" + "<td>x" * 20_000 + "</table>", '<div style="visibility:hidden">' * 20_000, "<p " * 200_000 + ">",
+    "<div hidden>" * 20_000 + "</p>" * 20_000,
+], ids=range(12))
+def test_broken_pages_cost_no_more_than_their_length(page):
+    begin = time.process_time()
+    html_layout.visible_text(page)
+    assert time.process_time() - begin < 4
+
+
+def test_numbers_spans_and_visibility():
+    page = html_layout.visible_text
+    assert page("<ol start=1234567><li>a<li value='0000000000000000000008'>b</ol>") == "1234567. a\n8. b"
+    assert page("<ol start=99999999999999><li>a</ol>") == "1. a"
+    hidden = '<div style="visibility:hidden">no <b style="color:red; visibility: visible">yes <i style="visibility:hidden">no</i></b> no<ul><li>no</ul></div>'
+    assert page(hidden + "<p>end") == "yes\n\nend"
+    assert page('<table style="visibility:collapse"><tr><td>no<td style="visibility:visible">yes</table>') == "  yes"
+    assert page('<p style="visibility:hidden">no</p><p style="display:none"><b style="visibility:visible">no</b></p>') == ""
+    assert page("<style>p { display: none }</style><p>shown") == "shown"
+
+
+def test_tags_that_never_end_are_no_text():
+    page = html_layout.visible_text
+    assert page("before <b") == "before" and page('before <b title="x > y') == "before" and page("a <!-- b") == "a"
+    assert page("1 < 2 & 3 > 2 &amp; a&lt;b <3 </ x> y") == "1 < 2 & 3 > 2 & a<b <3 y"
+    assert page("<!-->a<!--->b<!-- x --!>c<!x>d<?y>e") == "abcde"
+    assert page("<textarea>a &amp; <b>b</b></textarea><script>if (a </b) x</script>c") == "a & <b>b</b>c"
+    assert page("<a =x y=1 / z>l</A\n>m<br/>n") == "lm\nn"
