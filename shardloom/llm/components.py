@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from shardloom.session import materialize
 
 
+# Up to so many links, which each round counts, the smallest neighbours are sent to all tasks; more are joined by a shuffle.
+BROADCAST_LINKS = 1_000_000
+
+
 def _state(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
@@ -23,11 +27,12 @@ def components(links: DataFrame) -> DataFrame:
         links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "links")
     state = _state(links)
     while state[0]:
+        sent = F.broadcast if state[0] <= BROADCAST_LINKS else lambda df: df
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
+        large = both.where("v > u").join(sent(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(
+        small = large.join(sent(low), "u").select(
             F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
         ).select("e.*").where("u > v").distinct()
         links = materialize(small, "links")

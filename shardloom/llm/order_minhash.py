@@ -423,6 +423,8 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", least: flo
                         .select("same", F.col("m.at").alias("node"), "m.sketch", "m.bytes"), "nodes")
     links = near_links(nodes.where(F.size("sketch") > 0).select("node", "sketch", "bytes"), base.select(F.col("at").alias("node"), "sketch", "words"), least)
     roots = components(links)
+    if links.count() <= BROADCAST_NODES:
+        roots = F.broadcast(roots)  # at most two nodes for each link
     rooted = nodes.join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("root"))
     rows = keyed.select("same", "doc_id", "print", "at").join(rooted, "same")
     heads = rows.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.min(F.struct(

@@ -368,7 +368,9 @@ def test_classes_of_odd_rows(spark):
     assert order_minhash.classes(none(spark)).count() == order_minhash.keep_first(none(spark)).count() == 0
 
 
-def test_components_equal_union_find(spark):
+@pytest.mark.parametrize("sent", [0, 1_000_000])
+def test_components_equal_union_find(spark, monkeypatch, sent):
+    monkeypatch.setattr("shardloom.llm.components.BROADCAST_LINKS", sent)
     rnd = random.Random(4)
     pairs = [(rnd.randint(0, 300), rnd.randint(0, 300)) for _ in range(170)] + [(k, k + 1) for k in range(400, 460)] + [(500, k) for k in range(501, 560)] + [(7, 7)]
     root = {n: n for p in pairs for n in p}
