@@ -13,7 +13,8 @@ left and c / u is s / (2 - s): all sketches miss with less than 1e-4 for 5 %, 0.
 ``SHORT_ELL`` k-mers in common, such as ten words of which a middle one differs, are no candidates.
 
 Texts with equal words are one node. Candidates of a bucket are compared inside one task without being listed as pairs;
-a task skips pairs that are already connected and emits only links that connect. Buckets above ``BLOCK`` texts are split:
+a task skips pairs that are already connected and emits only links that connect. The buckets of the first ``FIRST`` sketches
+go before the others: words are then sent only to buckets whose texts are not all connected yet. Buckets above ``BLOCK`` texts are split:
 first every block is compared in itself and with a few common texts, then all that is still apart from the largest
 component of its bucket is compared with every block. Blocks are bounded in texts and in bytes of packed words, so long
 texts make more of them. No bucket is capped.
@@ -58,6 +59,8 @@ PREPARED_BYTES = 64 << 20
 BROADCAST_NODES = 1_000_000
 # Texts of a large bucket that every block of it is compared with.
 HUBS = 4
+# The buckets of so many sketches are compared first; of the others, those whose texts are then connected are settled.
+FIRST = 8
 
 _BLANKED = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _U = np.uint64
@@ -123,7 +126,10 @@ _SEEDS = _mix(np.arange(1, 1 + 256, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 
 
 def sketches(mers: np.ndarray, count: int = SKETCHES, ell: int = ELL, skip: int = 0) -> list[int]:
-    """One signed 64-bit value for each hash function after the first ``skip``: its ``ell`` least k-mers, hashed in text order."""
+    """One signed 64-bit value for each hash function after the first ``skip``: its ``ell`` least k-mers, hashed in text order.
+
+    The low byte is the number of the hash function, so one value names a bucket; two others agree by chance in 2**-56.
+    """
     if not len(mers):
         return []
     take = min(ell, len(mers))
@@ -137,7 +143,8 @@ def sketches(mers: np.ndarray, count: int = SKETCHES, ell: int = ELL, skip: int
         total = np.full(len(chosen), take, np.uint64)
         for place in range(take):
             total = _mix(total * _U(0x9E3779B97F4A7C15) + chosen[:, place])
-        out += total.view(np.int64).tolist()
+        number = np.arange(skip + first, skip + first + len(total), dtype=np.uint64)
+        out += ((total & ~_U(255)) | number).view(np.int64).tolist()
     return out
 
 
@@ -263,25 +270,33 @@ def sketch_texts(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     return materialize(made.withColumn("at", F.monotonically_increasing_id()), "sketched")
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """A written table of node numbers or sketch values, to be sent to all tasks if it is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_NODES else df
+
+
 def _buckets(nodes: DataFrame) -> DataFrame:
-    """(node, bytes, j, value, n, total bytes) for each bucket of at least two texts.
+    """(value, node, bytes, j, n, total bytes) for each bucket of at least two texts.
 
+    The many values that only one text has are told by a count of bare values; what follows reads the others alone.
     Buckets with the same texts are one: the first of them is kept, which is also the first that its pairs share.
     """
-    spread = nodes.select("node", "bytes", F.posexplode("sketch").alias("j", "value"))
-    sizes = spread.groupBy("j", "value").agg(
+    spread = nodes.select("node", "bytes", F.explode("sketch").alias("value"))
+    shared = materialize(spread.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("value"), "shared")
+    members = materialize(spread.join(_few(shared), "value"), "members")
+    sizes = members.groupBy("value").agg(
         F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("total"),
-        F.bit_xor(F.xxhash64("node")).alias("f"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("g")
-    ).where("n > 1")
-    kept = sizes.groupBy("n", "total", "f", "g").agg(F.min(F.struct("j", "value")).alias("b")).select("b.*", "n", "total")
-    return spread.join(kept, ["j", "value"])
+        F.bit_xor(F.xxhash64("node")).alias("f"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("g"))
+    j = F.col("value").bitwiseAND(255).cast("int")
+    kept = materialize(
+        sizes.groupBy("n", "total", "f", "g").agg(F.min(F.struct(j.alias("j"), "value")).alias("b")).select("b.*", "n", "total"), "kept")
+    return members.join(_few(kept), "value")
 
 
 def _words_in(words: DataFrame, buckets: DataFrame) -> DataFrame:
     """Sketches and words of the texts in any bucket, written: both comparisons read them and no others."""
     nodes = materialize(buckets.select("node").distinct(), "nodes")
-    few = nodes.count() <= BROADCAST_NODES
-    return materialize(words.join(F.broadcast(nodes) if few else nodes, "node", "left_semi"), "words")
+    return materialize(words.join(_few(nodes), "node", "left_semi"), "words")
 
 
 class _Group:
@@ -382,25 +397,37 @@ def near_links(nodes: DataFrame, words: DataFrame, least: float = SIMILARITY, bl
     """Links (u, v) between nodes that together connect every candidate pair that is alike."""
     if "bytes" not in nodes.columns:
         nodes = nodes.join(words.select("node", F.octet_length("words").alias("bytes")), "node")
-    buckets = _buckets(nodes).withColumns({"label": F.col("node"), "share": F.lit(0).cast("bigint"),
-                                           "parts": _parts("n", "total", block, block_bytes)})
-    buckets = materialize(buckets.withColumn("block", _dealt(2, "parts")), "buckets")
+    buckets = materialize(_buckets(nodes), "buckets")
     words = _words_in(words, buckets)
-    large = buckets.where("parts > 1")
+    first = _bucket_links(buckets.where(F.col("j") < FIRST).withColumn("label", F.col("node")), words, None, least, block, block_bytes)
+    labelled = materialize(_labelled(buckets.where(F.col("j") >= FIRST), first), "labelled")
+    apart = materialize(labelled.groupBy("value").agg((F.min("label") < F.max("label")).alias("apart")).where("apart").select("value"), "apart")
+    return _bucket_links(labelled.join(_few(apart), "value"), words, first, least, block, block_bytes)
+
+
+def _labelled(buckets: DataFrame, links: DataFrame) -> DataFrame:
+    """``buckets`` with the component of each node as its label."""
+    return buckets.join(components(links), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+
+
+def _bucket_links(buckets: DataFrame, words: DataFrame, known: DataFrame | None, least: float, block: int, block_bytes: int) -> DataFrame:
+    """``known`` links, which the labels follow, and those found in ``buckets`` (value, node, bytes, j, n, total, label)."""
+    placed = buckets.withColumns({"share": F.lit(0).cast("bigint"), "parts": _parts("n", "total", block, block_bytes)})
+    placed = placed.withColumn("block", _dealt(2, "parts"))
+    large = materialize(placed.where("parts > 1"), "large")
     # Texts that every block of a large bucket is compared with.
-    picked = [F.min(F.struct(F.xxhash64("node", F.lit(10 + s)), "node"))["node"].alias(f"h{s}") for s in range(HUBS)]
+    picked = [F.min(F.struct(F.xxhash64("node", F.lit(10 + s)), "node", "label")).alias(f"h{s}") for s in range(HUBS)]
     hubs = (
         large.groupBy("j", "value", "share", "parts").agg(*picked)
-        .withColumn("node", F.explode(F.array_distinct(F.array([f"h{s}" for s in range(HUBS)]))))
-        .withColumns({"label": F.col("node"), "block": _each("parts")})
+        .withColumn("hub", F.explode(F.array_distinct(F.array([F.struct(f"h{s}.node", f"h{s}.label") for s in range(HUBS)]))))
+        .select("j", "value", "share", "parts", "hub.node", "hub.label", _each("parts").alias("block"))
     )
-    first = materialize(_linked(_placed(buckets, 0).union(_placed(hubs, 1)), words, least), "links")
+    found = _linked(_placed(placed, 0).union(_placed(hubs, 1)), words, least)
+    first = materialize(found if known is None else known.union(found), "links")
     if large.isEmpty():
         return first
     # What is still apart from the largest component of its bucket meets every block of the bucket.
-    labelled = materialize(
-        large.drop("label", "share").join(components(first), "node", "left")
-        .withColumn("label", F.coalesce("root", "node")).drop("root"), "labelled")
+    labelled = materialize(_labelled(large.drop("label", "share"), first), "labelled")
     counts = labelled.groupBy("j", "value", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("bytes").alias("b"))
     main = counts.groupBy("j", "value").agg(
         F.max_by("label", F.struct("c", "label")).alias("main"), (F.sum("c") - F.max("c")).alias("apart"),
@@ -419,13 +446,15 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", least: flo
     # A null text is a node of its own; equal texts are one node, named by its first row.
     same = F.coalesce("text_key", F.encode(F.concat(F.lit("row "), F.col("at").cast("string")), "utf-8"))
     keyed = base.withColumn("same", same)
-    nodes = materialize(keyed.groupBy("same").agg(F.min(F.struct("at", "sketch", F.octet_length("words").alias("bytes"))).alias("m"))
-                        .select("same", F.col("m.at").alias("node"), "m.sketch", "m.bytes"), "nodes")
-    links = near_links(nodes.where(F.size("sketch") > 0).select("node", "sketch", "bytes"), base.select(F.col("at").alias("node"), "sketch", "words"), least)
+    named = materialize(keyed.groupBy("same").agg(F.min("at").alias("node")), "named")
+    words = base.where(F.size("sketch") > 0).select(F.col("at").alias("node"), "sketch", "words")
+    nodes = materialize(words.select("node", "sketch", F.octet_length("words").alias("bytes"))
+                        .join(_few(named.select("node")), "node", "left_semi"), "nodes")
+    links = near_links(nodes, words, least)
     roots = components(links)
     if links.count() <= BROADCAST_NODES:
         roots = F.broadcast(roots)  # at most two nodes for each link
-    rooted = nodes.join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("root"))
+    rooted = named.join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("root"))
     rows = keyed.select("same", "doc_id", "print", "at").join(rooted, "same")
     heads = rows.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.min(F.struct(
         F.col("doc_id").isNull(), "doc_id", "print", "at")).alias("head"))
