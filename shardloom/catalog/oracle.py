@@ -141,6 +141,11 @@ ORACLE["scan_csv"] = "SELECT CAST(doc_id AS VARCHAR) AS uid, source AS org_id, l
 ORACLE["row_ordinal"] = (
     "SELECT CAST(doc_id AS VARCHAR) AS uid, row_number() OVER (ORDER BY doc_id) - 1 AS row_pos FROM documents"
 )
+ORACLE["scan_csv_headers"] = f"""WITH {RECORDS}
+SELECT uid, org_id, CASE WHEN doc_id % 2 = 0 THEN lang END AS lang, CASE WHEN doc_id % 2 <> 0 THEN 'n' || doc_id END AS note,
+       md5(text) AS digest, row_number() OVER (ORDER BY doc_id % 2, doc_id) - 1 AS row_pos FROM records"""
+ORACLE["scan_query_files"] = vectors(
+    "CAST(row_number() OVER (ORDER BY vec_id % 3 <> 0, vec_id) - 1 AS INTEGER) AS query_index", "embedding", "embeddings")
 ORACLE["scan_backup"] = f"WITH {ATTRIBUTED} " + vectors(
     "point_id AS id, tenant AS shard_key, lang", "vector", "attributed")
 ORACLE["scan_query_vectors"] = vectors(

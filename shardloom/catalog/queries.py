@@ -72,6 +72,19 @@ def row_ordinal(spark, sf_dir):
     return with_ordinal(csv_of(spark, _records_csv(spark, sf_dir))).select("uid", "row_pos")
 
 
+@query
+def scan_csv_headers(spark, sf_dir):
+    """Two exports whose columns differ in names and order, each with a column of row labels; rows are numbered over both."""
+    root = scratch_path(spark, "exports")
+    rows = given.records(spark, sf_dir).withColumns({"Unnamed: 0": F.lit("junk"), "note": F.concat(F.lit("n"), "doc_id")})
+    even = F.col("doc_id") % 2 == 0
+    for name, part, columns in (("a", even, ("uid", "org_id", "lang", "text")), ("b", ~even, ("text", "note", "uid", "org_id"))):
+        ordered = rows.where(part).repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id")
+        writers.write_csv(ordered.select("Unnamed: 0", *columns), f"{root}/{name}")
+    found = csv_of(spark, [f"{root}/a", f"{root}/b"], required=["uid", "org_id", "text"], ordinal="row_pos")
+    return prepare.prune_columns(found).withColumn("digest", F.md5("text")).drop("text")
+
+
 def _backup(spark: SparkSession, sf_dir: str) -> str:
     path = f"{scratch_path(spark, 'backup')}/points"
     writers.export_points(given.attributed_points(spark, sf_dir), path, "points", 64)
@@ -95,6 +108,21 @@ def scan_query_vectors(spark, sf_dir):
     return _vectors(vectors_of(spark, path, "ndjson"), "query_index", vector="qvec")
 
 
+@query
+def scan_query_files(spark, sf_dir):
+    """Files with a vector on each line, and documents of up to 1,000 vectors each, numbered over all files."""
+    root = scratch_path(spark, "queries")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", given.as_doubles(F.col("embedding")).alias("vector"))
+    lines = rows.where("vec_id % 3 = 0").repartitionByRange(4, "vec_id").sortWithinPartitions("vec_id")
+    lines.select(F.to_json(F.struct("vector")).alias("value")).write.text(f"{root}/a")
+    sets = rows.where("vec_id % 3 <> 0").groupBy(F.floor(F.col("vec_id") / 1000).alias("part")).agg(
+        F.sort_array(F.collect_list(F.struct("vec_id", "vector")))["vector"].alias("vectors"))
+    ordered = sets.repartitionByRange(4, "part").sortWithinPartitions("part")
+    document = F.when(F.col("part") % 2 == 0, F.to_json(F.struct("vectors"))).otherwise(F.to_json("vectors"))
+    ordered.select(document.alias("value")).write.option("maxRecordsPerFile", 1).text(f"{root}/b")
+    return _vectors(vectors_of(spark, [f"{root}/a", f"{root}/b"]), "query_index", vector="qvec")
+
+
 @query
 def read_manifest(spark, sf_dir):
     manifest = manifest_of(spark, _backup(spark, sf_dir))

@@ -77,7 +77,11 @@ def hash_embed(text: Column, dim: int) -> Column:
             lambda b: 2 * F.get(starts, 2 * b + 1) - F.get(starts, 2 * b) - F.get(starts, 2 * b + 2),
         )
 
+    def run_starts(codes: Column) -> Column:
+        # Every code has a run, so the starts of the runs are in the order of the codes; one pass, whatever the dimension.
+        first = F.transform(codes, lambda c, i: F.when((i == 0) | (F.get(codes, i - 1) != c), i))
+        return F.filter(first, lambda i: i.isNotNull())
+
     # Counting by position: sorted together with one of each code, every code starts somewhere.
     in_order = F.sort_array(F.concat(hashed_features(text, dim), every_code))
-    starts = let(in_order, lambda codes: F.transform(every_code, lambda c: F.array_position(codes, c)))
-    return normalize(let(starts, signed_counts))
+    return normalize(let(let(in_order, run_starts), signed_counts))

@@ -2,8 +2,8 @@
 
 Two exact plans give the same hits. A query set of bounded size is sent, in shares, to the tasks that
 scan the points, and each task keeps a running top-k, so no point is shuffled, also where each query searches a group
-of points of its own. A larger query set is cut with the points into blocks of bounded size that meet in an equi-join on
-the block numbers.
+of points of its own. For a larger query set the points are dealt once into blocks of bounded size, and the queries pass by
+every block.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from functools import reduce
-from itertools import chain
+from itertools import chain, pairwise
 from math import isqrt
 
 import numpy as np
@@ -35,6 +35,8 @@ BLOCK_BYTES = 64 << 20
 # From so many scanning tasks on a first scan of some of them pays.
 FLOOR_TASKS = 64
 SCORE_CELLS = 4 << 20
+# More blocks of points than this share partitions.
+MOST_PARTITIONS = 20_000
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
@@ -188,13 +190,23 @@ def _scan(points: DataFrame, queries: list, dim: int, k: int, floors: dict[int,
     return points.mapInArrow(scan, HIT_SCHEMA)
 
 
+def _stretches(batch: pa.RecordBatch, names: tuple[str, ...]) -> Iterator[tuple[list, pa.RecordBatch]]:
+    """Runs of neighbouring rows that agree in the columns ``names``, each with their values."""
+    codes = [batch.column(name).dictionary_encode().indices.to_numpy(zero_copy_only=False) for name in names]
+    cuts = np.flatnonzero(np.any([np.diff(c) != 0 for c in codes], axis=0)) + 1
+    for first, end in pairwise([0, *cuts.tolist(), batch.num_rows]):
+        if first < end:
+            yield [batch.column(name)[first].as_py() for name in names], batch.slice(first, end - first)
+
+
 def knn_blocked(points: DataFrame, queries: DataFrame, k: int = 10, group: str | None = None,
                 block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Exact top-``k`` by blocks; with ``group``, each query sees only the points of its group.
 
-    A group is cut into as many blocks of points and of queries as its size asks for, so neither a hot
-    group nor a large query set has to fit in a task. Every query block meets every point block of its
-    group once; each meeting returns at most ``k`` hits for a query.
+    A group is cut into as many blocks of points as its size asks for, so neither a hot group nor a large query set has to
+    fit in a task. Every point moves to its block once; the queries of the group are what is copied, once for each block.
+    Behind the shuffle a task holds the points of one block and lets the queries pass by a batch at a time; each meeting
+    returns at most ``k`` hits for a query.
     """
     _, dim = _query_shape(queries)
     if dim == 0:
@@ -202,49 +214,44 @@ def knn_blocked(points: DataFrame, queries: DataFrame, k: int = 10, group: str |
     block_rows = max(1, block_bytes // (dim * 8))
     points = points.where(_searchable(points, "vector", dim))
     queries = queries.where(_searchable(queries, "qvec", dim))
-
-    def blocks(rows: Column) -> Column:
-        return F.ceil(rows / block_rows).cast("int")
+    blocks = F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")
 
     if group is None:
-        sizes = points.agg(blocks(F.count("*"))).first()[0], queries.agg(blocks(F.count("*"))).first()[0]
-        p = points.withColumns({"grp": F.lit(0), "p_blocks": F.lit(sizes[0]), "q_blocks": F.lit(sizes[1])})
-        q = queries.withColumns({"grp": F.lit(0), "p_blocks": F.lit(sizes[0]), "q_blocks": F.lit(sizes[1])})
+        total = points.agg(blocks).first()["blocks"]
+        p, q = (df.withColumns({"grp": F.lit(0), "blocks": F.lit(max(total, 1))}) for df in (points, queries))
     else:
-        sizes = local_if_small(
-            points.groupBy(F.col(group).alias("grp")).agg(blocks(F.count("*")).alias("p_blocks"))
-            .join(queries.groupBy(F.col(group).alias("grp")).agg(blocks(F.count("*")).alias("q_blocks")), "grp")
-        )
-        p = points.withColumn("grp", F.col(group)).join(sizes, "grp")
-        q = queries.withColumn("grp", F.col(group)).join(sizes, "grp")
-
-    p = p.select(
-        "grp",
-        F.pmod(F.xxhash64(*ID_COLUMNS), F.col("p_blocks")).cast("int").alias("p_block"),
-        F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("q_block"),
-        *ID_COLUMNS,
-        "vector",
-    )
-    q = q.select(
-        "grp",
-        F.explode(F.sequence(F.lit(0), F.col("p_blocks") - 1)).alias("p_block"),
-        F.pmod(F.xxhash64("query_index"), F.col("q_blocks")).cast("int").alias("q_block"),
-        "query_index",
-        "qvec",
-    )
-
-    def meet(point_block: pa.Table, query_block: pa.Table) -> pa.Table:
-        queries_here = _matrix(query_block.column("qvec"), dim) if query_block.num_rows else np.zeros((0, dim))
-        best = _TopK(queries_here, k)
-        if point_block.num_rows and query_block.num_rows:
-            step = max(1, SCORE_CELLS // query_block.num_rows)
-            for start in range(0, point_block.num_rows, step):
-                block = point_block.slice(start, step)
-                best.add(block)
-        return best.hits(query_block.column("query_index").to_numpy())
-
-    keys = ["grp", "p_block", "q_block"]
-    found = p.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(meet, HIT_SCHEMA)
+        asked = queries.select(F.col(group).alias("grp")).distinct()
+        sizes = materialize(points.groupBy(F.col(group).alias("grp")).agg(blocks).join(asked, "grp", "left_semi"), "sizes")
+        total = sizes.agg(F.coalesce(F.sum("blocks"), F.lit(0)).alias("blocks")).first()["blocks"]
+        sizes = local_if_small(sizes)
+        p, q = (df.withColumn("grp", F.col(group)).join(sizes, "grp") for df in (points, queries))
+
+    place = F.pmod(F.xxhash64(*ID_COLUMNS), F.col("blocks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    met = p.select("grp", place.alias("block"), F.lit(0).alias("role"), *ID_COLUMNS, "vector").unionByName(
+        q.select("grp", every.alias("block"), F.lit(1).alias("role"), "query_index", "qvec"), allowMissingColumns=True)
+    # A number of partitions of its own: blocks are small in bytes for the work they mean, so they are not put together.
+    parts = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(total, MOST_PARTITIONS))
+    dealt = met.repartition(parts, "grp", "block").sortWithinPartitions("grp", "block", "role")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        here: list | None = None
+        for batch in batches:
+            for (*block, role), rows in _stretches(batch, ("grp", "block", "role")):
+                if block != here:
+                    held, here = [], block
+                if role == 0:
+                    held.append(rows)
+                    continue
+                best = _TopK(_matrix(rows.column("qvec"), dim), k)
+                step = max(1, SCORE_CELLS // rows.num_rows)
+                for some in held:
+                    for start in range(0, some.num_rows, step):
+                        best.add(some.slice(start, step))
+                yield from best.hits(rows.column("query_index").to_numpy(zero_copy_only=False)).to_batches()
+
+    found = dealt.mapInArrow(meet, HIT_SCHEMA)
     return rank_hits(found, k).select("query_index", "rank", *ID_COLUMNS, "score")
 
 

@@ -15,7 +15,7 @@ from shardloom.plans.collections import CollectionStore, EnsureResult, RejectedL
 from shardloom.session import local_table, materialize
 from shardloom.sinks import writers
 from shardloom.sources.backup import read_manifest, scan_backup
-from shardloom.sources.csv import row_ordinal, scan_csv
+from shardloom.sources.csv import scan_csv
 from shardloom.sources.registry import read_registry
 
 # A step that adds a vector column, such as embed_by_hash or embed_text with its arguments bound.
@@ -74,7 +74,7 @@ def ingest_csv(store: CollectionStore, collection: str, tenant: str | None, path
     """Load the rows of one tenant, or of all (None), with their stored vectors; rows without a usable vector are dropped."""
     if tenant is not None:
         _require_tenant(store, collection, tenant)
-    rows = row_ordinal(scan_csv(store.spark, path, [tenant_field, "embedding"], multi_line))
+    rows = scan_csv(store.spark, path, [tenant_field, "embedding"], multi_line, ordinal="row_pos")
     other = _tenant_reason(rows, tenant, tenant_field, trim=False)
     seen, embedded = Observation(), Observation()
     rows = rows.observe(seen, F.count(F.lit(1)).alias("read"), F.count_if(other).alias("other_tenant")).where(~other)
@@ -96,7 +96,7 @@ def embed_upsert_csv(store: CollectionStore, collection: str, tenant: str | None
     """
     if tenant is not None:
         _require_tenant(store, collection, tenant)
-    rows = row_ordinal(scan_csv(store.spark, path, [tenant_field], multi_line)).drop("embedding")
+    rows = scan_csv(store.spark, path, [tenant_field], multi_line, ordinal="row_pos").drop("embedding")
     other, blank = _tenant_reason(rows, tenant, tenant_field, trim=True), is_blank(F.col(text_field))
     seen, embedded = Observation(), Observation()
     counts = F.count_if(other).alias("other_tenant"), F.count_if(~other & blank).alias("blank_text")

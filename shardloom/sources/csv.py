@@ -2,13 +2,49 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from collections import Counter
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from shardloom.operators.prepare import has_no_header
 from shardloom.session import LOCAL_ROWS, local_table
+from shardloom.sources import files
+
+# Bytes of each file that are looked at for its header.
+HEAD_BYTES = 64 << 10
+
+
+def _header(spark: SparkSession, uri: str, head: bytes, size: int) -> tuple[str, ...]:
+    """The first record of a file that begins with ``head``; more is read if the record does not end in it."""
+    while True:
+        lines = io.StringIO(head.decode("utf-8", "ignore").removeprefix("\ufeff").lstrip("\r\n"), newline="")
+        header = tuple(next(csv.reader(lines), ()))
+        if len(head) < size or lines.read(1):
+            return header
+        size *= 8
+        head = files.heads(spark, [uri], size)[0]
+
+
+def _columns(header: tuple[str, ...]) -> StructType:
+    """Text columns of a header, named as Spark names them: blank ones by their place, repeated ones with it."""
+    times = Counter(name.lower() for name in header)
+    names = [f"_c{i}" if not name else f"{name}{i}" if times[name.lower()] > 1 else name for i, name in enumerate(header)]
+    return StructType([StructField(name, StringType()) for name in names])
+
+
+def _by_header(spark: SparkSession, path: str | list[str]) -> dict[tuple[str, ...], list[str]]:
+    """The files under ``path`` by their header, that of the first file first; files of no bytes have none."""
+    listed = files.listed(spark, path)
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for uri, head in zip(listed, files.heads(spark, listed, HEAD_BYTES)):
+        if header := _header(spark, uri, head, HEAD_BYTES):
+            groups.setdefault(header, []).append(uri)
+    return groups
 
 
 def scan_csv(
@@ -17,13 +53,15 @@ def scan_csv(
     required: Sequence[str] = (),
     multi_line: bool = True,
     schema: str | None = None,
+    ordinal: str | None = None,
 ) -> DataFrame:
     """Read wide CSV exports with every column as text.
 
     Quoted line feeds need ``multi_line``, which makes one file one task: export many files, or turn
-    it off where no cell holds a line feed so that large files split. A file whose header differs from the first one's
-    fails the read, so nothing is taken by position from other columns. Spark cannot compare headers with blank names;
-    files that have them must agree in their columns.
+    it off where no cell holds a line feed so that large files split. Files may differ in their columns and in the order
+    of them: the first bytes of each file tell its header, every distinct header is one scan, and the scans are united by
+    name, with null where a file lacks a column. ``ordinal`` names a column with the position of each row in all files
+    (see :func:`row_ordinal`). With a ``schema`` every header must be its columns.
     """
     reader = (
         spark.read.option("header", True)
@@ -33,14 +71,19 @@ def scan_csv(
         .option("encoding", "UTF-8")
         .option("inferSchema", False)
     )
-    reader = reader.schema(schema) if schema else reader
-    df = reader.csv(path)
-    if not any(has_no_header(name) for name in df.columns):
-        df = reader.option("enforceSchema", False).csv(path)
+    if schema:
+        scans = [reader.schema(schema).option("enforceSchema", False).csv(path)]
+    elif len(groups := _by_header(spark, path)) < 2:
+        scans = [reader.csv(path)]
+    else:
+        # Folders that are columns are still found below the folder that was asked for.
+        reader = reader.option("basePath", path) if isinstance(path, str) and files.is_folder(spark, path) else reader
+        scans = [reader.schema(_columns(header)).csv(files.scan_paths(spark, group)) for header, group in groups.items()]
+    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [place_rows(s) if ordinal else s for s in scans])
     missing = [name for name in required if name not in df.columns]
     if missing:
         raise ValueError(f"CSV missing column(s) {missing}; columns: {df.columns[:30]}")
-    return df
+    return number_places(df, ordinal) if ordinal else df
 
 
 def row_ordinal(df: DataFrame, name: str = "row_pos", local_rows: int = LOCAL_ROWS) -> DataFrame:
@@ -49,12 +92,21 @@ def row_ordinal(df: DataFrame, name: str = "row_pos", local_rows: int = LOCAL_RO
     ``df`` is a scan. Rows are numbered inside their file split while scanning; the only other data are
     one count for each split, so no row moves to another task to be numbered.
     """
-    placed = df.select(
+    return number_places(place_rows(df), name, local_rows)
+
+
+def place_rows(scan: DataFrame) -> DataFrame:
+    """A scan with where each row is: its file, its split and a number that counts on inside the split."""
+    return scan.select(
         "*",
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_mid"),
     )
+
+
+def number_places(placed: DataFrame, name: str, local_rows: int = LOCAL_ROWS) -> DataFrame:
+    """:func:`place_rows` of one scan, or of several with files of their own, as the position in all files."""
     splits = placed.groupBy("_file", "_start").agg(F.min("_mid").alias("_first"), F.count("*").alias("_rows"))
     return (
         placed.join(_shifts(splits, local_rows), ["_file", "_start"])
@@ -82,7 +134,7 @@ def _shifts(splits: DataFrame, local_rows: int) -> DataFrame:
     for row in splits.groupBy("_file").agg(F.sum("_rows").alias("_rows")).orderBy("_file").toLocalIterator():
         offsets.append((row["_file"], seen))
         seen += row["_rows"]
-    files = local_table(spark, offsets, "_file string, _offset bigint")
-    return placed.join(files, "_file").select(
+    known_files = local_table(spark, offsets, "_file string, _offset bigint")
+    return placed.join(known_files, "_file").select(
         "_file", "_start", (F.col("_offset") + F.col("_before") - F.col("_first")).alias("_shift")
     )

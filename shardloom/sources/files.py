@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import SparkSession
 
+# Files whose first bytes are read at a time.
+HEADS_AT_ONCE = 16
+
 
 def _locate(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -70,3 +76,37 @@ def read_text(spark: SparkSession, path: str) -> str:
         return bytes(stream.readAllBytes()).decode("utf-8")
     finally:
         stream.close()
+
+
+def listed(spark: SparkSession, path: str | list[str]) -> list[str]:
+    """The files that Spark reads under ``path``, by name; the listing is the one that planning a scan holds as well."""
+    return sorted(spark.read.text(path).inputFiles())
+
+
+def scan_paths(spark: SparkSession, uris: Sequence[str]) -> list[str]:
+    """Names of :func:`listed` as a reader takes them, characters of patterns escaped."""
+    jvm = spark.sparkContext._jvm
+    return [re.sub(r"([\\{}\[\]*?])", r"\\\1", jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri)).toString()) for uri in uris]
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, location = _locate(spark, path)
+    return bool(fs.exists(location) and fs.getFileStatus(location).isDirectory())
+
+
+def heads(spark: SparkSession, uris: Sequence[str], size: int) -> list[bytes]:
+    """The first ``size`` bytes of each file, unpacked as Spark unpacks them."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+
+    def first(uri: str) -> bytes:
+        location = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri))
+        stream = location.getFileSystem(conf).open(location)
+        try:
+            codec = codecs.getCodec(location)
+            return bytes((codec.createInputStream(stream) if codec else stream).readNBytes(size))
+        finally:
+            stream.close()
+
+    with ThreadPoolExecutor(HEADS_AT_ONCE) as pool:
+        return list(pool.map(first, uris))

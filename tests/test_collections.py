@@ -1,3 +1,4 @@
+import gzip
 import json
 
 import pytest
@@ -8,6 +9,7 @@ from shardloom.plans import jobs
 from shardloom.plans.collections import CollectionStore
 from shardloom.session import scratch_path
 from shardloom.sinks import writers
+from shardloom.sources import csv as csv_source
 from shardloom.sources import files
 from shardloom.sources.backup import manifest_path, read_manifest
 from shardloom.sources.csv import row_ordinal, scan_csv
@@ -369,11 +371,57 @@ def test_malformed_lines_stop_an_import_of_one_tenant(spark, store):
     assert store.points("c").count() == 0
 
 
-def test_files_with_other_headers_are_not_mixed_up(spark, tmp_path):
-    (tmp_path / "a.csv").write_text("uid,org_id,text\n1,A,hello\n")
-    (tmp_path / "b.csv").write_text("text,uid,org_id\nworld,2,A\n")
-    with pytest.raises(Exception, match="(?i)header"):
-        scan_csv(spark, str(tmp_path)).collect()
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_files_with_other_headers_are_united_by_name(spark, tmp_path, multi_line):
+    (tmp_path / "a [1].csv").write_text('Unnamed: 0,uid,org_id,text\n0,1,A,hello\n1,2,A,"a, b"\n')
+    (tmp_path / "b.csv").write_text('\ufeffUnnamed: 0,text,uid,org_id,"more"\n0,world,3,B,x\n')
+    (tmp_path / "c.csv").write_text(",uid,org_id,text,dup,Dup\n0,4,C,last,d,D\n")
+    (tmp_path / "d.csv").write_text("")
+    with gzip.open(tmp_path / "e.csv.gz", "wt") as out:
+        out.write("uid,text,org_id\n5,packed,D\n")
+    found = scan_csv(spark, str(tmp_path), ["uid", "org_id", "text"], multi_line, ordinal="at").orderBy("at").collect()
+    assert [(r["at"], r["uid"], r["org_id"], r["text"], r["more"]) for r in found] == [
+        (0, "1", "A", "hello", None), (1, "2", "A", "a, b", None), (2, "3", "B", "world", "x"), (3, "4", "C", "last", None),
+        (4, "5", "D", "packed", None)]
+    assert [found[3][c] for c in ("_c0", "dup4", "Dup5")] == ["0", "d", "D"]
+
+
+def test_a_header_longer_than_the_first_look(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(csv_source, "HEAD_BYTES", 16)
+    names = [f"column_{i}" for i in range(40)]
+    for name, order in (("a", names), ("b", names[::-1])):
+        (tmp_path / f"{name}.csv").write_text(",".join(order) + "\n" + ",".join(n.removeprefix("column_") for n in order) + "\n")
+    rows = scan_csv(spark, str(tmp_path)).collect()
+    assert len(rows) == 2 and all(r[f"column_{i}"] == str(i) for r in rows for i in range(40))
+
+
+def test_partition_folders_stay_columns_when_headers_differ(spark, tmp_path):
+    for day, text in (("1", "uid,v\n1,x\n"), ("2", "v,uid\ny,2\n")):
+        (tmp_path / f"day={day}").mkdir()
+        (tmp_path / f"day={day}" / "p.csv").write_text(text)
+    found = scan_csv(spark, str(tmp_path)).select("uid", "v", F.col("day").cast("string"))
+    assert sorted(map(tuple, found.collect())) == [("1", "x", "1"), ("2", "y", "2")]
+
+
+def test_files_with_other_headers_in_one_load(spark, store, tmp_path):
+    (tmp_path / "a.csv").write_text('uid,org_id,embedding\n1,A,"[1.0]"\n')
+    (tmp_path / "b.csv").write_text('embedding,note,uid,org_id\n"[2.0]",n,1,A\n"[3.0]",n,2,A\n')
+    store.ensure("c", ["A"], vector_size=1)
+    assert jobs.ingest_csv(store, "c", "A", str(tmp_path)) == 3
+    # The row of the later file wins.
+    assert content(store.points("c")) == [("A", "1", 2.0), ("A", "2", 3.0)]
+
+
+def test_query_files_of_several_layouts_are_numbered_together(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text("\n[0]\n{\"vector\": [1]}\n")
+    (tmp_path / "b.json").write_text('{"vectors": [[2], {"vector": [3]}]}')
+    (tmp_path / "c.json").write_text("[\n [4],\n [5]\n]")
+    (tmp_path / "d.jsonl").write_text("[" + "6, " * 40_000 + "6]\n[7]\n")
+    (tmp_path / "e.json").write_text(" \n")
+    (tmp_path / "f.jsonl").write_text("[8, 8]\n")
+    found = scan_query_vectors(spark, str(tmp_path)).orderBy("query_index").collect()
+    assert [(r["query_index"], r["qvec"][0]) for r in found] == [(i, float(i)) for i in range(9)]
+    assert len(found[6]["qvec"]) == 40_001 and found[8]["qvec"] == [8.0, 8.0]
 
 
 def test_snapshots_of_another_vector_size_are_refused(spark, store):

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import uuid
 
@@ -148,6 +149,18 @@ def test_hash_embed_is_a_unit_vector_and_ignores_case_and_spacing(rows):
     assert math.isclose(sum(x * x for x in a), 1.0)
 
 
+@pytest.mark.parametrize("dim", [1, 3, 32, 1000])
+def test_hash_embed_equals_a_count_by_bucket(rows, dim):
+    texts = ["a", "One two one THREE", " ".join(f"w{i % 7} v{i}" for i in range(300))]
+    for text, found in rows("t string", [(t,) for t in texts]).select("t", V.hash_embed(F.col("t"), dim).alias("v")).collect():
+        want = [0.0] * dim
+        for word in text.lower().split():
+            digest = hashlib.md5(word.encode()).hexdigest()
+            want[int(digest[:8], 16) % dim] += 1 if digest[8] < "8" else -1
+        norm = math.sqrt(sum(x * x for x in want))
+        assert found == (pytest.approx([x / norm for x in want]) if norm else None)
+
+
 def test_words_are_parted_by_unicode_white_space(rows):
     df = rows("t string", [("a\u00a0b\u3000c",), (" \u2003 ",)])
     assert [r[0] for r in df.select(X.token_count(F.col("t"))).collect()] == [3, 0]

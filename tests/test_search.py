@@ -67,6 +67,13 @@ def test_blocks_of_any_size_give_the_same_hits(frames, data):
         assert found(search.knn_blocked(*frames, 7, block_bytes=block_bytes)) == brute_force(*data, 7)
 
 
+def test_blocks_move_each_point_once(frames):
+    plan = search.knn_blocked(*frames, 7, block_bytes=8 * 8 * 20)._jdf.queryExecution().executedPlan().toString()
+    copied = [line for line in plan.splitlines() if "Generate explode" in line]
+    assert "FlatMapCoGroups" not in plan and "Join" not in plan
+    assert len(copied) == 1 and "qvec" in copied[0] and "point_id" not in copied[0], plan
+
+
 def test_each_query_searches_its_own_tenant(frames, data):
     points, queries = frames
     own = queries.withColumn("tenant", F.when(F.col("query_index") % 2 == 0, "hot").otherwise("t2"))
