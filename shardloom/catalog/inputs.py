@@ -22,10 +22,10 @@ def as_doubles(vector: Column, scale: Column | int = 1) -> Column:
 
 
 def weighted_sum(vector: Column) -> Column:
-    """One number that changes with any element or position of a vector."""
-    return F.round(
+    """One number that changes with any element or position of a vector; 0 without a vector, as in SQL."""
+    return F.coalesce(F.round(
         F.aggregate(F.transform(vector, lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x), 5
-    )
+    ), F.lit(0.0))
 
 
 def vector_points(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,14 +19,15 @@ def load_hashing_model():
         digest = hashlib.md5(word.encode()).hexdigest()
         return int(digest[:8], 16) % HASH_DIM, 1 if digest[8] < "8" else -1
 
-    def model(texts: Sequence[str]) -> list[list[float]]:
+    def model(texts: Sequence[str]) -> list[list[float] | None]:
         out = []
         for text in texts:
             vector = np.zeros(HASH_DIM)
             for bucket, sign in map(code, text.lower().split()):
                 vector[bucket] += sign
             norm = np.linalg.norm(vector)
-            out.append((vector / norm if norm else vector).tolist())
+            # Words that cancel each other out leave no direction.
+            out.append((vector / norm).tolist() if norm else None)
         return out
 
     return model

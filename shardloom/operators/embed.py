@@ -13,14 +13,14 @@ from shardloom.functions.rows import only_if
 from shardloom.functions.text import embeddable_text, prefix_text
 from shardloom.functions.vectors import hash_embed
 
-Embedder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
+Embedder = Callable[[Sequence[str]], Sequence[Sequence[float] | None]]
 
 
 def embed_text(df: DataFrame, load_model: Callable[[], Embedder], text: str = "text", vector: str = "embedding",
                input_type: str = "passage", batch_size: int = 100, spread: int | None = None, any_text: bool = False) -> DataFrame:
     """Add the vector of each text with any batch model.
 
-    ``load_model`` runs once in each task and returns a function from a list of texts to their vectors.
+    ``load_model`` runs once in each task and returns a function from a list of texts to their vectors, None where a text has none.
     Unusable text gets a null vector; with ``any_text`` only blank text is. ``spread`` repartitions first, so that slow model calls are
     shared evenly after one document became many chunks.
     """
@@ -36,7 +36,7 @@ def embed_text(df: DataFrame, load_model: Callable[[], Embedder], text: str = "t
             for start in range(0, len(rows), batch_size):
                 part = rows[start:start + batch_size]
                 for row, values in zip(part, model(texts.iloc[part].tolist()), strict=True):
-                    out.iat[row] = np.asarray(values, dtype=np.float32)
+                    out.iat[row] = None if values is None else np.asarray(values, dtype=np.float32)
             yield out
 
     spread_out = df.repartition(spread) if spread else df
