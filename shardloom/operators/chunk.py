@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,12 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shardloom.functions.rows import let
-from shardloom.functions.text import WHITESPACE, clean_markdown, trim_ws, words
+from shardloom.functions.text import clean_markdown, trim_ws, words
 
 # Markdown separators, tried in this order.
 MARKDOWN_SEPARATORS = ("\n# ", "\n## ", "\n### ", "\n#### ", "\n##### ", "\n###### ", "\n\n", "\n", " ")
 
-# Pieces of a text whose windows are gathered together.
+# A text of several times so many pieces is a long one; tests split such texts.
 PIECES_PER_BLOCK = 256
 
 
@@ -37,107 +38,72 @@ def word_windows(text: Column, size: int, overlap: int, min_words: int) -> Colum
     return let(words(text), windows)
 
 
-def _cut_before(text: Column, separator: Column) -> Column:
-    """Pieces that each begin with the separator, except a first piece before any."""
-    parts = F.split(text, F.concat(F.lit(r"\Q"), separator, F.lit(r"\E")))
-    pieces = F.transform(parts, lambda part, i: F.when(i == 0, part).otherwise(F.concat(separator, part)))
-    return F.filter(pieces, lambda piece: piece != "")
-
-
-def _spans(before: Column, size: int, overlap: int) -> Column:
-    """ARRAY<ARRAY<STRUCT<first, end, long>>> of greedy windows over pieces, from the word counts before each piece.
-
-    A window takes pieces while they fit. The next one begins at the first piece from which at most ``overlap`` words,
-    and no more than leave room for the piece that did not fit, are repeated. A piece of ``size`` words or more is a
-    span of its own. Only numbers are carried along, and spans are gathered by blocks of pieces, so that long texts cost
-    little more than their length.
-    """
-    none = F.array().cast("array<struct<first:int,end:int,long:boolean>>")
-
-    def at(i: Column) -> Column:
-        return F.get(before, i)
-
-    def span(first: Column, end: Column, long: bool) -> Column:
-        return F.array(F.struct(first.alias("first"), end.alias("end"), F.lit(long).alias("long")))
-
-    def state(first: Column, spans: Column) -> Column:
-        return F.struct(first.cast("int").alias("first"), spans.alias("spans"))
-
-    def take(held: Column, j: Column) -> Column:
-        first = held["first"]
-        open_before = F.when(j > first, span(first, j, False)).otherwise(none)
-        least = F.greatest(at(j) - overlap, at(j + 1) - size)
-        kept = F.size(F.filter(F.slice(before, first + 1, j - first + 1), lambda words_before: words_before < least))
-        return (
-            F.when(at(j + 1) - at(j) >= size, state(j + 1, F.concat(held["spans"], open_before, span(j, j + 1, True))))
-            .when((j > first) & (at(j + 1) - at(first) > size), state(first + kept, F.concat(held["spans"], span(first, j, False))))
-            .otherwise(held)
-        )
-
-    def block(held: Column, begin: Column) -> Column:
-        pieces = F.sequence(begin, F.least(begin + PIECES_PER_BLOCK, F.size(before) - 1) - 1)
-        return let(F.aggregate(pieces, state(held["first"], none), take), lambda done: F.struct(
-            done["first"].alias("first"), F.concat(held["spans"], F.array(done["spans"])).alias("spans")))
-
-    count = F.size(before) - 1
-    begins = F.when(count > 0, F.sequence(F.lit(0), count - 1, F.lit(PIECES_PER_BLOCK))).otherwise(F.array().cast("array<int>"))
-    start = F.struct(F.lit(0).alias("first"), F.array().cast("array<array<struct<first:int,end:int,long:boolean>>>").alias("spans"))
-    last = F.aggregate(begins, start, block, lambda held: F.concat(
-        held["spans"], F.array(F.when(held["first"] < count, span(held["first"], count, False)).otherwise(none))))
-    return F.flatten(last)
-
-
-def _split_once(text: Column, separator: Column, size: int, overlap: int) -> Column:
-    """ARRAY<STRUCT<text, words, open>>: windows over the pieces of a text, and long pieces, still open."""
-
-    def windows(pieces: Column, before: Column) -> Column:
-        return F.transform(_spans(before, size, overlap), lambda s: F.struct(
-            F.array_join(F.slice(pieces, s["first"] + 1, s["end"] - s["first"]), "").alias("text"),
-            (F.get(before, s["end"]) - F.get(before, s["first"])).alias("words"), s["long"].alias("open")))
-
-    def counted(pieces: Column) -> Column:
-        counts = F.transform(pieces, lambda piece: F.regexp_count(piece, F.lit(f"[^{WHITESPACE}]+")))
-        # Running sums by blocks as well, so that no long array is copied for each piece.
-        return let(counts, lambda c: let(_running_sums(c), lambda before: windows(pieces, before)))
-
-    return let(_cut_before(text, separator), counted)
-
+def count_words(text: str) -> int:
+    return len(text.split())
 
-def _split_open(parts: Column, separator: Column, size: int, overlap: int) -> Column:
-    """The parts with every open one split at the separator."""
-    return F.flatten(F.transform(parts, lambda part: F.when(
-        part["open"], _split_once(part["text"], separator, size, overlap)).otherwise(F.array(part))))
 
+def _cut(text: str, separator: str) -> list[str]:
+    """Pieces that each begin with the separator, except a first piece before any."""
+    head, *rest = text.split(separator)
+    return [piece for piece in [head, *(separator + part for part in rest)] if piece]
 
-def _running_sums(counts: Column) -> Column:
-    """0, then the sum of the first 1, 2, ... counts."""
-    empty = F.array().cast("array<int>")
 
-    def add(held: Column, x: Column) -> Column:
-        return F.struct((held["sum"] + x).alias("sum"), F.concat(held["sums"], F.array(held["sum"] + x)).alias("sums"))
+def _pack(pieces: list[tuple[str, int]], size: int, overlap: int) -> Iterator[str]:
+    """Greedy windows over the counted pieces; each keeps a tail of the last one no longer than the overlap."""
+    window: deque[tuple[str, int]] = deque()
+    total = 0
+    for piece in pieces:
+        length = piece[1]
+        if window and total + length > size:
+            yield "".join([p for p, _ in window])
+            while window and (total > overlap or total + length > size):
+                total -= window.popleft()[1]
+        window.append(piece)
+        total += length
+    if window:
+        yield "".join([p for p, _ in window])
 
-    def block(held: Column, begin: Column) -> Column:
-        part = F.aggregate(F.slice(counts, begin + 1, PIECES_PER_BLOCK), F.struct(held["sum"].alias("sum"), empty.alias("sums")), add)
-        return let(part, lambda done: F.struct(done["sum"].alias("sum"), F.concat(held["sums"], F.array(done["sums"])).alias("sums")))
 
-    begins = F.when(F.size(counts) > 0, F.sequence(F.lit(0), F.size(counts) - 1, F.lit(PIECES_PER_BLOCK))).otherwise(empty)
-    start = F.struct(F.lit(0).alias("sum"), F.array(F.array(F.lit(0))).alias("sums"))
-    return F.flatten(F.aggregate(begins, start, block, lambda held: held["sums"]))
+def split_recursively(text: str, size: int, overlap: int, count: Callable[[str], int],
+                      separators: tuple[str, ...] = MARKDOWN_SEPARATORS) -> list[str]:
+    """Split at the first separator present, pack the pieces, and split again what is still too long."""
+    present = [i for i, s in enumerate(separators) if s in text]
+    separator = separators[present[0]] if present else separators[-1]
+    finer = separators[present[0] + 1:] if present else ()
+    out: list[str] = []
+    short: list[tuple[str, int]] = []
+    for piece in _cut(text, separator):
+        length = count(piece)
+        if length < size:
+            short.append((piece, length))
+            continue
+        out.extend(_pack(short, size, overlap))
+        short = []
+        out.extend(split_recursively(piece, size, overlap, count, finer) if finer else [piece])
+    out.extend(_pack(short, size, overlap))
+    return [w for w in map(str.strip, out) if w]
 
 
 def markdown_windows(text: Column, size: int, overlap: int, min_words: int,
-                     separators: tuple[str, ...] = MARKDOWN_SEPARATORS) -> Column:
+                     separators: tuple[str, ...] = MARKDOWN_SEPARATORS,
+                     counter: Callable[[], Callable[[str], int]] | None = None) -> Column:
     """ARRAY<STRING> of windows that open at headings where they can, else at blank lines, line feeds or spaces.
 
     The text is cut before each first-level heading and its pieces are packed into windows; what alone is too long goes to
     the next separator, down to single words. Neighbouring windows share whole pieces of up to ``overlap`` words. The minimum
-    applies to finished windows. Every step is one array expression inside the row of the text.
+    applies to finished windows. ``counter`` builds another measure than words, once per worker task.
     """
     _check(size, overlap)
-    whole = F.array(F.struct(text.alias("text"), F.lit(0).alias("words"), F.lit(True).alias("open")))
-    parts = F.aggregate(F.array(*map(F.lit, separators)), whole, lambda parts, separator: _split_open(parts, separator, size, overlap))
-    finished = F.transform(F.filter(parts, lambda part: part["words"] >= max(min_words, 1)), lambda part: trim_ws(part["text"]))
-    return F.when(text.isNull(), F.array().cast("array<string>")).otherwise(finished)
+
+    @F.pandas_udf("array<string>")
+    def windows(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        count = counter() if counter else count_words
+        for texts in batches:
+            yield texts.map(
+                lambda t: [w for w in split_recursively(t, size, overlap, count, separators) if count(w) >= min_words] if t else []
+            )
+
+    return windows(text)
 
 
 def _explode(df: DataFrame, windows: Column, text: str, uid: str) -> DataFrame:
@@ -174,68 +140,14 @@ def chunk_markdown(df: DataFrame, text: str = "text", uid: str = "uid", size: in
     return _explode(df, markdown_windows(source, size, overlap, min_words), text, uid)
 
 
-def count_words(text: str) -> int:
-    return len(text.split())
-
-
-def _cut(text: str, separator: str) -> list[str]:
-    """Pieces that each begin with the separator, except a first piece before any."""
-    head, *rest = text.split(separator)
-    return [piece for piece in [head, *(separator + part for part in rest)] if piece]
-
-
-def _pack(pieces: list[str], size: int, overlap: int, count: Callable[[str], int]) -> Iterator[str]:
-    """Greedy windows over the pieces; each keeps a tail of the last one no longer than the overlap."""
-    window: list[tuple[str, int]] = []
-    total = 0
-    for piece in pieces:
-        length = count(piece)
-        if window and total + length > size:
-            yield "".join(p for p, _ in window)
-            while window and (total > overlap or total + length > size):
-                total -= window.pop(0)[1]
-        window.append((piece, length))
-        total += length
-    if window:
-        yield "".join(p for p, _ in window)
-
-
-def split_recursively(text: str, size: int, overlap: int, count: Callable[[str], int],
-                      separators: tuple[str, ...] = MARKDOWN_SEPARATORS) -> list[str]:
-    """Split at the first separator present, pack the pieces, and split again what is still too long."""
-    present = [i for i, s in enumerate(separators) if s in text]
-    separator = separators[present[0]] if present else separators[-1]
-    finer = separators[present[0] + 1:] if present else ()
-    out: list[str] = []
-    short: list[str] = []
-    for piece in _cut(text, separator):
-        if count(piece) < size:
-            short.append(piece)
-            continue
-        out.extend(_pack(short, size, overlap, count))
-        short = []
-        out.extend(split_recursively(piece, size, overlap, count, finer) if finer else [piece])
-    out.extend(_pack(short, size, overlap, count))
-    return [w.strip() for w in out if w.strip()]
-
-
 def chunk_recursive(df: DataFrame, text: str = "text", uid: str = "uid", size: int = 400, overlap: int = 80,
                     min_tokens: int = 100, counter: Callable[[], Callable[[str], int]] | None = None) -> DataFrame:
-    """Recursive markdown splitting measured by a token counter, or by words, which needs no Python.
+    """Recursive markdown splitting measured by a token counter, or by words.
 
     ``counter`` builds the counting function, once per worker task (a byte-pair tokenizer, for example). Its counts of
-    two pieces need not add up, so the windows are those of :func:`split_recursively`.
+    two pieces need not add up.
     """
     if counter is None:
         return chunk_markdown(df, text, uid, size, overlap, min_tokens)
-    _check(size, overlap)
-
-    @F.pandas_udf("array<string>")
-    def windows(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        count = counter()
-        for texts in batches:
-            yield texts.map(
-                lambda t: [w for w in split_recursively(t, size, overlap, count) if count(w) >= min_tokens] if t else []
-            )
-
-    return _explode(df, windows(clean_markdown(F.col(text))), text, uid)
+    windows = markdown_windows(clean_markdown(F.col(text)), size, overlap, min_tokens, counter=counter)
+    return _explode(df, windows, text, uid)
