@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +14,9 @@ from shardloom.session import scratch_path, spread_if_narrow
 
 HASH_DIM = 32
 
+# Bytes of text in one file of a written table, about: more text makes more files, not larger ones.
+FILE_BYTES = 32 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -95,6 +100,17 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def text_files(records: DataFrame, least: int = 4) -> int:
+    """Number of files for these records, by the bytes of their texts."""
+    total = records.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(least, math.ceil(total / FILE_BYTES))
+
+
+def in_files(records: DataFrame) -> DataFrame:
+    """Records as files of bounded size whose name order is the order of the document numbers."""
+    return records.repartitionByRange(text_files(records), "doc_id").sortWithinPartitions("doc_id")
+
+
 def marked_up(text: Column) -> Column:
     """The test documents hold no markdown: make each line a heading and put images around the text."""
     return F.concat(

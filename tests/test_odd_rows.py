@@ -8,6 +8,9 @@ import pytest
 
 import __spark_entry__ as contract
 from compare import compare
+from shardloom.catalog import inputs, queries
+from shardloom.sinks import writers
+from shardloom.sources import files
 
 
 def opposite_words(dim=32):
@@ -43,3 +46,24 @@ def test_words_that_cancel_out_give_a_row_without_vector(spark, documents, name)
     sql = contract.oracle_sql()[name]
     assert len(con.sql(f"SELECT * FROM ({sql}) WHERE dim IS NULL").fetchall()) == 1
     assert compare(spark, con, contract.queries()[name], sql, sf_dir) is None
+
+
+@pytest.mark.parametrize("name", ["scan_csv", "row_ordinal", "scan_csv_headers", "embed_upsert", "job_load_report"])
+def test_more_text_makes_more_files(spark, documents, monkeypatch, name):
+    monkeypatch.setattr(inputs, "FILE_BYTES", 2_000)
+    sf_dir, con = documents([f'line {i}\n"quoted", {"word " * 20}' for i in range(400)])  # about 46,000 bytes
+    written = []
+    write = writers.write_csv
+    monkeypatch.setattr(writers, "write_csv", lambda df, path: (written.append(path), write(df, path)))
+    assert compare(spark, con, contract.queries()[name], contract.oracle_sql()[name], sf_dir) is None
+    assert len(files.listed(spark, written)) >= 20
+
+
+def test_arrivals_are_files_of_bounded_size(spark, documents, monkeypatch):
+    monkeypatch.setattr(inputs, "FILE_BYTES", 2_000)
+    sf_dir, con = documents([f"text {i} {'word ' * 20}" for i in range(200)])
+    roots = []
+    named = queries.scratch_path
+    monkeypatch.setattr(queries, "scratch_path", lambda spark, name: (roots.append(named(spark, name)), roots[-1])[1])
+    assert compare(spark, con, contract.queries()["stream_embed"], contract.oracle_sql()["stream_embed"], sf_dir) is None
+    assert len(spark.read.parquet(roots[0]).inputFiles()) >= 10
