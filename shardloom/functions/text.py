@@ -15,7 +15,11 @@ WHITESPACE = (
 )
 
 # The same characters between words; regular expressions alone know fewer.
-WHITESPACE_RUN = f"[{WHITESPACE}]+"
+# Those beyond Latin-1 are looked for inside their range only, so that most characters take one step, not one for each member.
+WHITESPACE_RUN = (
+    "[\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0"
+    "[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]]+"
+)
 
 # Fixed value: the URL namespace of RFC 4122, as hex digits.
 UUID_URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"

@@ -183,3 +183,13 @@ def test_no_word_is_lost_without_a_minimum(rows, lines, size):
     text = "\n".join(lines)
     out = chunk.chunk_markdown(rows("uid string, text string", [("d", text)]), size=size, overlap=0, min_words=0).orderBy("chunk_index").collect()
     assert " ".join(r["text"] for r in out).split() == text.split()
+
+
+def test_words_end_at_every_white_space_and_nowhere_else(rows):
+    others = "\x00\x08\x0e\x1b!\x84\x86\x9f\xa1ᙿᚁ῿​‧‪‮‰⁞⁠⿿、﻿&[]-"
+    found = each(rows, lambda c: F.size(X.words(c)), [f"a{c}b" for c in X.WHITESPACE + others])
+    assert found == [2] * len(X.WHITESPACE) + [1] * len(others)
+
+
+def test_a_character_within_words_is_not_compared_with_each_white_space():
+    assert "&&" in X.WHITESPACE_RUN  # members beyond Latin-1 lie behind one test of their range
