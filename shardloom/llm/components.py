@@ -32,9 +32,9 @@ def components(links: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(sent(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(sent(low), "u").select(
-            F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
-        ).select("e.*").where("u > v").distinct()
+        # A node's own link to its smallest one is a row of ``low``; only its other neighbours are joined, and none is copied.
+        others = large.join(sent(low), "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = low.select("u", F.col("m").alias("v")).union(others).distinct()
         links = materialize(small, "links")
         last, state = state, _state(links)
         if state == last:
