@@ -13,11 +13,13 @@ left and c / u is s / (2 - s): all sketches miss with less than 1e-4 for 5 %, 0.
 ``SHORT_ELL`` k-mers in common, such as ten words of which a middle one differs, are no candidates.
 
 Texts with equal words are one node. Candidates of a bucket are compared inside one task without being listed as pairs;
-a task skips pairs that are already connected and emits only links that connect. The buckets of the first ``FIRST`` sketches
-go before the others: words are then sent only to buckets whose texts are not all connected yet. Buckets above ``BLOCK`` texts are split:
-first every block is compared in itself and with a few common texts, then all that is still apart from the largest
-component of its bucket is compared with every block. Blocks are bounded in texts and in bytes of packed words, so long
-texts make more of them. No bucket is capped.
+a task skips pairs that are already connected and emits only links that connect. Each text goes to the largest of its buckets
+first: a cluster that shares many sketches is so moved and linked once, not once for each sketch. Buckets above ``BLOCK`` texts
+are split into blocks that are compared in themselves and with a few common texts. Large buckets whose texts are still of several
+components are bridged by a few texts of each. Then words are sent to all buckets whose texts are not all connected: of a large one
+all that is still apart from its largest component is compared with every block; a component that is the largest of many buckets
+with much the same texts is moved once for all of them. Blocks are bounded in texts and in bytes of packed
+words, so long texts make more of them. No bucket is capped.
 
 Null texts are copies of nothing; texts without words are copies of equal texts only; equal rows share a class. The class
 id is the smallest doc_id of the class. An empty table gives no rows; other columns are not looked at.
@@ -28,6 +30,7 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -57,10 +60,8 @@ BLOCK_BYTES = 32 << 20
 PREPARED_BYTES = 64 << 20
 # Up to so many node numbers (8 bytes each) are sent to all tasks; more are joined by a shuffle.
 BROADCAST_NODES = 1_000_000
-# Texts of a large bucket that every block of it is compared with.
+# Texts of a large bucket that every block of it is compared with, and of each component in it that bridge it to the largest one.
 HUBS = 4
-# The buckets of so many sketches are compared first; of the others, those whose texts are then connected are settled.
-FIRST = 8
 
 _BLANKED = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _U = np.uint64
@@ -293,12 +294,6 @@ def _buckets(nodes: DataFrame) -> DataFrame:
     return members.join(_few(kept), "value")
 
 
-def _words_in(words: DataFrame, buckets: DataFrame) -> DataFrame:
-    """Sketches and words of the texts in any bucket, written: both comparisons read them and no others."""
-    nodes = materialize(buckets.select("node").distinct(), "nodes")
-    return materialize(words.join(_few(nodes), "node", "left_semi"), "words")
-
-
 class _Group:
     """Texts of one bucket or of two blocks of it; compares what is not yet connected and yields the links."""
 
@@ -309,9 +304,10 @@ class _Group:
         self.root = {r[2]: r[2] for r in self.rows}
         self.texts: dict[int, Text] = {}
         self.prepared = 0
-        # Short texts have more sketches; those that all members have reach beyond the group's own.
-        shared = min(len(r[3]) for r in self.rows)
-        self.marks = np.array([r[3][:shared] for r in self.rows], np.int64)
+        # Short texts have more sketches than others; all members of a bucket have those up to its own. What fills the rows of
+        # the others is no sketch, and not the same for two roles.
+        most = max(len(r[3]) for r in self.rows)
+        self.marks = np.array([list(r[3]) + [-1 - r[1]] * (most - len(r[3])) for r in self.rows], np.int64)
         self.least = least
 
     def _find(self, label: int) -> int:
@@ -331,15 +327,21 @@ class _Group:
         return text
 
     def links(self, j: int) -> Iterator[tuple[int, int]]:
-        """Members (role 0) are compared with hubs (role 1) first, then with each other; others (role 2) with members only."""
+        """Members (role 0) are compared with hubs (role 1) first, then with each other; others (role 2) with members only.
+
+        With ``j`` below 0 the group is of several buckets, and pairs that share a sketch are compared.
+        """
         role = np.array([r[1] for r in self.rows])
         members = np.flatnonzero(role == 0)
         for firsts, seconds in ((np.flatnonzero(role == 1), members), (np.flatnonzero(role == 2), members),
                                 (members if not (role == 2).any() else members[:0], members)):
             for x in firsts:
                 others = seconds[seconds > x] if role[x] == 0 else seconds
-                # A pair is compared in the first bucket that it shares.
-                others = others[~(self.marks[others, :j] == self.marks[x, :j]).any(axis=1)] if j else others
+                if j < 0:
+                    others = others[(self.marks[others] == self.marks[x]).any(axis=1)]
+                elif j > 0:
+                    # A pair is compared in the first bucket that it shares.
+                    others = others[~(self.marks[others, :j] == self.marks[x, :j]).any(axis=1)]
                 for y in others:
                     a, b = self._find(self.rows[x][2]), self._find(self.rows[y][2])
                     if a != b and alike(self._text(x), self._text(y), self.least):
@@ -394,50 +396,131 @@ def _parts(count: str, size: str, block: int, block_bytes: int) -> Column:
 
 def near_links(nodes: DataFrame, words: DataFrame, least: float = SIMILARITY, block: int = BLOCK,
                block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Links (u, v) between nodes that together connect every candidate pair that is alike."""
+    """Links (u, v) between nodes that together connect every candidate pair that is alike: each node with its root."""
+    roots = near_roots(nodes, words, least, block, block_bytes)
+    return roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
+
+
+def near_roots(nodes: DataFrame, words: DataFrame, least: float = SIMILARITY, block: int = BLOCK,
+               block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(node, root), written, for every node with a candidate; roots are equal where candidate pairs that are alike connect.
+
+    First each text is compared in the largest of its buckets only. Then large buckets whose texts are still apart are bridged
+    by a few texts of each component. Last, pairs in buckets whose texts are apart are compared, wherever they share one, so the
+    steps before save rows and decide nothing. Links after the first step are between components, of which few are left.
+    """
     if "bytes" not in nodes.columns:
         nodes = nodes.join(words.select("node", F.octet_length("words").alias("bytes")), "node")
     buckets = materialize(_buckets(nodes), "buckets")
-    words = _words_in(words, buckets)
-    first = _bucket_links(buckets.where(F.col("j") < FIRST).withColumn("label", F.col("node")), words, None, least, block, block_bytes)
-    labelled = materialize(_labelled(buckets.where(F.col("j") >= FIRST), first), "labelled")
-    apart = materialize(labelled.groupBy("value").agg((F.min("label") < F.max("label")).alias("apart")).where("apart").select("value"), "apart")
-    return _bucket_links(labelled.join(_few(apart), "value"), words, first, least, block, block_bytes)
-
-
-def _labelled(buckets: DataFrame, links: DataFrame) -> DataFrame:
-    """``buckets`` with the component of each node as its label."""
-    return buckets.join(components(links), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-
-
-def _bucket_links(buckets: DataFrame, words: DataFrame, known: DataFrame | None, least: float, block: int, block_bytes: int) -> DataFrame:
-    """``known`` links, which the labels follow, and those found in ``buckets`` (value, node, bytes, j, n, total, label)."""
-    placed = buckets.withColumns({"share": F.lit(0).cast("bigint"), "parts": _parts("n", "total", block, block_bytes)})
-    placed = placed.withColumn("block", _dealt(2, "parts"))
-    large = materialize(placed.where("parts > 1"), "large")
-    # Texts that every block of a large bucket is compared with.
-    picked = [F.min(F.struct(F.xxhash64("node", F.lit(10 + s)), "node", "label")).alias(f"h{s}") for s in range(HUBS)]
-    hubs = (
-        large.groupBy("j", "value", "share", "parts").agg(*picked)
-        .withColumn("hub", F.explode(F.array_distinct(F.array([F.struct(f"h{s}.node", f"h{s}.label") for s in range(HUBS)]))))
-        .select("j", "value", "share", "parts", "hub.node", "hub.label", _each("parts").alias("block"))
-    )
-    found = _linked(_placed(placed, 0).union(_placed(hubs, 1)), words, least)
-    first = materialize(found if known is None else known.union(found), "links")
-    if large.isEmpty():
-        return first
-    # What is still apart from the largest component of its bucket meets every block of the bucket.
-    labelled = materialize(_labelled(large.drop("label", "share"), first), "labelled")
-    counts = labelled.groupBy("j", "value", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("bytes").alias("b"))
-    main = counts.groupBy("j", "value").agg(
+    home = materialize(
+        buckets.groupBy("node").agg(F.max(F.struct("n", "value", "bytes", "total")).alias("b")).select("node", "b.*"), "home")
+    # All comparisons read the words of these texts and of no others.
+    words = materialize(words.join(_few(home.select("node")), "node", "left_semi"), "words")
+    placed = home.withColumns({"j": F.lit(0), "label": F.col("node"), "parts": _parts("n", "total", block, block_bytes)})
+    found = materialize(_linked(_in_blocks(placed, _hubs(placed.where("parts > 1"))), words, least), "links")
+    linked = components(found)
+    roots = materialize(home.select("node").join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "roots")
+    labelled = materialize(
+        buckets.join(linked.withColumnRenamed("root", "label"), "node", "left")
+        .withColumns({"label": F.coalesce("label", "node"), "parts": _parts("n", "total", block, block_bytes)}), "labelled")
+    left = materialize(_apart(labelled), "left")
+    if not left.where("parts > 1").isEmpty():
+        found = materialize(_linked(_bridges(left.where("parts > 1"), block, block_bytes), words, least), "links")
+        roots, more = _merged(roots, found)
+        left = materialize(left.join(more, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to"), "labelled")
+        left = materialize(_apart(left), "left")
+    found = materialize(_linked(_rest(left, block, block_bytes), words, least), "links")
+    return _merged(roots, found)[0]
+
+
+def _apart(labelled: DataFrame) -> DataFrame:
+    """Rows of the buckets whose texts are of several components."""
+    apart = labelled.groupBy("value").agg((F.min("label") < F.max("label")).alias("apart")).where("apart").select("value")
+    return labelled.join(_few(materialize(apart, "apart")), "value")
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``roots`` after more ``links`` between its nodes, written, and (label, to) for the components that these links connect."""
+    sent = F.broadcast if links.count() <= BROADCAST_NODES else lambda df: df
+    ends = links
+    for end in ("u", "v"):
+        ends = roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")).join(sent(ends), end)
+    more = _few(components(ends.select(F.col("u_root").alias("u"), F.col("v_root").alias("v"))).toDF("label", "to"))
+    merged = roots.withColumnRenamed("root", "label").join(more, "label", "left").select("node", F.coalesce("to", "label").alias("root"))
+    return materialize(merged, "roots"), more
+
+
+def _picked() -> list[Column]:
+    """Aggregates h0, h1, ...: texts of a group in the order of several hashes."""
+    return [F.min(F.struct(F.xxhash64("node", F.lit(10 + s)).alias("hash"), "node", "label")).alias(f"h{s}") for s in range(HUBS)]
+
+
+def _each_picked() -> Column:
+    return F.explode(F.array_distinct(F.array([F.struct(f"h{s}.node", f"h{s}.label") for s in range(HUBS)])))
+
+
+def _hubs(large: DataFrame) -> DataFrame:
+    """Texts that every block of a large bucket is compared with."""
+    hubs = large.groupBy("j", "value", "parts").agg(*_picked()).withColumn("hub", _each_picked())
+    return hubs.select("j", "value", "parts", "hub.node", "hub.label")
+
+
+def _in_blocks(members: DataFrame, hubs: DataFrame) -> DataFrame:
+    """``members`` of buckets in blocks, each with all ``hubs`` of its bucket."""
+    share = F.lit(0).cast("bigint")
+    members = members.withColumns({"share": share, "block": _dealt(2, "parts")})
+    return _placed(members, 0).union(_placed(hubs.withColumns({"share": share, "block": _each("parts")}), 1))
+
+
+def _main(large: DataFrame) -> DataFrame:
+    """(value, main, apart, apart_bytes): the largest component of each bucket and how much is apart from it."""
+    counts = large.groupBy("value", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("bytes").alias("b"))
+    return counts.groupBy("value").agg(
         F.max_by("label", F.struct("c", "label")).alias("main"), (F.sum("c") - F.max("c")).alias("apart"),
         (F.sum("b") - F.max_by("b", F.struct("c", "label"))).alias("apart_bytes")).where("apart > 0")
-    left = labelled.join(main, ["j", "value"]).withColumns({
-        "shares": _parts("apart", "apart_bytes", WIDER * block, block_bytes), "parts": _parts("n", "total", WIDER * block, block_bytes)})
-    left = left.withColumn("block", _dealt(7, "parts"))
-    every = _placed(left.withColumn("share", _each("shares")), 0)
-    rest = _placed(left.where("label <> main").withColumns({"share": _dealt(5, "shares"), "block": _each("parts")}), 2)
-    return materialize(first.union(_linked(every.union(rest), words, least)), "links")
+
+
+def _bridges(large: DataFrame, block: int, block_bytes: int) -> DataFrame:
+    """A few texts of each component of a bucket in blocks, with a few of the bucket's largest component in each."""
+    some = large.groupBy("value", "label").agg(*_picked()).join(_main(large), "value").withColumns({
+        "hub": _each_picked(), "parts": _parts("apart", "apart_bytes", block, block_bytes), "j": F.lit(0)})
+    some = materialize(some.select("j", "value", "parts", "main", "hub.node", "hub.label"), "bridges")
+    return _in_blocks(some.where("label <> main"), some.where("label = main"))
+
+
+def _rest(left: DataFrame, block: int, block_bytes: int) -> DataFrame:
+    """Groups in which all pairs of a bucket meet, but for those within the largest component of a large one.
+
+    Buckets of the same largest component may share most of their texts. Where that takes fewer rows, the component's texts
+    stand once for all its buckets, and what is apart from it in any of them meets them there.
+    """
+    zero, other = F.lit(0).cast("bigint"), F.col("label") != F.col("main")
+    small = _placed(left.where("parts = 1").withColumns({"share": zero, "block": zero}), 0)
+    large = left.where("parts > 1")
+    large = materialize(large.join(_main(large), "value").withColumns({
+        "shares": _parts("apart", "apart_bytes", WIDER * block, block_bytes), "parts": _parts("n", "total", WIDER * block, block_bytes)}), "large")
+    met = materialize(large.groupBy("main", "node").agg(
+        F.max("label").alias("label"), F.max("bytes").alias("bytes"), F.sum(F.col("shares") + F.when(other, F.col("parts")).otherwise(0)).alias("each"),
+        F.sum(F.when(other, 2 * F.col("shares")).otherwise(0)).alias("others")), "met")
+    sums = met.groupBy("main").agg(F.sum("each").alias("each"), F.sum("others").alias("others"), *(
+        F.sum(F.when(which, of).otherwise(0)).alias(name) for name, which, of in (
+            ("n", ~other, F.lit(1)), ("total", ~other, F.col("bytes")), ("apart", other, F.lit(1)), ("apart_bytes", other, F.col("bytes")))))
+    sums = sums.select("main", "n", "apart", "each", "others", _parts("n", "total", WIDER * block, block_bytes).alias("blocks"),
+                       _parts("apart", "apart_bytes", WIDER * block, block_bytes).alias("visits"))
+    once = _few(materialize(sums.where("n * visits + apart * blocks + others < each").select("main", "blocks", "visits"), "once"))
+    large = large.join(once, "main", "left")
+    each = large.where("blocks IS NULL").withColumn("block", _dealt(7, "parts"))
+    among = large.where("blocks IS NOT NULL").where(other).withColumn("block", _dealt(7, "shares"))
+    met = met.join(once, "main").withColumns({"j": F.lit(-1), "value": F.col("main")})
+    groups = [
+        _placed(each.withColumn("share", _each("shares")), 0),
+        _placed(each.where(other).withColumns({"share": _dealt(5, "shares"), "block": _each("parts")}), 2),
+        _placed(among.withColumn("share", _each("shares")), 0),
+        _placed(among.where("shares > 1").withColumns({"share": _dealt(5, "shares"), "block": _each("shares")}), 2),
+        _placed(met.where(~other).withColumns({"share": _each("visits"), "block": _dealt(7, "blocks")}), 0),
+        _placed(met.where(other).withColumns({"share": _dealt(5, "visits"), "block": _each("blocks")}), 2),
+    ]
+    return reduce(DataFrame.union, groups, small)
 
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
@@ -450,10 +533,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", least: flo
     words = base.where(F.size("sketch") > 0).select(F.col("at").alias("node"), "sketch", "words")
     nodes = materialize(words.select("node", "sketch", F.octet_length("words").alias("bytes"))
                         .join(_few(named.select("node")), "node", "left_semi"), "nodes")
-    links = near_links(nodes, words, least)
-    roots = components(links)
-    if links.count() <= BROADCAST_NODES:
-        roots = F.broadcast(roots)  # at most two nodes for each link
+    roots = _few(near_roots(nodes, words, least).where("node <> root"))
     rooted = named.join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("root"))
     rows = keyed.select("same", "doc_id", "print", "at").join(rooted, "same")
     heads = rows.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.min(F.struct(
